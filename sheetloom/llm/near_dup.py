@@ -139,7 +139,22 @@ def likely(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
     good = fits & np.where(whole, exact, rough)
     i, j = np.nonzero(np.triu(good, 1) if b is None else good)
     j = j if b is None else j + len(a)
-    found = [(p, q) for p, q in zip(i, j, strict=True) if whole[p, q if b is None else q - len(a)] or estimate(lists[p], lists[q]) >= ESTIMATE]
+    # pairs of whole sets are links for sure: only those that join components further are told
+    over = {c: c for c in set(comp.tolist())}
+
+    def top(c: int) -> int:
+        while over[c] != c:
+            over[c] = c = over[over[c]]
+        return c
+
+    found = []
+    sure = whole[i, j if b is None else j - len(a)]
+    for p, q, known in sorted(zip(i.tolist(), j.tolist(), sure.tolist(), strict=True), key=lambda x: not x[2]):
+        x, y = top(comp[p]), top(comp[q])
+        if x != y and (known or estimate(lists[p], lists[q]) >= ESTIMATE):
+            found.append((p, q))
+            if known:
+                over[max(x, y)] = min(x, y)
     i, j = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
     return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
@@ -206,9 +221,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = components(links)
     # lists whose members are not yet all in one component
     at = lists.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    mixed = at.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
+    # and only one of those that have the same members
+    members_hash = F.struct(F.count("*"), F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64("doc_id", F.lit(1))))
+    mixed = at.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), members_hash.alias("same")).where("least <> most")
+    mixed = settle(mixed.groupBy("same").agg(F.min("key").alias("key")).select("key"))
     longer = sets.select("doc_id", F.size("shingles").alias("n"), F.slice("shingles", 1, K_LONG).alias("longer"))
-    members = at.join(mixed, "key", "left_semi").select("key", "n_members", "doc_id", "comp").join(longer, "doc_id")
+    members = at.join(small_side(mixed), "key", "left_semi").select("key", "n_members", "doc_id", "comp").join(longer, "doc_id")
     more = settle(confirmed(within_lists(members).join(stars, ["a", "b"], "left_anti"), sets))
     all_links = links.unionByName(more).unionByName(same)
     comp = components(all_links)
