@@ -402,7 +402,7 @@ def dedupe_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT workbook_id, sheet_idx, row_num, p_brand || ' panel' AS name_left, 'Room ' || CAST(pk % 10 AS VARCHAR) AS location, 'P' || CAST(pk AS VARCHAR) AS code, p_name AS name_right, 'img' || CAST(pk AS VARCHAR) AS image_code, 'sheets ' || p_name AS folded, p_name AS header
+SELECT workbook_id, sheet_idx, row_num, p_brand || ' panel' AS name_left, 'Room ' || CAST(pk % 10 AS VARCHAR) AS location, 'P' || CAST(pk AS VARCHAR) AS code, p_name AS name_right, 'img' || CAST(pk AS VARCHAR) AS image_code, 'sheets ' || p_name AS folded, p_name || ' ' AS header
 FROM lines
 """)
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
