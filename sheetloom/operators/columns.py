@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.lexicon import FUZZY_THRESHOLD, MAPPER, ROOM_HEADERS, USABLE
 from ..functions.text import norm_header
+from ..sources.store import settle
 from .grid import SHEET
 
 MAX_COLS = 30
@@ -73,10 +74,10 @@ def match_fuzzy(words: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFra
 
 def match_columns(words: DataFrame, use_fuzzy: bool = True) -> DataFrame:
     """norm, canonical, match_type of distinct headers: exact, then partial, then fuzzy, then none."""
-    words = words.select("norm").where("norm <> ''").distinct()
+    words = settle(words.select("norm").where("norm <> ''").distinct())
     exact = match_exact(words).withColumn("match_type", F.lit("exact"))
     rest = words.join(exact, "norm", "left_anti")
-    partial = match_partial(rest).withColumn("match_type", F.lit("partial"))
+    partial = settle(match_partial(rest).withColumn("match_type", F.lit("partial")))
     found = exact.unionByName(partial)
     rest = rest.join(partial, "norm", "left_anti")
     if use_fuzzy:
@@ -91,7 +92,7 @@ def header_cells(cells: DataFrame, headers: DataFrame, max_cols: int = MAX_COLS)
 
 def column_mapping_audit(cells: DataFrame, headers: DataFrame, use_fuzzy: bool = True, max_cols: int = MAX_COLS) -> DataFrame:
     """sheet, col, original, norm, canonical, match_type of every header cell."""
-    heads = header_cells(cells, headers, max_cols)
+    heads = settle(header_cells(cells, headers, max_cols))
     return heads.join(match_columns(heads.select("norm"), use_fuzzy), "norm").select(*SHEET, "col", "original", "norm", "canonical", "match_type")
 
 
