@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .store import settle, small_side
 from .words import Words, each_chunk
@@ -71,11 +70,12 @@ _ROWS_SQL = "h long, doc_id long, mark int, at int, again boolean"
 def _repeated(rows: DataFrame) -> DataFrame:
     """(doc_id, mark, spots): the sorted positions of the rows whose hash is found again anywhere.
 
-    A document holds a hash once here, so a hot hash has a row for each document that holds it,
-    a small share of all rows even if that is a third of the documents.
+    Hashes are counted with map-side sums, so one that many documents hold is one row of each
+    task before the shuffle. The rows then meet the hashes that repeat: without a shuffle while
+    those are few, else by a join whose hot keys can be split.
     """
-    n = F.count("*").over(W.partitionBy("h"))
-    found = rows.withColumn("n", n).where("again or n > 1")
+    hot = settle(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("hot")))
+    found = rows.join(small_side(hot), rows["h"] == F.col("hot"), "left").where("again or hot is not null")
     return found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("at")).alias("spots"))
 
 
