@@ -8,8 +8,8 @@ union, more than 3/4 common ones leave a run of R = 3 without fail when the whol
 in a row, about 1.5 in 100,000 at exactly 0.75 and far less above it.
 
 Equal sets are one node from the start. Each list first links its members to its smallest
-member only. Members of lists that are then still in different components are compared within
-their list on longer sketches, in blocks, and only pairs whose union-sketch estimate can reach
+member only. Other members of a list that are then still in different components are compared within
+the list on longer sketches, in blocks, and only pairs whose union-sketch estimate can reach
 the limit leave the task. All links are confirmed on the full sets of shingles.
 """
 
@@ -219,8 +219,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settle(confirmed(stars, sets))
     same = copies.select("a", "b")
     comp = components(links)
-    # lists whose members are not yet all in one component
-    at = lists.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    # lists whose members, but for the hub that all were compared with, are not yet all in one component
+    at = lists.where("doc_id <> hub").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
     # and only one of those that have the same members
     members_hash = F.struct(F.count("*"), F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64("doc_id", F.lit(1))))
     mixed = at.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), members_hash.alias("same")).where("least <> most")
