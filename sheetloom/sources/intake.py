@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from ..operators.products import FIELDS
 
 CELLS = "workbook_id string, sheet_idx int, row int, col int, value_str string, value_num double, value_kind string"
 LEAST_BYTES = 100
+#: Records in one Arrow batch.
+RECORDS_AT_ONCE = 65_536
 
 
 def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -29,19 +31,21 @@ def triage_files(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
     f = files.withColumns({"workbook_id": F.col("path"), "filename": name})
+    said = lambda error, detail: F.struct(F.lit(error).alias("error"), detail.cast("string").alias("detail"))
     checks = (
-        F.when(name == "", F.struct(F.lit("No filename provided").alias("error"), F.lit(None).cast("string").alias("detail")))
-        .when(F.lower(ext) != ".xlsx", F.struct(F.lit("Invalid file type"), F.concat(F.lit("Only .xlsx files are accepted, got: "), F.when(ext == "", "no extension").otherwise(ext))))
-        .when(F.col("length") == 0, F.struct(F.lit("Empty file"), F.lit("The file has no content")))
-        .when(F.col("length") < LEAST_BYTES, F.struct(F.lit("Invalid file"), F.lit("The file is too small to be a workbook")))
-        .when(F.substring("content", 1, 4) != F.lit(b"PK\x03\x04"), F.struct(F.lit("Invalid file"), F.lit("The file is not a zip archive")))
+        F.when(name == "", said("No filename provided", F.lit(None)))
+        .when(F.lower(ext) != ".xlsx", said("Invalid file type", F.concat(F.lit("Only .xlsx files are accepted, got: "), F.when(ext == "", "no extension").otherwise(ext))))
+        .when(F.col("length") == 0, said("Empty file", F.lit("The file has no content")))
+        .when(F.col("length") < LEAST_BYTES, said("Invalid file", F.lit("The file is too small to be a workbook")))
+        .when(F.substring("content", 1, 4) != F.lit(b"PK\x03\x04"), said("Invalid file", F.lit("The file is not a zip archive")))
     )
     f = f.withColumn("c", checks)
     return f.withColumns({"status": F.when(F.col("c").isNull(), "ok").otherwise("error"), "error": F.col("c.error"), "detail": F.col("c.detail")}).drop("c")
 
 
 _RECORDS = "record_type string, workbook_id string, filename string, sheet_idx int, sheet_name string, is_active boolean, row int, col int, max_row int, max_col int, value_str string, value_num double, value_kind string, error string, detail string"
-_NAMES = [c.split()[0] for c in _RECORDS.split(", ")]
+_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in _RECORDS.split(", "))])
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -97,19 +101,18 @@ def decode_xlsx(workbook_id: str, filename: str, content: bytes) -> Iterator[dic
 def read_workbooks(files: DataFrame) -> DataFrame:
     """Tagged records of `files` (workbook_id, filename, content); a file that fails gives an error record."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for wid, name, content in zip(b["workbook_id"], b["filename"], b["content"], strict=True):
+            for row in b.to_pylist():
+                wid, name = row["workbook_id"], row["filename"]
                 try:
-                    records = list(decode_xlsx(wid, name, content))
+                    records = list(decode_xlsx(wid, name, row["content"]))
                 except Exception as e:  # noqa: BLE001  any broken file is a row of errors, not a lost job
                     records = [{"record_type": "error", "workbook_id": wid, "filename": name, "error": "Failed to read workbook", "detail": f"{type(e).__name__}: {e}"[:500]}]
-                out = pd.DataFrame(records, columns=_NAMES)
-                for c in ("sheet_idx", "row", "col", "max_row", "max_col"):
-                    out[c] = out[c].astype("Int32")
-                yield out
+                for at in range(0, len(records), RECORDS_AT_ONCE):
+                    yield pa.RecordBatch.from_pylist(records[at : at + RECORDS_AT_ONCE], schema=_ARROW)
 
-    return files.select("workbook_id", "filename", "content").mapInPandas(run, _RECORDS)
+    return files.select("workbook_id", "filename", "content").mapInArrow(run, _RECORDS)
 
 
 def split_records(records: DataFrame) -> dict[str, DataFrame]:
