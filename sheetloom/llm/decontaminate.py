@@ -1,9 +1,10 @@
-"""Operator 9: training passages that copy test items, by rare n-gram seeds and local alignment.
+"""Operator 9: training passages that copy test items, by n-gram seeds and local alignment.
 
-Every document is searched for the word n-grams of the test items. Counted over all documents,
-the item's rarest n-grams become seeds (a share of its n-grams by rank, so an item always has
-seeds, however often it leaked). Around the seeds, Smith-Waterman alignment of words scores the
-passage against the item; edited and paraphrased copies keep a high share of the full score.
+Every document is searched for the word n-grams of the test items. Each n-gram that a document
+shares with an item is a seed, so one that survives the editing of a copy is enough to find it,
+however often the item leaked elsewhere. Items that have too few words in common with the
+document to reach the limit are passed over; around the seeds of the others, Smith-Waterman
+alignment of words scores the passage against the item.
 """
 
 from __future__ import annotations
@@ -12,14 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .store import settle, small_side
+from .store import settle
 from .words import Words, each_chunk
 
 GRAM = 3
-#: Share of an item's n-grams that are seeds, rarest first.
-RARE = 0.75
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the score that a perfect copy of the item would get.
 LIMIT = 0.5
@@ -44,32 +42,49 @@ def items_table(benchmark: DataFrame) -> DataFrame:
     return plain.mapInArrow(each_chunk(schema, make, lower=True), "item_id long, words array<long>, grams array<long>").where("size(words) > 0").dropDuplicates(["item_id", "words"])
 
 
-def gram_hits(plain: DataFrame, grams: np.ndarray, shorter: bool) -> DataFrame:
-    """(g, doc_id, mark, at): where `grams` occur in the texts. `shorter`: some are of fewer than GRAM words."""
-    table = plain.sparkSession.sparkContext.broadcast(np.unique(grams))
-    schema = pa.schema([("g", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int32()), ("at", pa.int32())])
+class Index:
+    """The n-grams of a block of items: `grams` in order, and the items that hold each of them.
 
-    def make(batch: pa.RecordBatch, words: Words) -> list:
-        known = table.value
-        maybe = np.zeros(1 << 20, bool)  # by low bits, before the search
-        maybe[known & ((1 << 20) - 1)] = True
-        n = np.diff(words.first)
-        of = np.repeat(np.arange(words.texts), n)
-        at = np.arange(len(of)) - words.first[of]
-        found = []
-        for r in range(1 if shorter else GRAM, GRAM + 1):
-            use = np.flatnonzero(at + r <= n[of])
-            g = words.windows(use, r).view(np.int64) if len(use) else np.zeros(0, np.int64)
-            hit = maybe[g & ((1 << 20) - 1)]
-            use, g = use[hit], g[hit]
-            k = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            hit = known[k] == g
-            found.append((g[hit], use[hit]))
-        g, use = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        rows = pa.array(of[use])
-        return [g, batch.column(0).take(rows), batch.column(1).take(rows), at[use].astype(np.int32)]
-
-    return plain.mapInArrow(each_chunk(schema, make, lower=True), "g long, doc_id long, mark int, at int")
+    Item k has the words `words[first[k] : first[k + 1]]`; its n-grams, as numbers in `grams`, are
+    `held[held_first[k] : held_first[k + 1]]`. `holders[at[g] : at[g + 1]]` are the items with n-gram g.
+    """
+
+    def __init__(self, ids: list, words: list, grams: list):
+        self.ids = np.array(ids, np.int64)
+        self.first = np.cumsum([0, *map(len, words)])
+        self.held_first = np.cumsum([0, *map(len, grams)])
+        self.words = np.concatenate(words).astype(np.int64)
+        self.known, self.number = np.unique(self.words, return_inverse=True)
+        self.grams, self.held = np.unique(np.concatenate(grams).astype(np.int64), return_inverse=True)
+        pairs = np.unique(np.stack([self.held, np.repeat(np.arange(len(grams)), np.diff(self.held_first))]), axis=1)
+        self.holders, self.at = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.grams) + 1))
+        self.lengths = range(min([GRAM, *map(len, words)]), GRAM + 1)
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges from `begin` up to `end`, one range after the other."""
+    n = end - begin
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
+def gram_hits(words: Words, index: Index, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number in index.grams, word) of each place where the texts hold one of the n-grams, in order of words.
+
+    `maybe` marks the low bits of the n-grams.
+    """
+    last = np.repeat(words.first[1:], np.diff(words.first))
+    found = []
+    for r in index.lengths:
+        use = np.flatnonzero(np.arange(len(last)) + r <= last)
+        g = words.windows(use, r).view(np.int64) if len(use) else np.zeros(0, np.int64)
+        hit = maybe[g & (len(maybe) - 1)]
+        use, g = use[hit], g[hit]
+        k = np.minimum(np.searchsorted(index.grams, g), len(index.grams) - 1)
+        hit = index.grams[k] == g
+        found.append((k[hit], use[hit]))
+    k, use = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+    order = np.argsort(use, kind="stable")
+    return k[order], use[order]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -94,33 +109,35 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def _scores(schema: pa.Schema, limit: float):
-    def make(batch: pa.RecordBatch, words: Words) -> list:
-        h = words.hashes().view(np.int64)
-        rows = []
-        for k, candidates in enumerate(batch.column(batch.schema.get_field_index("candidates")).to_pylist()):
-            text = h[words.first[k] : words.first[k + 1]]
-            for c in candidates:
-                item = np.array(c["words"], np.int64)
-                pad = len(item) // 2 + 1
-                found = (0, 0, 0)
-                begin = end = None
-                for d in [*sorted(set(c["diagonals"])), None]:  # passages that overlap are aligned as one
-                    if d is not None and end is not None and d - pad <= end:
-                        end = max(end, d + len(item) + pad)
-                        continue
-                    if end is not None:
-                        a = max(0, begin)
-                        s, b, e = align(item, text[a : max(a, end)])
-                        found = max(found, (s, a + b, a + e), key=lambda x: x[0])
-                    if d is not None:
-                        begin, end = d - pad, d + len(item) + pad
-                score = found[0] / (MATCH * len(item))
-                if score >= limit:
-                    rows.append((batch.column(0)[k].as_py(), c["item_id"], score, *found[1:]))
-        return [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 5
-
-    return each_chunk(schema, make, lower=True)
+def passages(text: np.ndarray, hits: np.ndarray, at: np.ndarray, index: Index, limit: float) -> list[tuple]:
+    """(item_id, score, begin, end) of the items that `text` (hashes of words) holds a copy of.
+
+    `hits` are the n-grams found in it, in order, and `at` their places. A score can't be above the share of an
+    item's words that occur in the text, so items below the limit by that are not aligned.
+    """
+    seen = np.unique(hits)
+    items = np.unique(index.holders[_ranges(index.at[seen], index.at[seen + 1])])
+    present = np.isin(index.known, text)
+    begin, size = index.first[items], index.first[items + 1] - index.first[items]
+    common = np.add.reduceat(present[index.number[_ranges(begin, begin + size)]], np.cumsum(size) - size, dtype=np.int64)
+    out = []
+    for k in items[common / size >= limit]:
+        item, held = index.words[index.first[k] : index.first[k + 1]], index.held[index.held_first[k] : index.held_first[k + 1]]
+        low, high = np.searchsorted(hits, held), np.searchsorted(hits, held, side="right")
+        diagonals = np.unique(at[_ranges(low, high)] - np.repeat(np.arange(len(held)), high - low))
+        pad = len(item) // 2 + 1
+        cuts = np.flatnonzero(np.diff(diagonals) > len(item) + 2 * pad) + 1  # passages that overlap are aligned as one
+        found = (0, 0, 0)
+        for d in np.split(diagonals, cuts):
+            a = max(0, int(d[0]) - pad)
+            passage = text[a : int(d[-1]) + len(item) + pad]
+            if np.isin(item, passage).sum() / len(item) >= limit:
+                s, b, e = align(item, passage)
+                found = max(found, (s, a + b, a + e), key=lambda x: x[0])
+        score = found[0] / (MATCH * len(item))
+        if score >= limit:
+            out.append((int(index.ids[k]), score, *found[1:]))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -129,34 +146,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT) ->
     score is the alignment's share of a perfect copy's score, at least `limit`; begin and end
     are words of the document. Words compare with A-Z lower-cased. Rows of null doc_id or
     item_id are left out, null and empty texts hold nothing; items of fewer than three words use
-    their whole sequence as a seed. A row that is repeated gives its pairs once. Either table
+    their whole sequence as a seed. A copy that keeps no three words in a row has no seed and is
+    not found. A row that is repeated gives its pairs once. Either table
     empty: no rows.
     """
-    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = settle(items_table(benchmark))
     blocks = -(-items.count() // ITEM_BLOCK)
     out = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        part = _block(plain, settle(part) if blocks > 1 else part, limit)
-        out = part if out is None else out.unionByName(part)
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "words").collect()  # bounded by the block
+        if part:
+            part = _block(plain, part, limit)
+            out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, begin int, end int")
     return out.dropDuplicates(["doc_id", "item_id", "begin", "end"])
 
 
-def _block(plain: DataFrame, items: DataFrame, limit: float) -> DataFrame:
-    """The copies of at most about ITEM_BLOCK items."""
-    placed = items.select("item_id", F.size("words").alias("length"), F.posexplode("grams").alias("ipos", "g"))
-    grams = placed.select("g", "length").toPandas()  # bounded by the block
-    hits = settle(gram_hits(plain, grams["g"].to_numpy(np.int64), bool((grams["length"] < GRAM).any())))
-    seen = hits.groupBy("g").agg(F.count_distinct("doc_id", "mark").alias("df"))
-    rarity = W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "ipos")
-    seeds = placed.join(seen, "g", "left").withColumn("rank", F.row_number().over(rarity)).withColumn("n", F.count("*").over(W.partitionBy("item_id")))
-    seeds = seeds.where(F.col("rank") <= F.ceil(F.col("n") * RARE)).select("g", "item_id", "ipos")
-    pairs = hits.join(seeds, "g").groupBy("doc_id", "mark", "item_id").agg(F.collect_set(F.col("at") - F.col("ipos")).alias("diagonals"))
-    pairs = pairs.join(items.select("item_id", "words"), "item_id")
-    found = settle(pairs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("candidates")))
+def _block(plain: DataFrame, rows: list, limit: float) -> DataFrame:
+    """The copies of the items in `rows`, at most about ITEM_BLOCK."""
+    table = plain.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["words"] for r in rows], [r["grams"] for r in rows]))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())])
-    marked = plain.join(small_side(found), ["doc_id", "mark"]).select("doc_id", "text", "candidates")
-    return marked.mapInArrow(_scores(schema, limit), "doc_id long, item_id long, score double, begin int, end int")
+
+    def make(batch: pa.RecordBatch, words: Words) -> list:
+        index = table.value
+        maybe = np.zeros(1 << 20, bool)
+        maybe[index.grams & (len(maybe) - 1)] = True
+        hits, use = gram_hits(words, index, maybe)
+        cuts = np.searchsorted(use, words.first)
+        h, out = words.hashes().view(np.int64), []
+        for k in np.flatnonzero(np.diff(cuts)):
+            found, begin = slice(cuts[k], cuts[k + 1]), words.first[k]
+            order = np.argsort(hits[found], kind="stable")
+            doc = batch.column(0)[int(k)].as_py()
+            out += [(doc, *p) for p in passages(h[begin : words.first[k + 1]], hits[found][order], use[found][order] - begin, index, limit)]
+        return [list(x) for x in zip(*out, strict=True)] if out else [[]] * 5
+
+    return plain.mapInArrow(each_chunk(schema, make, lower=True), "doc_id long, item_id long, score double, begin int, end int")

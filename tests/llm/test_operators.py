@@ -135,6 +135,18 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()} == {(1, 9), (4, 9)}
 
 
+def test_decontamination_finds_edited_copies_beside_whole_ones(spark):
+    """A word put in alternately after 2 and 3 words leaves few 3-grams, and whole copies make those the commonest."""
+    item = [f"w{k}" for k in range(40)]
+    edited = " ".join(w + (" new" if k % 5 in (1, 4) else "") for k, w in enumerate(item))
+    for whole in (0, 3):
+        d = spark.createDataFrame([(1, f"before {edited} after"), *((2 + k, " ".join(item)) for k in range(whole))], "doc_id long, text string")
+        b = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+        got = {r["doc_id"]: r["score"] for r in decontaminate.contaminated(d, b).collect()}
+        assert set(got) == set(range(1, 2 + whole))
+        assert got[1] == (2 * 40 - 15) / 80
+
+
 def test_empty_tables(docs, labels):
     none = docs.where("1 = 0")
     for made in (near_dup.near_duplicates(none), substring_dedup.remove_repeats(none), sharding.shard(none), mixing.mix(none), pii.find_pii(none), secrets.find_secrets(none), quality_rules.judge(none, labels), classifier.classify(none, labels), decontaminate.contaminated(none, none.select(F.col("doc_id").alias("item_id"), "text"))):
