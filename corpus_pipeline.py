@@ -13,32 +13,55 @@ from sheetloom.llm import decontaminate, mixing, near_dup, quality_rules, shardi
 from sheetloom.llm.store import settle, small_side, table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` but for those in `ids` (doc_id); an id is null only where the row's own is."""
-    gone = settle(ids.select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(small_side(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("gone")), "left_anti")
+#: Column of the rows' own keys within a stage.
+ROW = "row_of_stage"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a key of its own for each row: the doc_id, or where an id is null or repeated, a number written with the rows."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n"))
+    if ids.where("id is null or n > 1").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return settle(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """The table for an operator: the row's key stands as doc_id."""
+    return keyed.withColumn("doc_id", F.col(ROW)).drop(ROW)
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents but for those rows whose key is in `rows` (doc_id)."""
+    gone = settle(rows.select(F.col("doc_id").alias("gone")).distinct())
+    return keyed.join(small_side(gone), F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. An id goes if any of its rows is rejected."""
-    return _without(docs, quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("not kept"))
+    """Documents that the quality rules keep, row by row. A label holds for all rows of its id."""
+    keyed = _keyed(docs)
+    good = settle(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("long").alias("good")).distinct())
+    labels = keyed.join(small_side(good), keyed["doc_id"].cast("long") == F.col("good"), "left_semi").select(F.col(ROW).alias("doc_id"), F.lit(1).alias("quality"))
+    return _without(keyed, quality_rules.judge(_by_row(keyed), labels).where("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return _without(docs, near_dup.near_duplicates(docs).where("not kept"))
+    """One document of each group of near-duplicates: that of the smallest id, or the first row where ids are null or repeated."""
+    keyed = _keyed(docs)
+    return _without(keyed, near_dup.near_duplicates(_by_row(keyed)).where("not kept"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a test item."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    return _without(keyed, decontaminate.contaminated(_by_row(keyed), table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max(F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5)).cast("int").alias("n_taken"))
-    taken = settle(taken.where("n_taken > 0").select(F.col("doc_id").alias("id_taken"), "n_taken"))
-    out = docs.join(small_side(taken), docs["doc_id"].cast("long").eqNullSafe(F.col("id_taken")))
+    """Each document as often as the mix takes its words, to the nearest whole number, row by row."""
+    keyed = _keyed(docs)
+    taken = mixing.mix(_by_row(keyed)).select(F.col("doc_id").alias("row_taken"), F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5).cast("int").alias("n_taken"))
+    taken = settle(taken.where("n_taken > 0"))
+    out = keyed.join(small_side(taken), F.col(ROW) == F.col("row_taken"))
     return out.withColumn("copy_taken", F.explode(F.sequence(F.lit(1), F.col("n_taken")))).select(*[out[c] for c in docs.columns])
 
 
