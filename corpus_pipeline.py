@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm import decontaminate, mixing, near_dup, quality_rules, sharding
-from sheetloom.llm.store import settle, small_side, table
+from sheetloom.llm.store import mark, release, settle, table
 
 
 #: Column of the rows' own keys within a stage.
@@ -33,14 +33,14 @@ def _by_row(keyed: DataFrame) -> DataFrame:
 def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents but for those rows whose key is in `rows` (doc_id)."""
     gone = settle(rows.select(F.col("doc_id").alias("gone")).distinct())
-    return keyed.join(small_side(gone), F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
+    return keyed.join(gone, F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, row by row. A label holds for all rows of its id."""
     keyed = _keyed(docs)
     good = settle(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("long").alias("good")).distinct())
-    labels = keyed.join(small_side(good), keyed["doc_id"].cast("long") == F.col("good"), "left_semi").select(F.col(ROW).alias("doc_id"), F.lit(1).alias("quality"))
+    labels = keyed.join(good, keyed["doc_id"].cast("long") == F.col("good"), "left_semi").select(F.col(ROW).alias("doc_id"), F.lit(1).alias("quality"))
     return _without(keyed, quality_rules.judge(_by_row(keyed), labels).where("not kept"))
 
 
@@ -61,7 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     taken = mixing.mix(_by_row(keyed)).select(F.col("doc_id").alias("row_taken"), F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5).cast("int").alias("n_taken"))
     taken = settle(taken.where("n_taken > 0"))
-    out = keyed.join(small_side(taken), F.col(ROW) == F.col("row_taken"))
+    out = keyed.join(taken, F.col(ROW) == F.col("row_taken"))
     return out.withColumn("copy_taken", F.explode(F.sequence(F.lit(1), F.col("n_taken")))).select(*[out[c] for c in docs.columns])
 
 
@@ -77,7 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; a stage's own tables are deleted as soon as its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), mark()
     for _, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir))
+        release(last, mark() - 1)
+        last = max(0, mark() - 1)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import settle, small_side
+from .store import settle
 from .words import each_text
 
 #: Statistics and the upper edges of their bins but the last.
@@ -135,7 +135,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     prior = 1.0 if share["prior"] is None else min(1 - 1e-3, max(1e-3, share["prior"]))
     positives = known.where("quality = 1").select("doc_id", F.lit(True).alias("positive"))
     if share["n"]:
-        rows = found.join(small_side(positives, share["n"]), "doc_id", "left").select("bins", F.coalesce("positive", F.lit(False)).alias("positive"))
+        rows = found.join(positives, "doc_id", "left").select("bins", F.coalesce("positive", F.lit(False)).alias("positive"))
         how = score(minimise(*moments(rows), prior))
     else:
         how = F.lit(prior)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import settle, small_side
+from .store import settle
 from .words import WORD
 
 WEIGHTS = (5, 2, 1)
@@ -72,7 +72,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     points = spark.range(slots + slots // 64 + 256 if slots else 0).withColumnRenamed("id", "slot")
     points = points.withColumn("u", F.pmod((F.col("slot") + 0.5) * F.lit(PHI), F.lit(1.0))).withColumn("cell", F.floor(F.col("u") * CELLS))
     parts = sources.where("quota > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    at = points.join(small_side(settle(parts.select("cell", "sid", "lo", "hi", "blocks", "quota"))), "cell").where("u >= lo and u < hi")
+    at = points.join(settle(parts.select("cell", "sid", "lo", "hi", "blocks", "quota")), "cell").where("u >= lo and u < hi")
     at = at.withColumn("run", F.expr(f"slot div {RUN}"))
     counts = at.groupBy("sid", "run").agg(F.count("*").alias("n"))
     counts = counts.select("sid", "run", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
@@ -107,8 +107,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     found = settle(sized(docs))
     sources = settle(plan(found.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    found = found.join(small_side(sources.select(F.col("source").alias("s"), "sid", "source_size", "blocks")), F.col("source").eqNullSafe(F.col("s")))
+    found = found.join(sources.select(F.col("source").alias("s"), "sid", "source_size", "blocks"), F.col("source").eqNullSafe(F.col("s")))
     times = schedule(sources).groupBy("sid", "block").agg(F.count("*").alias("times"))
     taken = pieces(found).join(times, ["sid", "block"], "left").groupBy("sid", "begin", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     out = taken.select("doc_id", "size", "sid", "taken").unionByName(found.where("size = 0").select("doc_id", "size", "sid", F.lit(0).cast("long").alias("taken")))
-    return out.join(small_side(sources.select("sid", "source_size", "target")), "sid").select("doc_id", "size", "source_size", "target", "taken")
+    return out.join(sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")

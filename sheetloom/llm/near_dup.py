@@ -1,16 +1,17 @@
 """Operator 4: near-duplicates by bottom-k sketches of five-word shingles.
 
-Every document keeps the K smallest hashes of its shingles, from one hash function. Retained
-values are put in inverted lists under runs of R values that follow each other in a sketch. Two
-documents whose common share is 0.75 have such runs in common: among n consecutive values of the
-union, more than 3/4 common ones leave a run of R = 3 without fail when the whole set is kept
-(n > 8; R = 2 for smaller sets), and with R = 4 a miss takes 64 values without four common ones
-in a row, about 1.5 in 100,000 at exactly 0.75 and far less above it.
-
-Equal sets are one node from the start. Each list first links its members to its smallest
-member only. Other members of a list that are then still in different components are compared within
-the list on longer sketches, in blocks, and only pairs whose union-sketch estimate can reach
-the limit leave the task. All links are confirmed on the full sets of shingles.
+Every document keeps the K smallest hashes of its shingles, from one hash function. Two
+documents of similarity 0.75 have many retained values in common: all of `need` values for sets
+that are kept whole, and LEAST of K for larger ones but for a chance of 2 in a million at
+exactly 0.75. So if all documents put their retained values in one order and leave out the last
+need - 1 of them, any two such documents still have a value in common. The order is by the
+number of documents that hold a value, rarest first: values of widespread passages come last
+and are left out, and values that one document holds alone need no list at all.
+
+Equal sets are one node from the start. Each inverted list first links its members to its
+smallest member. Members of a list that are then still in different components are compared
+within the list, block by block, by the number of common values in the union of their sketches.
+All links are confirmed on the full sets of shingles.
 """
 
 from __future__ import annotations
@@ -21,26 +22,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import settle, small_side
-from .words import Words, each_chunk, mix
+from .store import settle
+from .words import Words, each_chunk
 
 SHINGLE, K = 5, 64
 #: Similarity of 75 %, in whole numbers.
 PART, WHOLE = 75, 100
-#: Values kept for estimates; sets of at most so many values are compared exactly.
-K_LONG = 256
-#: Estimates below this are dropped: 4.5 standard deviations under 0.75 for K_LONG values.
-ESTIMATE = 0.63
-#: Members of a list compared in one task; longer lists are compared block by block.
-BLOCK = 1024
+#: Common values of two sketches that aren't whole sets: P[Bin(64, 0.75) < 32] is 2 in a million.
+LEAST = 32
+#: Sets of up to so many values have only partners that are kept whole, too.
+SURE = K * PART // WHOLE
+#: Members of a list compared in one task, and values counted at once; longer lists are compared block by block.
+BLOCK, COLUMNS = 1024, 4096
 
 
 def shingle_sets(words: Words) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text, as 63-bit numbers."""
     first = words.first
     n = np.diff(first)
     length = np.minimum(n, SHINGLE)
@@ -48,6 +49,7 @@ def shingle_sets(words: Words) -> Iterator[np.ndarray]:
     of = np.repeat(np.arange(words.texts), n)
     starts = starts[starts <= first[of + 1] - length[of]] if len(starts) else starts
     h = words.windows(starts, length[np.repeat(np.arange(words.texts), np.where(n > 0, n - length + 1, 0))]) if len(starts) else np.zeros(0, np.uint64)
+    h = (h >> np.uint64(1)).view(np.int64)
     ends = np.cumsum(np.where(n > 0, n - length + 1, 0))
     at = 0
     for e in ends:
@@ -65,10 +67,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             batch.column(0),
             [len(s) for s in sets],
             [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-            [s[:K].view(np.int64) for s in sets],
+            [s[:K] for s in sets],
         ]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each_chunk(schema, make, lower=True), "doc_id long, n_shingles long, fp binary, sketch array<long>")
+    return _plain(docs).mapInArrow(each_chunk(schema, make, lower=True), "doc_id long, n_shingles long, fp binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -76,97 +78,84 @@ def full_sets(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def make(batch: pa.RecordBatch, words: Words) -> list:
-        return [batch.column(0), [s.view(np.int64) for s in shingle_sets(words)]]
+        return [batch.column(0), list(shingle_sets(words))]
 
-    return docs.mapInArrow(each_chunk(schema, make, lower=True), "doc_id long, shingles array<long>")
+    return _plain(docs).mapInArrow(each_chunk(schema, make, lower=True), "doc_id long, shingles array<long>")
 
 
-def run_keys(sketch: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the runs of a sketch; sizes near a change of R give both kinds, as partners may be smaller."""
-    out = []
-    for r, low, high in ((2, 0, 8), (3, 6, K), (4, K * PART // WHOLE, 1 << 62)):
-        if low <= n <= high and len(sketch) >= r:
-            x = sketch[: len(sketch) - r + 1].copy()
-            for k in range(1, r):
-                x = mix(x) + sketch[k : len(sketch) - r + 1 + k]
-            out.append(mix(x + np.uint64(r)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def postings(reps: DataFrame) -> DataFrame:
-    """(key, doc_id): the inverted lists of `reps` (doc_id, n_shingles, sketch)."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
+def need(n: Column) -> Column:
+    """Retained values that a document with a set of `n` shares with any partner."""
+    return F.when(n <= SURE, F.ceil(n * PART / WHOLE)).otherwise(LEAST).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                ids, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                lists = batch.column(2)
-                values, cuts = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
-                cuts = cuts - cuts[0]
-                keys = [run_keys(values[cuts[k] : cuts[k + 1]], n[k]) for k in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, [len(k) for k in keys]))], schema=schema)
 
-    return reps.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "key long, doc_id long")
+def fit(n1: Column, n2: Column) -> Column:
+    """Sets of these sizes can reach the limit."""
+    return F.least(n1, n2) * WHOLE >= F.greatest(n1, n2) * PART
+
+
+def rare_lists(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(value, doc_id, n): the inverted lists of the rarest retained values.
+
+    `rows` has node and sketch, `heads` node, doc_id and n of those nodes that get into lists.
+    Values of one node alone are the rarest; they count as kept but need no list.
+    """
+    values = rows.select("node", F.explode("sketch").alias("value"))
+    shared = settle(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
+    held = values.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("held"))
+    kept = held.join(heads, "node").withColumn("kept", F.slice("held", 1, F.greatest(F.size("held") - need(F.col("n")) + 1, F.lit(0))))
+    return kept.select("doc_id", "n", F.explode("kept.value").alias("value"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose sketches can reach the limit and whose full sets do."""
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    x, y = F.slice("x", 1, K), F.slice("y", 1, K)
+    union = F.slice(F.array_sort(F.array_union(x, y)), 1, K)
+    enough = F.least(need(F.size("x")), need(F.size("y")))
+    likely = fit(F.size("x"), F.size("y")) & (F.size(F.array_intersect(F.array_intersect(x, y), union)) >= enough)
+    common = F.size(F.array_intersect("x", "y"))
+    exact = WHOLE * common >= PART * (F.size("x") + F.size("y") - common)
+    return pairs.join(left, "a").join(right, "b").where(F.when(likely, exact).otherwise(False)).select("a", "b")
 
 
 def likely(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
-    """Pairs of rows (doc_id, comp, n, longer) of different components whose estimate can reach the limit.
+    """Pairs of rows (doc_id, comp, n, sketch) of different components whose sketches can reach the limit.
 
-    `b` None: pairs within `a`. Common values are counted for all pairs at once, by a product of
-    0/1 matrices over the values that occur twice.
+    `b` None: pairs within `a`. Common values are counted for all pairs at once, by products of
+    0/1 matrices over the values that occur twice, COLUMNS of them at a time.
     """
     both = a if b is None else pd.concat([a, b], ignore_index=True)
-    lists = [np.asarray(x) for x in both["longer"]]
-    values = np.concatenate(lists)
-    rows = np.repeat(np.arange(len(both)), [len(x) for x in lists])
+    values = np.concatenate(both["sketch"].to_list())
+    rows = np.repeat(np.arange(len(both)), [len(x) for x in both["sketch"]])
     _, number, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count[number] > 1
-    columns = np.unique(number[shared], return_inverse=True)[1]
-    hits = np.zeros((len(both), int(columns.max(initial=-1)) + 1), np.float32)
-    hits[rows[shared], columns] = 1
-    left, right = (hits, hits) if b is None else (hits[: len(a)], hits[len(a) :])
-    common = left @ right.T
+    rows, columns = rows[shared], np.unique(number[shared], return_inverse=True)[1]
     at = slice(None) if b is None else slice(len(a), None)
-    n, kept, comp, ids = (both[c].to_numpy() if c != "kept" else np.array([len(x) for x in lists]) for c in ("n", "kept", "comp", "doc_id"))
-    n1, n2, k1, k2 = n[: len(left), None], n[None, at], kept[: len(left), None], kept[None, at]
-    whole = (n1 <= K_LONG) & (n2 <= K_LONG)
-    exact = WHOLE * common >= PART * (n1 + n2 - common)
-    # of the K_LONG smallest of the union, at least common / (k1 + k2 - common) are common ones
-    rough = common >= ESTIMATE * np.minimum(np.minimum(k1, k2), K_LONG) * 0.9
-    fits = (np.minimum(n1, n2) * WHOLE >= PART * np.maximum(n1, n2)) & (comp[: len(left), None] != comp[None, at])
-    good = fits & np.where(whole, exact, rough)
+    common = np.zeros((len(a), len(both) - (0 if b is None else len(a))), np.float32)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for begin in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        lo, hi = np.searchsorted(columns, [begin, begin + COLUMNS])
+        hits = np.zeros((len(both), min(COLUMNS, int(columns[hi - 1]) - begin + 1)), np.float32)
+        hits[rows[lo:hi], columns[lo:hi] - begin] = 1
+        common += hits[: len(a)] @ hits[at].T
+    n, comp, ids = (both[c].to_numpy() for c in ("n", "comp", "doc_id"))
+    n1, n2 = n[: len(a), None], n[None, at]
+    least = np.where(n <= SURE, -(-n * PART // WHOLE), LEAST)
+    good = (common >= np.maximum(least[: len(a), None], least[None, at])) & (np.minimum(n1, n2) * WHOLE >= PART * np.maximum(n1, n2)) & (comp[: len(a), None] != comp[None, at])
+    # sets that are both kept whole need no estimate
+    good &= ((n1 > K) | (n2 > K)) | (WHOLE * common >= PART * (n1 + n2 - common))
     i, j = np.nonzero(np.triu(good, 1) if b is None else good)
     j = j if b is None else j + len(a)
-    # pairs of whole sets are links for sure: only those that join components further are told
-    over = {c: c for c in set(comp.tolist())}
-
-    def top(c: int) -> int:
-        while over[c] != c:
-            over[c] = c = over[over[c]]
-        return c
-
-    found = []
-    sure = whole[i, j if b is None else j - len(a)]
-    for p, q, known in sorted(zip(i.tolist(), j.tolist(), sure.tolist(), strict=True), key=lambda x: not x[2]):
-        x, y = top(comp[p]), top(comp[q])
-        if x != y and (known or estimate(lists[p], lists[q]) >= ESTIMATE):
-            found.append((p, q))
-            if known:
-                over[max(x, y)] = min(x, y)
-    i, j = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
     return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity by the smallest values of the union: the share of them that both sketches hold."""
-    union = np.union1d(a.view(np.uint64), b.view(np.uint64))[:K_LONG]
-    return len(np.intersect1d(np.intersect1d(a, b).view(np.uint64), union)) / len(union)
-
-
 def within_lists(members: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of the lists in `members` (key, n_members, doc_id, comp, n, longer).
+    """Likely pairs (a, b) of the lists in `members` (value, n_members, doc_id, comp, n, sketch).
 
     A list of more than BLOCK members is cut into blocks by a hash of the id; each pair of
     blocks is a group of its own, so no task holds more than two blocks of a list.
@@ -175,23 +164,18 @@ def within_lists(members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     m = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        if pdf["comp"].nunique() < 2:
+            return none
         if i == j:
-            return likely(pdf.reset_index(drop=True), None) if len(pdf) > 1 else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return likely(pdf.reset_index(drop=True), None)
         a, b = (pdf[pdf["own"] == x].reset_index(drop=True) for x in (i, j))
-        return likely(a, b) if len(a) and len(b) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    return m.select("key", "i", "j", "own", "doc_id", "comp", "n", "longer").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        return likely(a, b) if len(a) and len(b) else none
 
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose full sets reach the limit."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("common", common).where(WHOLE * F.col("common") >= PART * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    return m.select("value", "i", "j", "own", "doc_id", "comp", "n", "sketch").groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -200,36 +184,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link where 100 * |intersection| >= 75 * |union| of their sets of five-word
     shingles (A-Z lower-cased; fewer words: the whole sequence as one). Null and empty texts have
     empty sets and no links. One result for each input row; rows that share a doc_id are one
-    node, with the links of each of them, and rows without doc_id link with nothing. An empty
-    table gives no rows.
+    node, with the links of each of them, and rows without doc_id link with nothing. A very long
+    text has a sketch like any other and is read whole. An empty table gives no rows.
     """
-    found = settle(sketches(docs))
+    found = settle(sketches(docs).withColumn("node", F.xxhash64("doc_id", "fp")))
     known = found.where("fp is not null and doc_id is not null")
     # equal sets: linked to the smallest id, which stands for all
-    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = settle(known.select("doc_id", "fp").join(classes.where("copies > 1"), "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "fp"))
-    reps = known.join(small_side(copies.select(F.col("b").alias("doc_id"), "fp")), ["doc_id", "fp"], "left_anti").dropDuplicates(["doc_id", "fp"])
-    lists = postings(reps)
-    hubs = lists.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n_members")).where("n_members > 1")
-    lists = settle(lists.join(hubs, "key"))
+    classes = settle(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    of_class = settle(known.select("doc_id", "node", "fp", "n_shingles").join(classes, "fp", "left").select("doc_id", "node", F.col("n_shingles").alias("n"), F.coalesce("rep", "doc_id").alias("rep")))
+    same = of_class.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    heads = of_class.where("doc_id = rep").select("node", "doc_id", "n").distinct()
+    lists = settle(rare_lists(known, heads))
+    hubs = settle(lists.groupBy("value").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("n_members")).where("n_members > 1"))
+    lists = settle(lists.join(hubs, "value"))
     ids = settle(lists.select("doc_id").distinct())
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = settle(full_sets(plain.join(small_side(ids), "doc_id", "left_semi")).dropDuplicates())
-    stars = lists.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sets = settle(full_sets(docs.join(ids.select(F.col("doc_id").alias("listed")), docs["doc_id"].cast("long") == F.col("listed"), "left_semi")).distinct())
+    stars = lists.where((F.col("doc_id") != F.col("hub.doc_id")) & fit(F.col("n"), F.col("hub.n"))).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    stars = settle(stars.distinct())
     links = settle(confirmed(stars, sets))
-    same = copies.select("a", "b")
     comp = components(links)
     # lists whose members, but for the hub that all were compared with, are not yet all in one component
-    at = lists.where("doc_id <> hub").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    at = lists.where(F.col("doc_id") != F.col("hub.doc_id")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    at = settle(at.select("value", "n_members", "doc_id", "n", "comp"))
     # and only one of those that have the same members
     members_hash = F.struct(F.count("*"), F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64("doc_id", F.lit(1))))
-    mixed = at.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), members_hash.alias("same")).where("least <> most")
-    mixed = settle(mixed.groupBy("same").agg(F.min("key").alias("key")).select("key"))
-    longer = sets.select("doc_id", F.size("shingles").alias("n"), F.slice("shingles", 1, K_LONG).alias("longer"))
-    members = at.join(small_side(mixed), "key", "left_semi").select("key", "n_members", "doc_id", "comp").join(longer, "doc_id")
+    mixed = at.groupBy("value").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), members_hash.alias("same")).where("least <> most")
+    mixed = settle(mixed.groupBy("same").agg(F.min("value").alias("value")).select("value"))
+    members = at.join(mixed, "value", "left_semi").join(sets.select("doc_id", F.slice("shingles", 1, K).alias("sketch")), "doc_id")
     more = settle(confirmed(within_lists(members).join(stars, ["a", "b"], "left_anti"), sets))
-    all_links = links.unionByName(more).unionByName(same)
-    comp = components(all_links)
-    out = found.join(small_side(comp), found["doc_id"] == comp["node"], "left")
+    comp = components(links.unionByName(more).unionByName(same))
+    out = found.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("node"), "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import settle, small_side
+from .store import settle
 from .words import each_text
 
 #: Rules: statistic of a document, as an SQL expression over the metrics.
@@ -163,5 +163,5 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float
     failed = F.lit(False)
     for k, (r, _) in enumerate(RULES.items()):
         failed |= F.coalesce(F.get(steps, F.lit(k))["step"] > F.col("cuts")[r], F.lit(False))
-    out = found.join(small_side(found_cuts), "stratum", "left")
+    out = found.join(found_cuts, "stratum", "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~failed).select("doc_id", *_METRICS, "base_failed", "kept", "stratum")

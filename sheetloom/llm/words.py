@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text handled at once; one longer text is still handled whole.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text handled at once, so that the arrays made of them stay small; one longer text is still handled whole.
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -34,20 +34,32 @@ _BYTE = mix(np.arange(1000, 1256, dtype=np.uint64))
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64.
+
+    As many as a usual chunk needs are kept; for a longer text they are made for this once, so
+    that a worker doesn't hold on to them.
+    """
+
+    KEPT = 2 * CHUNK_BYTES
 
     def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.kept = None
+
+    def _make(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for b in self.bases:
+            x = np.full(n, b, np.uint64)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+        return out[0], out[1]
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                x = np.full(size, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up[:n], self.down[:n]
+        if n > self.KEPT:
+            return self._make(n)
+        if self.kept is None:
+            self.kept = self._make(self.KEPT)
+        return self.kept[0][:n], self.kept[1][:n]
 
 
 _OF_BYTES, _OF_WORDS = _Powers(0x9FB21C651E98DF25), _Powers(0xD6E8FEB86659FD93)
