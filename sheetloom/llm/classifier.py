@@ -8,6 +8,12 @@ numbers, whatever the input), and the risk is minimised on them exactly, on the
 
 Features are statistics of a text put into bins, each bin a 0/1 input, so the model is a sum of
 step functions. The squared-loss minimiser is 2 * P[label 1 | text] - 1, which gives the score.
+
+The class prior pi is estimated from positives and unlabelled text alone. Wherever text is
+looked at, at least pi times the positives' share of that place is unlabelled text there; and
+where nearly all text is positive, it is no more. So pi is the least ratio of the two shares
+over the places "density ratio above c", with the ratio of densities fitted by least squares on
+the same moments. How the labels were drawn among good and bad documents doesn't matter to it.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ OFFSETS = dict(zip(EDGES, np.cumsum([0] + [len(e) + 1 for e in EDGES.values()]).
 WIDTH = sum(len(e) + 1 for e in EDGES.values())
 RIDGE = 1e-4
 THRESHOLD = 0.3
+#: Places that the prior's estimate looks at; positives it needs; share of the positives in a place at least.
+PLACES, PRIOR_LEAST, PRIOR_SHARE = 1000, 50, 0.25
 _CAPITALS, _DIGITS = bytes(range(65, 91)), b"0123456789"
 
 
@@ -107,10 +115,43 @@ def minimise(u: np.ndarray, p: np.ndarray, prior: float, rounds: int = 500) -> n
     return w
 
 
+def linear(w: np.ndarray) -> Column:
+    """The sum of a row's weights."""
+    return F.aggregate("bins", F.lit(0.0), lambda s, b: s + F.element_at(F.lit([float(x) for x in w]), b.cast("int") + 1))
+
+
 def score(w: np.ndarray) -> Column:
     """The score of a row from its bins."""
-    g = F.aggregate("bins", F.lit(0.0), lambda s, b: s + F.element_at(F.lit([float(x) for x in w]), b.cast("int") + 1))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (g + 1) / 2))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (linear(w) + 1) / 2))
+
+
+def density_ratio(u: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Weights of the density of positives over that of all text, by least squares."""
+    groups = len(EDGES)
+    nu, np_ = max(np.trace(u) / groups, 1.0), max(np.trace(p) / groups, 1.0)
+    return np.linalg.solve(u / nu + RIDGE * np.eye(WIDTH), np.diag(p) / np_)
+
+
+def least_ratio(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The prior from counts by place, in order of a rising density ratio.
+
+    The ratio of the shares above a place, with the bounds (Hoeffding, 95 %) of what sampling
+    can do to the positives' share; places with less than PRIOR_SHARE of them are too small.
+    """
+    above = np.cumsum(unlabelled[::-1]) / unlabelled.sum(), np.cumsum(positive[::-1]) / positive.sum()
+    use = above[1] >= PRIOR_SHARE
+    slack = np.sqrt(np.log(20) / (2 * positive.sum()))
+    return float(min(1.0, (above[0][use] / np.maximum(above[1][use] - slack, PRIOR_SHARE / 2)).min()))
+
+
+def estimated_prior(rows: DataFrame, u: np.ndarray, p: np.ndarray) -> float:
+    """The share of label 1 in all text; `rows` are (bins, positive)."""
+    r = F.greatest(linear(density_ratio(u, p)), F.lit(0.0))
+    place = F.floor(r / (r + 1) * PLACES).cast("int")
+    counts = rows.groupBy(place.alias("place")).agg(F.count("*").alias("u"), F.count_if("positive").alias("p")).toPandas()  # at most PLACES rows
+    by = np.zeros((2, PLACES + 1))
+    by[:, counts["place"]] = counts["u"], counts["p"]
+    return least_ratio(*by)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -120,13 +161,14 @@ def held_out(doc_id: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Learns from the labels of rows whose crc32 of the id as text is not 0 modulo 5: label 1 makes
-    a trusted positive, and the share of 1 among them estimates the class prior. All documents
-    are the unlabelled text. A document labelled more than once counts with its highest label;
-    null labels and labels without a document are ignored; without positives every score is the
-    prior (1 if there are no labels at all). Null and empty texts are scored like others, with
-    all counts 0; repeated rows get one result each; a null id is never held out. An empty table
-    gives no rows.
+    Learns from the labels 1 of rows whose crc32 of the id as text is not 0 modulo 5, the trusted
+    positives. All documents are the unlabelled text, and the class prior is estimated from
+    both. With fewer than PRIOR_LEAST positives the prior falls back to the share of 1 among the
+    labels; without positives every score is that share (1 if there are no labels at all). A
+    document labelled more than once counts with its highest label; null labels and labels
+    without a document are ignored. Null and empty texts are scored like others, with all counts
+    0, and very long ones are read whole; repeated rows get one result each; a null id is never
+    held out. An empty table gives no rows.
     """
     found = settle(features(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
@@ -136,7 +178,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     positives = known.where("quality = 1").select("doc_id", F.lit(True).alias("positive"))
     if share["n"]:
         rows = found.join(positives, "doc_id", "left").select("bins", F.coalesce("positive", F.lit(False)).alias("positive"))
-        how = score(minimise(*moments(rows), prior))
+        u, p = moments(rows)
+        if np.trace(p) / len(EDGES) >= PRIOR_LEAST:
+            prior = min(1 - 1e-3, max(1e-3, estimated_prior(rows, u, p)))
+        how = score(minimise(u, p, prior))
     else:
         how = F.lit(prior)
     out = found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), how.alias("score"))

@@ -1,10 +1,15 @@
 """Operator 8: main text of web pages by the distribution of line blocks.
 
 Markup is stripped into lines, one for each block of the page. Lines inside chrome (navigation,
-forms, adverts, comments and the like) and lines made of links weigh nothing but stay in the
-count. The weights are summed over sliding windows of lines; text begins where the sum surges
-above a threshold and ends where it dives to nothing. If a page marks its main part, lines
-elsewhere weigh nothing and any text at all is a surge.
+forms, adverts, comments and the like) weigh nothing, links weigh nothing, other text weighs its
+length. The weights are summed over sliding windows of lines: text begins where the sum surges
+above a threshold, and ends where it dives to nothing, at the last line that weighed something.
+What lies between is kept, but for chrome.
+
+Tags say what is chrome for sure. Names of classes are weaker evidence: only whole names count,
+and an element that holds half of the page's text is a wrapper, whatever its name. If a page
+marks its main part and that part isn't a small piece of the text, lines in it weigh their whole
+length and any other line nothing, so that the sums find that part.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,152 +25,225 @@ from pyspark.sql import functions as F
 
 #: Lines in a window; a surge needs this sum, or a quarter of the highest one if that is less.
 WINDOW, SURGE = 3, 80
+#: Share of a page's text that makes a named element a wrapper; least share of a marked main part.
+WRAPPER, MARKED = 0.5, 0.2
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
-_RAW = frozenset("script style title textarea template noscript iframe object svg math head select option".split())
+#: A tag: no `<` outside quotes. Without a match, a tag with a stray quote. Both read each character once.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_STRAY = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
+#: What stands between `<` and the mark at the end of a comment and the like.
+_SPANS = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">"))
+_RAW = frozenset("script style title textarea template noscript iframe object svg select datalist canvas audio video annotation annotation-xml".split())
+#: Without an end tag these run to the end of the page.
+_RUNS_ON = frozenset("script style title textarea template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_CHROME = frozenset("nav footer aside form menu dialog button header fieldset".split())
+_CHROME = frozenset("nav footer aside form menu dialog button fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id names that mark what isn't the article. Fixed values.
+#: Words of class and id names that mark what isn't the article, those of reader comments, and words that may stand beside them. Fixed values.
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets header masthead topbar footer copyright legal comment comments commentlist respond disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets header masthead topbar footer copyright share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip".split()
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_PARTS = re.compile(r"[a-z]+|[0-9]+")
+_COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
+_BEFORE = frozenset("site page main global top bottom left right primary secondary user reader post article".split())
+_AFTER = frozenset("bar box block area section container wrapper wrap inner outer list item items link links slot unit top bottom left right main primary secondary post posts form thread feed".split())
+_HEADS = frozenset(("header", "footer"))
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+_SPLIT = re.compile(r"[-_:0-9]+")
+
+
+def named(value: str) -> tuple[bool, bool]:
+    """(chrome, comments): what the names in a class or id say."""
+    chrome = comments = False
+    for name in _CAMEL.sub(r"\1-\2", value).lower().split():
+        parts = [p for p in _SPLIT.split(name) if p]
+        hits = [p for p in parts if p in _NAMES or p in _COMMENTS]
+        rest = [p for p in parts if p not in hits]
+        if not hits or not _HEADS.isdisjoint(hits) and not {"post", "article"}.isdisjoint(rest):
+            continue
+        first = parts.index(hits[0])
+        if all(p in _BEFORE for p in parts[:first]) and all(p in _AFTER or p in hits for p in parts[first:]):
+            chrome = True
+            comments |= not _COMMENTS.isdisjoint(hits)
+    return chrome, comments
+
+
+@dataclass
+class Line:
+    text: str
+    linked: int  # characters in links
+    chrome: bool  # for sure
+    named: tuple[int, ...]  # elements around it whose names say chrome
+    main: bool  # in a marked main part
+
 
+class Page:
+    """The lines of a page, read in one pass over its markup."""
 
-def _kind(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """(chrome, main) of an element."""
-    main = name in ("article", "main")
-    chrome = name in _CHROME and not (name == "header" and in_main)
-    if attributes and not attributes.isspace():
-        for m in _ATTRIBUTE.finditer(attributes):
-            value = m[2] or m[3] or m[4] or ""
-            if m[1] == "role":
-                chrome |= value.strip().lower() in _ROLES
-                main |= value.strip().lower() in ("main", "article")
-            elif m[1] == "hidden" or m[1] == "aria-hidden" and value == "true":
-                chrome = True
-            elif m[1] in ("class", "id") and name not in ("html", "body"):
-                parts = _PARTS.findall(_CAMEL.sub(r"\1-\2", value).lower())
-                chrome |= name != "main" and not _NAMES.isdisjoint(parts)
-    return chrome, main and not chrome
-
-
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in main part) of the page's blocks in order; chrome has weight and text of nothing."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    opened: Counter = Counter()
-    chrome = main = links = 0
-    buffer: list[str] = []
-    linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(buffer).split())
-        if text:
-            out.append(("", 0, False) if chrome else (text, 0 if 2 * linked > len(text) else len(text), main > 0))
-        buffer.clear()
-        linked = 0
-
-    def add(piece: str) -> None:
-        nonlocal linked
+    def __init__(self, page: str):
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, bool, bool, int]] = []  # name, chrome, main, number among the named or -1
+        self.opened: Counter = Counter()
+        self.chrome = self.main = self.links = self.linked = 0
+        self.suspects: list[int] = []
+        self.comments: list[bool] = []  # for each named element
+        self.holds_title: list[bool] = []
+        self.buffer: list[str] = []
+        self._read(page)
+        self._flush()
+
+    def _read(self, page: str) -> None:
+        at, end, absent = 0, len(page), set()
+        cut = page.rfind("<") if page.rfind("<") > page.rfind(">") else end  # where the page's end may cut off a tag
+        while at < end:
+            begin = page.find("<", at)
+            if begin < 0:
+                return self._add(page[at:])
+            self._add(page[at:begin])
+            span = next((s for s in _SPANS if page.startswith(s[0], begin)), None)
+            if span:
+                close = -1 if span[1] in absent else page.find(span[1], begin + len(span[0]))
+                if close < 0:
+                    absent.add(span[1])
+                at = end if close < 0 and span[0] == "<!--" else begin + len(span[0]) if close < 0 else close + len(span[1])
+                continue
+            t = _TAG.match(page, begin) or _STRAY.match(page, begin)
+            if not t:
+                if begin == cut and page[begin + 1 : begin + 3].lstrip("/")[:1].isalpha():
+                    return
+                self._add("<")
+                at = begin + 1
+                continue
+            at = t.end()
+            name = t[2].lower()
+            if t[1]:
+                self._close(name)
+            elif name in _RAW:
+                gone = None if name in absent else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if gone:
+                    at = gone.end()
+                else:
+                    absent.add(name)
+                    at = end if name in _RUNS_ON else at
+            elif name in _VOID:
+                if name == "hr":
+                    self._flush()
+                else:
+                    self._add(" ")
+            else:
+                self._open(name, t[3])
+
+    def _add(self, piece: str) -> None:
         if piece:
-            buffer.append(html.unescape(piece) if "&" in piece else piece)
-            if links:
-                linked += len(buffer[-1])
+            self.buffer.append(piece)
+            self.linked += len(piece) if self.links else 0
+
+    def _flush(self) -> None:
+        if self.buffer:
+            # white space in a reference is text of its own until it is decoded
+            text = " ".join(html.unescape("".join(self.buffer)).split())
+            if text:
+                self.lines.append(Line(text, self.linked, self.chrome > 0, tuple(self.suspects), self.main > 0))
+            self.buffer, self.linked = [], 0
 
-    def close(name: str) -> None:
-        nonlocal chrome, main
+    def _open(self, name: str, attributes: str) -> None:
+        chrome, suspect, comments, main = name in _CHROME or name == "header" and not self.main, False, False, name in ("article", "main")
+        if attributes and not attributes.isspace():
+            for m in _ATTRIBUTE.finditer(attributes):
+                kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                if kind == "role":
+                    chrome |= value.strip().lower() in _ROLES
+                    main |= value.strip().lower() in ("main", "article")
+                elif kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
+                    chrome = True
+                elif kind in ("class", "id") and name not in ("html", "body", "main"):
+                    found = named(value)
+                    suspect, comments = suspect or found[0], comments or found[1]
+        if name == "a":
+            self.links = 1
+        if name in ("h1", "article", "main"):
+            for k in self.suspects:
+                self.holds_title[k] = True
+        if name in _BLOCK or chrome or suspect:
+            self._flush()
+            if self.stack and name in _BLOCK and (self.stack[-1][0] == "p" or name == "li" == self.stack[-1][0]):
+                self._close(self.stack[-1][0])
+            number = -1
+            if suspect:
+                number = len(self.comments)
+                self.comments.append(comments)
+                self.holds_title.append(name in ("article", "main"))
+                self.suspects.append(number)
+            self.stack.append((name, chrome, main, number))
+            self.opened[name] += 1
+            self.chrome += chrome
+            self.main += main
+
+    def _close(self, name: str) -> None:
+        if name == "a":
+            self.links = 0
+        if name in _BLOCK or self.opened[name]:
+            self._flush()
+        if not self.opened[name]:
+            return
         while True:
-            top, c, m = stack.pop()
-            opened[top] -= 1
-            chrome -= c
-            main -= m
+            top, chrome, main, number = self.stack.pop()
+            self.opened[top] -= 1
+            self.chrome -= chrome
+            self.main -= main
+            if number >= 0:
+                self.suspects.pop()
             if top == name:
                 return
 
-    at, end = 0, len(page)
-    while at < end:
-        t = _TOKEN.search(page, at)
-        if not t:
-            rest = page[at:]
-            # a tag that the page's end cuts off isn't text
-            cut = rest.rfind("<")
-            add(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]?[^>]*\Z", rest[cut:]) else rest)
-            break
-        add(page[at : t.start()])
-        at = t.end()
-        name = (t[2] or t[5] or "").lower()
-        if not name:
-            continue
-        if t[1] or t[4]:
-            if name == "a":
-                links = 0
-            if name in _BLOCK:
-                flush()
-            if opened[name]:
-                if name not in _BLOCK:
-                    flush()
-                close(name)
-        elif name in _RAW:
-            gone = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if gone or name in ("script", "style", "title", "textarea", "template"):
-                at = gone.end() if gone else end
-        elif name in _VOID:
-            if name == "hr":
-                flush()
-            else:
-                add(" ")
-        else:
-            is_chrome, is_main = _kind(name, t[3] or t[6] or "", main > 0)
-            if name in _BLOCK:
-                flush()
-                if stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-                    close(stack[-1][0])
-            elif is_chrome:
-                flush()
-            elif name == "a":
-                links = 1
-            if name in _BLOCK or is_chrome:
-                stack.append((name, is_chrome, is_main))
-                opened[name] += 1
-                chrome += is_chrome
-                main += is_main
-    flush()
-    return out
+    def wrappers(self) -> set[int]:
+        """Named elements that hold the page's text after all."""
+        held: Counter = Counter()
+        total = 0
+        for x in self.lines:
+            if not x.chrome:
+                total += len(x.text)
+                for k in x.named:
+                    held[k] += len(x.text)
+        return {k for k, n in held.items() if n >= WRAPPER * total and (self.holds_title[k] or not self.comments[k])}
 
 
 def extract(page: str) -> str:
     """The main text of a page, one line for each block; '' if there is none."""
-    found = lines(page)
-    marked = any(m and t for t, _, m in found)
-    weights = [len(t) if m else 0 for t, _, m in found] if marked else [w for _, w, _ in found]
+    found = Page(page)
+    wrappers = found.wrappers()
+    chrome = [x.chrome or not wrappers.issuperset(x.named) for x in found.lines]
+    size = [0 if c else len(x.text) for x, c in zip(found.lines, chrome, strict=True)]
+    in_main = sum(n for x, n in zip(found.lines, size, strict=True) if x.main)
+    marked = in_main > 0 and in_main >= MARKED * sum(size)
+    # runs of chrome count as one line, so that adverts inside the text don't end it
+    rows = [k for k in range(len(size)) if not (chrome[k] and k and chrome[k - 1])]
+    weights = [(size[k] if found.lines[k].main else 0) if marked else max(0, size[k] - found.lines[k].linked) for k in rows]
     sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
     least = 0 if marked else min(SURGE, max(sums, default=0) / 4)
-    kept, inside = [], False
-    for k, (text, _, _) in enumerate(found):
-        if not inside:
-            inside = sums[k] > least and weights[k] > 0  # surge
-        elif sums[k] == 0:
-            inside = False  # dive
-        if inside and weights[k]:
-            kept.append(text)
-    return "\n".join(kept)
+    kept: list[int] = []
+    begin = last = None
+    for k, weight in enumerate(weights):
+        if begin is None:
+            if sums[k] > least and weight:  # surge
+                begin = last = k
+        elif weight:
+            last = k
+        if begin is not None and (not sums[k] or k == len(weights) - 1):  # dive
+            kept += rows[begin : last + 1]
+            begin = None
+    keep = [k for k in kept if not chrome[k] and (not marked or found.lines[k].main)]
+    return "\n".join(found.lines[k].text for k in keep)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row; null or empty html, and pages without text, give ''.
 
     Repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
+    Very long pages are read whole, in time that grows with their length.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

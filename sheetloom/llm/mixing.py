@@ -3,7 +3,8 @@
 Targets come from weights by water-filling. Every source is laid out in a shuffled order and cut
 into blocks of equal tokens. Slots of the mix take the points frac((n + 1/2) * phi); a point
 falls into a source's part of the cumulative weights, and the k-th slot of a source takes its
-block k modulo the number of its blocks, so sources interleave evenly at every length.
+block k modulo the number of its blocks, so sources interleave evenly at every length. A source
+that the points leave short of its quota gets the slots it lacks at the end of the schedule.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from .words import WORD
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Blocks of the whole corpus, about; a block has BLOCK_LEAST tokens at least.
-BLOCKS, BLOCK_LEAST = 1 << 18, 8
+#: Blocks of the whole corpus, about, and of each source at least; a block has one token at least.
+#: Targets are met to half a block, so to 1 part in 2 * OWN_BLOCKS of a source, or to half a token.
+BLOCKS, OWN_BLOCKS = 1 << 18, 1 << 10
 #: Parts of a source's shuffled order, parts of the unit interval, slots ranked together.
 BUCKETS, CELLS, RUN = 1024, 4096, 4096
 PHI = 0.6180339887498949
@@ -53,8 +55,8 @@ def plan(sizes: DataFrame) -> DataFrame:
     s = s.withColumn("level", level).withColumn("rank", F.row_number().over(order))
     open_ = F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.struct("rank", "level"))).over(one)["level"]
     s = s.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * open_), F.col("cap")))
-    block = F.greatest(F.lit(BLOCK_LEAST), F.ceil(F.sum("source_size").over(one) / BLOCKS))
-    s = s.withColumn("blocks", F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.rint(F.col("source_size") / block).cast("long"))).otherwise(0))
+    block = F.ceil(F.sum("source_size").over(one) / BLOCKS)
+    s = s.withColumn("blocks", F.least("source_size", F.greatest(F.lit(OWN_BLOCKS), F.rint(F.try_divide("source_size", block)).cast("long"))))
     s = s.withColumn("quota", F.when(F.col("blocks") > 0, F.rint(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).otherwise(0))
     upto = F.sum("quota").over(W.orderBy("sid"))
     slots = F.sum("quota").over(one)
@@ -64,12 +66,12 @@ def plan(sizes: DataFrame) -> DataFrame:
 def schedule(sources: DataFrame) -> DataFrame:
     """The mix in order: slot, sid, rank of the slot in its source, pass, block.
 
-    A few more points than slots are drawn, as a source's points run ahead of or behind its
-    part by some; each source stops at its quota.
+    A source's points run ahead of or behind its part by a few. Each source stops at its quota;
+    ranks that no point gave come after the last point, so every quota is met.
     """
     spark = sources.sparkSession
     slots = sources.agg(F.max("slots").alias("n")).first()["n"] or 0
-    points = spark.range(slots + slots // 64 + 256 if slots else 0).withColumnRenamed("id", "slot")
+    points = spark.range(slots).withColumnRenamed("id", "slot")
     points = points.withColumn("u", F.pmod((F.col("slot") + 0.5) * F.lit(PHI), F.lit(1.0))).withColumn("cell", F.floor(F.col("u") * CELLS))
     parts = sources.where("quota > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
     at = points.join(settle(parts.select("cell", "sid", "lo", "hi", "blocks", "quota")), "cell").where("u >= lo and u < hi")
@@ -77,7 +79,11 @@ def schedule(sources: DataFrame) -> DataFrame:
     counts = at.groupBy("sid", "run").agg(F.count("*").alias("n"))
     counts = counts.select("sid", "run", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
     at = at.withColumn("rank", F.row_number().over(W.partitionBy("sid", "run").orderBy("slot")) - 1).join(counts, ["sid", "run"])
-    at = at.withColumn("rank", F.col("rank") + F.col("n0")).where("rank < quota")
+    at = at.withColumn("rank", F.col("rank") + F.col("n0")).where("rank < quota").select("slot", "sid", "rank", "blocks")
+    given = at.groupBy("sid").agg(F.count("*").alias("n"))
+    short = sources.join(given, "sid", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < quota")
+    late = short.select("sid", "blocks", F.explode(F.expr("sequence(n, quota - 1)")).alias("rank"))
+    at = at.unionByName(late.select((F.lit(slots) + F.col("rank")).alias("slot"), "sid", "rank", "blocks"))
     return at.select("slot", "sid", "rank", F.expr("rank div blocks").alias("pass"), F.pmod("rank", "blocks").alias("block"))
 
 

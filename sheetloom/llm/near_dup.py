@@ -2,16 +2,17 @@
 
 Every document keeps the K smallest hashes of its shingles, from one hash function. Two
 documents of similarity 0.75 have many retained values in common: all of `need` values for sets
-that are kept whole, and LEAST of K for larger ones but for a chance of 2 in a million at
-exactly 0.75. So if all documents put their retained values in one order and leave out the last
+that are kept whole, and LEAST of K for larger ones but for a chance of 1 in ten million
+at exactly 0.75. So if all documents put their retained values in one order and leave out the last
 need - 1 of them, any two such documents still have a value in common. The order is by the
 number of documents that hold a value, rarest first: values of widespread passages come last
 and are left out, and values that one document holds alone need no list at all.
 
-Equal sets are one node from the start. Each inverted list first links its members to its
-smallest member. Members of a list that are then still in different components are compared
-within the list, block by block, by the number of common values in the union of their sketches.
-All links are confirmed on the full sets of shingles.
+Equal sets are one node from the start. Each inverted list first links its members to its hub,
+the member with the fewest values of its own: an original has none, its edited copies have some.
+Members of a list that are then still in different components are compared within the list, block
+by block: first by the common values of their sketches, then on the full sets, and of the links
+found only those that join components are told. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from .words import Words, each_chunk
 SHINGLE, K = 5, 64
 #: Similarity of 75 %, in whole numbers.
 PART, WHOLE = 75, 100
-#: Common values of two sketches that aren't whole sets: P[Bin(64, 0.75) < 32] is 2 in a million.
-LEAST = 32
+#: Common values of two sketches that aren't whole sets: P[Bin(64, 0.75) < 29] is 1 in ten million.
+LEAST = 29
 #: Sets of up to so many values have only partners that are kept whole, too.
 SURE = K * PART // WHOLE
-#: Members of a list compared in one task, and values counted at once; longer lists are compared block by block.
-BLOCK, COLUMNS = 1024, 4096
+#: Members of a list compared in one task and their shingles, about; longer lists are compared block by block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Values counted at once, and pairs for each member from which counting all pairs at once is cheaper.
+COLUMNS, DENSE = 4096, 16
 
 
 def shingle_sets(words: Words) -> Iterator[np.ndarray]:
@@ -98,7 +101,7 @@ def fit(n1: Column, n2: Column) -> Column:
 
 
 def rare_lists(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """(value, doc_id, n): the inverted lists of the rarest retained values.
+    """(value, doc_id, n, own): the inverted lists of the rarest retained values; own counts the values that a document holds alone.
 
     `rows` has node and sketch, `heads` node, doc_id and n of those nodes that get into lists.
     Values of one node alone are the rarest; they count as kept but need no list.
@@ -107,7 +110,7 @@ def rare_lists(rows: DataFrame, heads: DataFrame) -> DataFrame:
     shared = settle(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     held = values.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("held"))
     kept = held.join(heads, "node").withColumn("kept", F.slice("held", 1, F.greatest(F.size("held") - need(F.col("n")) + 1, F.lit(0))))
-    return kept.select("doc_id", "n", F.explode("kept.value").alias("value"))
+    return kept.select("doc_id", "n", (F.least("n", F.lit(K)) - F.size("held")).alias("own"), F.explode("kept.value").alias("value"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,60 +125,93 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(F.when(likely, exact).otherwise(False)).select("a", "b")
 
 
-def likely(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
-    """Pairs of rows (doc_id, comp, n, sketch) of different components whose sketches can reach the limit.
+def common_counts(sets: list[np.ndarray], first: int, second: int) -> np.ndarray:
+    """Common values of each set before `first` with each one from `second` on.
 
-    `b` None: pairs within `a`. Common values are counted for all pairs at once, by products of
-    0/1 matrices over the values that occur twice, COLUMNS of them at a time.
+    Counted for all pairs at once, by products of 0/1 matrices over the values that occur twice,
+    COLUMNS of them at a time.
     """
-    both = a if b is None else pd.concat([a, b], ignore_index=True)
-    values = np.concatenate(both["sketch"].to_list())
-    rows = np.repeat(np.arange(len(both)), [len(x) for x in both["sketch"]])
+    values = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, number, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count[number] > 1
     rows, columns = rows[shared], np.unique(number[shared], return_inverse=True)[1]
-    at = slice(None) if b is None else slice(len(a), None)
-    common = np.zeros((len(a), len(both) - (0 if b is None else len(a))), np.float32)
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
+    common = np.zeros((first, len(sets) - second), np.float32)
     for begin in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
         lo, hi = np.searchsorted(columns, [begin, begin + COLUMNS])
-        hits = np.zeros((len(both), min(COLUMNS, int(columns[hi - 1]) - begin + 1)), np.float32)
+        hits = np.zeros((len(sets), min(COLUMNS, int(columns[hi - 1]) - begin + 1)), np.float32)
         hits[rows[lo:hi], columns[lo:hi] - begin] = 1
-        common += hits[: len(a)] @ hits[at].T
-    n, comp, ids = (both[c].to_numpy() for c in ("n", "comp", "doc_id"))
-    n1, n2 = n[: len(a), None], n[None, at]
-    least = np.where(n <= SURE, -(-n * PART // WHOLE), LEAST)
-    good = (common >= np.maximum(least[: len(a), None], least[None, at])) & (np.minimum(n1, n2) * WHOLE >= PART * np.maximum(n1, n2)) & (comp[: len(a), None] != comp[None, at])
-    # sets that are both kept whole need no estimate
-    good &= ((n1 > K) | (n2 > K)) | (WHOLE * common >= PART * (n1 + n2 - common))
-    i, j = np.nonzero(np.triu(good, 1) if b is None else good)
-    j = j if b is None else j + len(a)
-    return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+        common += hits[:first] @ hits[second:].T
+    return common
 
 
-def within_lists(members: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of the lists in `members` (value, n_members, doc_id, comp, n, sketch).
+def joining(members: pd.DataFrame, first: int, second: int) -> pd.DataFrame:
+    """Links (a, b) that join components, of rows before `first` with rows from `second` on.
 
-    A list of more than BLOCK members is cut into blocks by a hash of the id; each pair of
-    blocks is a group of its own, so no task holds more than two blocks of a list.
+    `members` has doc_id, comp and shingles. Pairs whose sketches can't reach the limit are left out first.
+    """
+    sets = members["shingles"].to_list()
+    n, comp, ids = np.array([len(x) for x in sets]), members["comp"].to_list(), members["doc_id"].to_list()
+    common = common_counts([x[:K] for x in sets], first, second)
+    n1, n2 = n[:first, None], n[None, second:]
+    least = np.where(n <= SURE, -(-n * PART // WHOLE), LEAST)
+    codes = np.unique(comp, return_inverse=True)[1]
+    good = (common >= np.maximum(least[:first, None], least[None, second:])) & (np.minimum(n1, n2) * WHOLE >= PART * np.maximum(n1, n2)) & (codes[:first, None] != codes[None, second:])
+    if not second:
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    order = np.argsort(-common[i, j], kind="stable")  # the likeliest first, so that few others are left to look at
+    i, j = i[order], j[order] + second
+    exact = None
+    if len(i) > DENSE * len(sets):
+        exact = common_counts(sets, first, second)[i, j - second]
+        links = WHOLE * exact >= PART * (n[i] + n[j] - exact)
+        i, j = i[links], j[links]
+    over = {c: c for c in comp}
+
+    def top(c: int) -> int:
+        while over[c] != c:
+            over[c] = c = over[over[c]]
+        return c
+
+    found = []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = top(comp[p]), top(comp[q])
+        if x == y:
+            continue
+        if exact is None:
+            k = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if WHOLE * k < PART * (n[p] + n[q] - k):
+                continue
+        over[max(x, y)] = min(x, y)
+        found.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def within_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within the lists in `members` (value, doc_id, n, comp).
+
+    A list of more than BLOCK members, or BLOCK_SHINGLES shingles, is cut into blocks by a hash
+    of the id; each pair of blocks is a group of its own, so no task holds more than two blocks
+    of a list.
     """
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    m = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = members.groupBy("value").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    m = members.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         if pdf["comp"].nunique() < 2:
             return none
-        if i == j:
-            return likely(pdf.reset_index(drop=True), None)
-        a, b = (pdf[pdf["own"] == x].reset_index(drop=True) for x in (i, j))
-        return likely(a, b) if len(a) and len(b) else none
+        if (pdf["i"] == pdf["j"]).all():
+            return joining(pdf, len(pdf), 0)
+        pdf = pdf.sort_values("own", kind="stable").reset_index(drop=True)
+        first = int((pdf["own"] == pdf["own"].iloc[0]).sum())
+        return joining(pdf, first, first) if first < len(pdf) else none
 
-    return m.select("value", "i", "j", "own", "doc_id", "comp", "n", "sketch").groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return m.join(sets, "doc_id").select("value", "i", "j", "own", "doc_id", "comp", "shingles").groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -195,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = of_class.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     heads = of_class.where("doc_id = rep").select("node", "doc_id", "n").distinct()
     lists = settle(rare_lists(known, heads))
-    hubs = settle(lists.groupBy("value").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("n_members")).where("n_members > 1"))
+    hubs = settle(lists.groupBy("value").agg(F.min(F.struct("own", "doc_id", "n")).alias("hub"), F.count("*").alias("n_members")).where("n_members > 1"))
     lists = settle(lists.join(hubs, "value"))
     ids = settle(lists.select("doc_id").distinct())
     sets = settle(full_sets(docs.join(ids.select(F.col("doc_id").alias("listed")), docs["doc_id"].cast("long") == F.col("listed"), "left_semi")).distinct())
@@ -205,13 +241,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = components(links)
     # lists whose members, but for the hub that all were compared with, are not yet all in one component
     at = lists.where(F.col("doc_id") != F.col("hub.doc_id")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    at = settle(at.select("value", "n_members", "doc_id", "n", "comp"))
+    at = settle(at.select("value", "doc_id", "n", "comp"))
     # and only one of those that have the same members
     members_hash = F.struct(F.count("*"), F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64("doc_id", F.lit(1))))
     mixed = at.groupBy("value").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), members_hash.alias("same")).where("least <> most")
     mixed = settle(mixed.groupBy("same").agg(F.min("value").alias("value")).select("value"))
-    members = at.join(mixed, "value", "left_semi").join(sets.select("doc_id", F.slice("shingles", 1, K).alias("sketch")), "doc_id")
-    more = settle(confirmed(within_lists(members).join(stars, ["a", "b"], "left_anti"), sets))
+    more = settle(within_lists(settle(at.join(mixed, "value", "left_semi")), sets))
     comp = components(links.unionByName(more).unionByName(same))
     out = found.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("node"), "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))

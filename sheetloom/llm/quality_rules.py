@@ -1,12 +1,17 @@
 """Operator 2: quality rules whose cutoffs carry a proven limit on false rejection.
 
-Rules reject a document when a statistic of its text is above a cutoff. The cutoffs are not
-guessed: for each rule and stratum (language), the documents labelled good are a holdout. A
-cutoff that rejects k of n good documents is certified when that few rejections would be
+Rules reject a document when a statistic of its text is above the rule's cutoff. The cutoffs of
+all rules move together along one path that is fixed beforehand: from loose ones, by equal
+factors, down to FLOORS. So a document is rejected from some step of the path on, and a step is
+all that has to be kept of it.
+
+How far down a stratum (language) may go is decided by its documents labelled good, as a
+holdout. A step that rejects k of n good documents is certified when so few rejections would be
 unlikely if the true rate of false rejection were above `alpha`: P[Bin(n, alpha) <= k] is at
-most the level, which is the exact (Clopper-Pearson) upper bound put as a test. Cutoffs of one
-rule are tested from the loosest to tighter ones and testing stops at the first failure, so
-they need no correction among themselves; rules and strata are corrected by Holm's method.
+most the level, which is the exact (Clopper-Pearson) upper bound put as a test. Steps are tested
+from the loosest on and testing stops at the first failure, so those of one stratum need no
+correction among themselves: a false certificate needs the first step that is truly too tight
+to pass, which has the probability of the level. Strata share delta equally (Bonferroni).
 """
 
 from __future__ import annotations
@@ -16,23 +21,22 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .store import settle
 from .words import each_text
 
-#: Rules: statistic of a document, as an SQL expression over the metrics.
+#: Rules: statistic of a document, as an SQL expression over the metrics, and its tightest cutoff.
 RULES = {
-    "symbols": "n_symbols / n_words",
-    "dup_lines": "n_dup_lines / n_lines",
-    "repeats": "n_repeat_words / n_words",
-    "capitals": "n_capitals / word_chars",
-    "bangs": "n_bangs / n_words",
+    "symbols": ("n_symbols / n_words", 0.1),
+    "dup_lines": ("n_dup_lines / n_lines", 0.3),
+    "repeats": ("n_repeat_words / n_words", 0.3),
+    "capitals": ("n_capitals / word_chars", 0.3),
+    "bangs": ("n_bangs / n_words", 0.1),
 }
-#: Steps of the grid of cutoffs; statistics are rounded up to the next step.
-STEPS = 100
+#: Steps of the path, and steps in which the cutoffs double; at step 0 they are the tightest ones.
+STEPS, DOUBLING = 64, 8
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 _CAPITALS = bytes(range(65, 91))
@@ -100,68 +104,53 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(terms - top).sum()))
 
 
-def certified(counts: pd.DataFrame, alpha: float, level: float) -> int | None:
-    """The tightest cutoff that fixed-sequence testing certifies, or None.
+def certified(counts: dict[int, int], alpha: float, level: float) -> int | None:
+    """The tightest step that fixed-sequence testing certifies, or None.
 
-    `counts` has columns step and n: good documents whose statistic lies in each step.
+    `counts` has the number of good documents for each step, the last one that keeps them.
     """
-    n = int(counts["n"].sum())
-    by = counts.groupby("step")["n"].sum()
-    found, above = None, 0
-    for step in range(STEPS, -1, -1):  # rejected: statistic in a step above the cutoff
-        above += int(by.get(step + 1, 0))
+    n = sum(counts.values())
+    found, above = None, sum(c for s, c in counts.items() if s > STEPS)
+    for step in range(STEPS, -1, -1):  # rejected: documents of a step above
         if above > n * alpha or binomial_cdf(above, n, alpha) > level:
             break
         found = step
+        above += counts.get(step, 0)
     return found
 
 
-def cutoffs(good: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """stratum, rule, cutoff (a step): `good` has stratum, rule, step, n.
+def step() -> Column:
+    """The tightest step of the path whose cutoffs all let a document pass, STEPS + 1 if none does."""
+    steps = [F.expr(f"case when {e} > {floor} then ceil({DOUBLING} * log2(({e}) / {floor})) else 0 end") for e, floor in RULES.values()]
+    return F.least(F.greatest(*steps), F.lit(STEPS + 1)).cast("long")
 
-    Its rows are at most strata x rules x (STEPS + 2), counts only. Holm's method needs the
-    smallest level that certifies each pair's loosest cutoff; pairs are taken by that p-value,
-    and the j-th of m gets the level delta / (m - j). Testing stops at the first that fails.
-    """
 
-    def p_value(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].sum())
-        k = int(pdf.loc[pdf["step"] > STEPS, "n"].sum())
-        return pd.DataFrame({"stratum": pdf["stratum"][:1], "rule": pdf["rule"][:1], "p": [binomial_cdf(k, n, alpha)]})
+def cutoffs(good: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """stratum, cutoff (a step): `good` has stratum, step, n: at most strata x (STEPS + 2) rows, counts only."""
+    strata = good.agg(F.count_distinct("stratum").alias("m")).first()["m"]
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = certified(pdf, alpha, float(pdf["level"].iloc[0]))
-        rows = [] if found is None else [(pdf["stratum"].iloc[0], pdf["rule"].iloc[0], found)]
-        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff"]).astype({"cutoff": "int64"})
+        found = certified(dict(zip(pdf["step"].tolist(), pdf["n"].tolist(), strict=True)), alpha, delta / strata)
+        return pd.DataFrame([] if found is None else [(pdf["stratum"].iloc[0], found)], columns=["stratum", "cutoff"]).astype({"cutoff": "int64"})
 
-    tests = good.groupBy("stratum", "rule").applyInPandas(p_value, "stratum string, rule string, p double")
-    order = W.orderBy("p", "stratum", "rule")  # one row for each stratum and rule
-    tests = tests.withColumn("j", F.row_number().over(order) - 1).withColumn("m", F.count("*").over(W.partitionBy()))
-    tests = tests.withColumn("level", F.lit(delta) / (F.col("m") - F.col("j")))
-    tests = tests.withColumn("failed", F.max((F.col("p") > F.col("level")).cast("int")).over(order)).where("failed = 0")
-    levels = tests.select("stratum", "rule", "level")
-    return good.join(levels, ["stratum", "rule"]).groupBy("stratum", "rule").applyInPandas(test, "stratum string, rule string, cutoff long")
+    return good.groupBy("stratum").applyInPandas(test, "stratum string, cutoff long")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """A verdict for every document: the metrics, base_failed, kept.
 
-    With probability 1 - delta, no stratum loses more than `alpha` of its good documents to the
-    certified rules (`alpha` is shared out equally among them). A stratum with too few labels
-    gets no cutoff and only the base rules. `labels` (doc_id, quality) may repeat rows; a
-    document with any label 1 counts as good, null labels don't count, and labels without a
-    document are ignored. Documents of null language form a stratum of their own. Rows are kept
-    as they are: one result for each input row, repeated rows included. A null or empty text has
-    no words and fails the base rules. No labels or no documents: no cutoffs.
+    With probability 1 - delta, no stratum loses more than `alpha` of its good documents that
+    pass the base rules to all other rules taken together. A stratum with too few labels gets no cutoff and only
+    the base rules: it takes log(delta / strata) / log(1 - alpha) good labels, 86 for four
+    strata. `labels` (doc_id, quality) may repeat rows; a document with any label 1 counts as
+    good, null labels don't count, and labels without a document are ignored. Documents of null
+    language form a stratum of their own. Rows are kept as they are: one result for each input
+    row, repeated rows included. A null or empty text has no words and fails the base rules; a
+    very long one is measured whole. No labels or no documents: no cutoffs.
     """
-    found = settle(metrics(docs))
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(f"cast(least(ceil({STEPS} * ({e})), {STEPS + 1}) as long)").alias("step")) for r, e in RULES.items()])
+    found = settle(metrics(docs).withColumn("step", F.when(~F.col("base_failed"), step())))
     marked = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = found.where("not base_failed").join(marked, "doc_id", "left_semi")
-    good = settle(good.select("stratum", F.explode(steps).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.count("*").alias("n")))
-    found_cuts = settle(cutoffs(good, alpha / len(RULES), delta).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")))
-    failed = F.lit(False)
-    for k, (r, _) in enumerate(RULES.items()):
-        failed |= F.coalesce(F.get(steps, F.lit(k))["step"] > F.col("cuts")[r], F.lit(False))
-    out = found.join(found_cuts, "stratum", "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~failed).select("doc_id", *_METRICS, "base_failed", "kept", "stratum")
+    good = settle(found.where("not base_failed").join(marked, "doc_id", "left_semi").groupBy("stratum", "step").agg(F.count("*").alias("n")))
+    out = found.join(settle(cutoffs(good, alpha, delta)), "stratum", "left")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("step") <= F.col("cutoff"), F.lit(True))
+    return out.withColumn("kept", kept).select("doc_id", *_METRICS, "base_failed", "kept", "stratum")
