@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -58,7 +59,31 @@ def _place(ref: str) -> tuple[int, int]:
     return int(row), col
 
 
-def _cell_value(c: ElementTree.Element, shared: list[str]) -> tuple | None:
+#: Numbers of the built-in formats that show dates or times.
+_DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+
+
+def _date_styles(z: zipfile.ZipFile) -> frozenset[int]:
+    """Numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return frozenset()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_MAIN}numFmt")}
+    plain = {k: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code).split(";")[0].lower() for k, code in own.items()}
+    dates = _DATE_FORMATS | {k for k, code in plain.items() if re.search("[dmyhs]", code) and code != "general"}
+    styles = root.find(f"{_MAIN}cellXfs")
+    return frozenset(k for k, x in enumerate(styles if styles is not None else ()) if int(x.get("numFmtId", 0)) in dates)
+
+
+def _moment(days: float, since_1904: bool) -> str:
+    """A serial number as text: a time of day below 1, else a date and time. The first calendar counts a 29 February 1900 that wasn't."""
+    if 0 <= days < 1:
+        return str((datetime.datetime.min + datetime.timedelta(milliseconds=round(days * 86_400_000))).time())
+    first = datetime.datetime(1904, 1, 1) if since_1904 else datetime.datetime(1899, 12, 31 if days < 60 else 30)
+    return str(first + datetime.timedelta(milliseconds=round(days * 86_400_000)))
+
+
+def _cell_value(c: ElementTree.Element, shared: list[str], dates: frozenset[int] = frozenset(), since_1904: bool = False) -> tuple | None:
     kind, v, f = c.get("t", "n"), c.find(f"{_MAIN}v"), c.find(f"{_MAIN}f")
     if f is not None and f.text:
         return f"={f.text}", None, "str"
@@ -73,6 +98,8 @@ def _cell_value(c: ElementTree.Element, shared: list[str]) -> tuple | None:
     if kind == "b":
         return str(v.text == "1"), None, "bool"
     n = float(v.text)
+    if int(c.get("s", 0)) in dates:
+        return _moment(n, since_1904), None, "other"
     return (str(int(n)), n, "int") if re.fullmatch(r"-?[0-9]+", v.text) else (str(n), n, "float")
 
 
@@ -83,6 +110,8 @@ def decode_xlsx(workbook_id: str, filename: str, content: bytes) -> Iterator[dic
     book = ElementTree.fromstring(z.read("xl/workbook.xml"))
     links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+    dates, about = _date_styles(z), book.find(f"{_MAIN}workbookPr")
+    since_1904 = about is not None and about.get("date1904") in ("1", "true")
     view = book.find(f"{_MAIN}bookViews/{_MAIN}workbookView")
     active = int(view.get("activeTab", 0)) if view is not None else 0
     for k, s in enumerate(book.iter(f"{_MAIN}sheet")):
@@ -90,16 +119,21 @@ def decode_xlsx(workbook_id: str, filename: str, content: bytes) -> Iterator[dic
         target = links[s.get(_LINK)].lstrip("/")
         root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
         for m in root.iter(f"{_MAIN}mergeCell"):
-            (r0, c0), (r1, c1) = map(_place, m.get("ref").split(":"))
+            (r0, c0), *end = map(_place, m.get("ref").split(":"))
+            r1, c1 = end[0] if end else (r0, c0)
             yield base | {"record_type": "merge", "sheet_idx": k, "row": r0, "col": c0, "max_row": r1, "max_col": c1}
         for c in root.iter(f"{_MAIN}c"):
-            if value := _cell_value(c, shared):
+            if value := _cell_value(c, shared, dates, since_1904):
                 row, col = _place(c.get("r"))
                 yield base | {"record_type": "cell", "sheet_idx": k, "row": row, "col": col} | dict(zip(("value_str", "value_num", "value_kind"), value, strict=True))
 
 
 def read_workbooks(files: DataFrame) -> DataFrame:
-    """Tagged records of `files` (workbook_id, filename, content); a file that fails gives an error record."""
+    """Tagged records of `files` (workbook_id, filename, content); a file that fails gives an error record.
+
+    A workbook is one compressed file, so one task decodes it; its records are held until the
+    last of them is read, as a file that breaks off gives its error alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
