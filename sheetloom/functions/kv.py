@@ -5,35 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import KEYS
+from .lexicon import KEY_ALIASES
 from .text import nonempty, strip
 
 KV = "array<struct<key:string,value:string>>"
-#: Separators in the order in which they are tried: colon, spaced dash, dash and blank, equals sign.
-_PATTERNS = (
-    r"(?is)^([A-Z][A-Z0-9\s/&\-]*?)\s*:\s*(.+)$",
-    r"(?is)^([A-Z][A-Z0-9\s/&]*?)\s+-\s+(.+)$",
-    r"(?is)^([A-Z][A-Z0-9\s/&]*?)-\s+(.+)$",
-    r"(?is)^([A-Z][A-Z0-9\s/&\-]*?)\s*=\s*(.+)$",
-)
-_ALIASES = {alias: key for key, aliases in KEYS.items() for alias in aliases}
+#: A key begins with a letter; it holds letters, digits, blanks, slashes, ampersands and dashes.
+_KEY = r"(?U)^[A-Za-z][A-Za-z0-9\s/&-]*$"
+_LONGEST = 30
 
 
 def normalize_key(c: Column) -> Column:
     key = F.upper(strip(c))
-    known = F.create_map(*[F.lit(x) for pair in _ALIASES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in KEY_ALIASES.items() for x in pair])
     return F.coalesce(F.try_element_at(known, key), key)
 
 
+def _halves(line: Column, at: Column) -> Column:
+    """What stands before and after the character at `at`, and the untrimmed part after it."""
+    rest = F.substring(line, at + 1, F.length(line))
+    return F.struct(strip(F.substring(line, F.lit(1), at - 1)).alias("key"), rest.alias("rest"), strip(rest).alias("value"))
+
+
+def _pair(halves: Column) -> Column:
+    """The halves as a pair, if the first can be a key and the second says something."""
+    fits = F.length(halves["key"]).between(1, _LONGEST) & (halves["value"] != "") & halves["key"].rlike(_KEY)
+    return F.when(fits, F.struct(normalize_key(halves["key"]).alias("key"), halves["value"].alias("value")))
+
+
+def _parsed(lines: Column) -> Column:
+    """(key, value) of each line of an array, or null.
+
+    A line is cut at its first colon; if that gives no pair, at its first dash, which a blank
+    must follow; if that gives none either, at its first equals sign. Each step names its result once.
+    """
+    stripped = F.transform(lines, strip)
+    cuts = F.transform(stripped, lambda x: F.struct(*[_halves(x, F.instr(x, sep)).alias(name) for name, sep in (("colon", ":"), ("dash", "-"), ("equals", "="))]))
+    spaced = lambda h: F.length(h["rest"]) > F.length(h["value"])  # noqa: E731  the line ends without blanks
+    return F.transform(cuts, lambda c: F.coalesce(_pair(c["colon"]), F.when(spaced(c["dash"]), _pair(c["dash"])), _pair(c["equals"])))
+
+
 def parse_line(c: Column) -> Column:
     """(key, value) of one line, or null. A key of over 30 characters lets the next separator try."""
-    line = strip(c)
-    tries = []
-    for p in _PATTERNS:
-        key = strip(F.regexp_extract(line, p, 1))
-        fits = line.rlike(p) & (F.length(key) <= 30) & (F.length(key) > 0)
-        tries.append(F.when(fits, F.struct(normalize_key(key).alias("key"), strip(F.regexp_extract(line, p, 2)).alias("value"))))
-    return F.coalesce(*tries)
+    return F.get(_parsed(F.array(c)), F.lit(0))
 
 
 def first_wins(pairs: Column) -> Column:
@@ -42,13 +55,12 @@ def first_wins(pairs: Column) -> Column:
 
 
 def _pairs(lines: Column) -> Column:
-    return F.filter(F.transform(lines, parse_line), lambda e: e.isNotNull())
+    return F.filter(_parsed(lines), lambda e: e.isNotNull())
 
 
 def parse_kv(c: Column) -> Column:
     """All pairs of a text; lines are cut at `|` too. Null and text without pairs: an empty array."""
-    lines = F.flatten(F.transform(F.split(c, "\n"), lambda line: F.split(line, r"\|")))
-    return F.coalesce(first_wins(_pairs(lines)), F.array().cast(KV))
+    return F.coalesce(first_wins(_pairs(F.split(c, r"[\n|]"))), F.array().cast(KV))
 
 
 def parse_kv_multi(c: Column) -> Column:
@@ -61,7 +73,8 @@ def parse_kv_multi(c: Column) -> Column:
 
 def non_kv_lines(c: Column) -> Column:
     lines = F.transform(F.split(c, "\n"), strip)
-    return F.coalesce(F.filter(lines, lambda x: (x != "") & parse_line(x).isNull()), F.array().cast("array<string>"))
+    both = F.filter(F.arrays_zip(lines.alias("line"), _parsed(lines).alias("pair")), lambda e: (e["line"] != "") & e["pair"].isNull())
+    return F.coalesce(F.transform(both, lambda e: e["line"]), F.array().cast("array<string>"))
 
 
 def merge_kv(*kvs: Column) -> Column:
@@ -88,10 +101,6 @@ def has_kv(c: Column) -> Column:
     return F.size(parse_kv(c)) > 0
 
 
-def as_map(kv: Column) -> Column:
-    return F.map_from_entries(kv)
-
-
 def details_to_kv(details: Column) -> Column:
     """Pairs of detail rows (key, value), keys normalised, blanks left out."""
     made = F.transform(details, lambda d: F.struct(normalize_key(d["key"]).alias("key"), nonempty(d["value"]).alias("value")))

@@ -48,34 +48,69 @@ FUZZY_THRESHOLD = 0.75
 ROOM_HEADERS = ["room", "location", "item & location", "item and location", "item/location"]
 USABLE = ["item_location", "specs", "manufacturer", "notes", "qty", "cost", "product_name"]
 
-# Keys of KEY: VALUE text and their canonical names.
-KEYS = {
-    "PRODUCT": ["PRODUCT"],
-    "NAME": ["NAME"],
-    "ITEM": ["ITEM"],
-    "RANGE": ["RANGE"],
-    "COLOUR": ["COLOR", "COLOUR", "COIR COLOUR", "COIR COLOR"],
-    "FINISH": ["FINISH", "SURFACE", "SURFACE FINISH"],
-    "MATERIAL": ["MATERIAL", "COMPOSITION", "SPECIES"],
-    "WIDTH": ["WIDTH", "W", "WIDE"],
-    "LENGTH": ["LENGTH", "L", "LEN", "LONG"],
-    "DEPTH": ["DEPTH", "D"],
-    "HEIGHT": ["HEIGHT", "H", "HT"],
-    "THICKNESS": ["THICKNESS", "THK"],
-    "SIZE": ["SIZE", "DIMENSIONS", "DIMS", "DIM", "SHEET SIZE", "SHEET SIZE MAX"],
-    "MAKER": ["MAKER", "MAKE"],
-    "BRAND": ["BRAND"],
-    "MANUFACTURER": ["MANUFACTURER"],
-    "SUPPLIER": ["SUPPLIER", "VENDOR", "COMPANY"],
-    "CODE": ["CODE", "REF", "REFERENCE", "PRODUCT CODE", "ITEM CODE", "SKU"],
-    "STYLE": ["STYLE"],
-    "LEAD_TIME": ["LEAD TIME", "LEADTIME"],
-    "NOTES": ["NOTES", "NOTE", "COMMENTS", "COMMENT"],
-    "CARPET_THICKNESS": ["CARPET THICKNESS"],
-    "PILE_HEIGHT": ["PILE HEIGHT"],
-    "PILE_WEIGHT": ["PILE WEIGHT"],
-    "INSTALLATION": ["INSTALLATION"],
-    "QTY": ["QTY", "QUANTITY"],
+# Other spellings of the keys of KEY: VALUE text, and the keys they stand for.
+KEY_ALIASES = {
+    "COLOR": "COLOUR",
+    "COIR COLOUR": "COLOUR",
+    "COIR COLOR": "COLOUR",
+    "SURFACE": "FINISH",
+    "SURFACE FINISH": "FINISH",
+    "COMPOSITION": "MATERIAL",
+    "SPECIES": "MATERIAL",
+    "W": "WIDTH",
+    "WIDE": "WIDTH",
+    "L": "LENGTH",
+    "LEN": "LENGTH",
+    "LONG": "LENGTH",
+    "D": "DEPTH",
+    "H": "HEIGHT",
+    "HT": "HEIGHT",
+    "THK": "THICKNESS",
+    "DIMENSIONS": "SIZE",
+    "DIMS": "SIZE",
+    "DIM": "SIZE",
+    "SHEET SIZE": "SIZE",
+    "SHEET SIZE MAX": "SIZE",
+    "MAKE": "MAKER",
+    "VENDOR": "SUPPLIER",
+    "COMPANY": "SUPPLIER",
+    "REF": "CODE",
+    "REFERENCE": "CODE",
+    "PRODUCT CODE": "CODE",
+    "ITEM CODE": "CODE",
+    "SKU": "CODE",
+    "LEAD TIME": "LEAD_TIME",
+    "LEADTIME": "LEAD_TIME",
+    "NOTE": "NOTES",
+    "COMMENTS": "NOTES",
+    "COMMENT": "NOTES",
+    "CARPET THICKNESS": "CARPET_THICKNESS",
+    "PILE HEIGHT": "PILE_HEIGHT",
+    "PILE WEIGHT": "PILE_WEIGHT",
+    "QUANTITY": "QTY",
+}
+
+# Names of units of length, and millimetres in one.
+UNITS = {
+    "mm": 1.0,
+    "millimeter": 1.0,
+    "millimeters": 1.0,
+    "millimetre": 1.0,
+    "millimetres": 1.0,
+    "cm": 10.0,
+    "centimeter": 10.0,
+    "centimeters": 10.0,
+    "centimetre": 10.0,
+    "centimetres": 10.0,
+    "m": 1000.0,
+    "meter": 1000.0,
+    "meters": 1000.0,
+    "metre": 1000.0,
+    "metres": 1000.0,
+    "in": 25.4,
+    "inch": 25.4,
+    "inches": 25.4,
+    '"': 25.4,
 }
 
 # Keys of detail rows; rows to skip; words of a repeated header row; labels; titles.

@@ -93,10 +93,20 @@ def mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT workbook_id, sheet_idx, 'Sheet ' || CAST(sheet_idx AS VARCHAR) || ' ' AS sheet_name, 4 AS header_row FROM lines GROUP BY 1, 2, 3
 """)
 def schedule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H5-H7: qualifying sheets."""
+    """H6, H7: qualifying sheets."""
     return headers.schedule_sheets(_cells(spark, sf_dir), fixtures.schedule_sheets(spark, sf_dir))
 
 
+@query("""
+SELECT workbook_id, sheet_idx, c.canonical, c.col FROM (SELECT DISTINCT workbook_id, sheet_idx FROM lines), (VALUES ('doc_code', 1), ('item_location', 2), ('specs', 3), ('manufacturer', 4), ('notes', 5), ('qty', 6), ('cost', 7)) c(canonical, col)
+WHERE sheet_idx % 3 = 0 OR c.canonical <> 'manufacturer'
+""")
+def header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5: the first column of each name that the detector sees in a header row."""
+    cells = _cells(spark, sf_dir)
+    return headers.header_columns(cells, headers.find_header_row(cells))
+
+
 @query("""
 SELECT workbook_id, sheet_idx, CAST(MAX(row_num) AS INT) AS max_row, 7 AS max_col, CAST(COUNT(*) * 6 + COUNT(CASE WHEN rf <> 'N' THEN 1 END) - COUNT(CASE WHEN pk % 5 <> 0 THEN 1 END) - COUNT(CASE WHEN pk % 6 = 4 THEN 1 END)
   + 8 + (MAX(block) + 1) + 6 * (MAX(block) // 2 + 1) AS BIGINT) AS cells FROM lines GROUP BY 1, 2
@@ -154,12 +164,22 @@ def section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT workbook_id, sheet_idx, CAST(COUNT(*) AS BIGINT) AS products FROM lines WHERE row_num <= 24 GROUP BY 1, 2
 """)
 def product_counts_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products in the first 20 rows below the header."""
+    """Products in the first 20 rows below the header."""
     cells = _filled(spark, sf_dir)
     h = settle(headers.find_header_row(cells))
     return rows.product_counts(rows.product_rows(cells, h, columns.map_columns(cells, h), max_rows=20))
 
 
+@query(f"""
+SELECT workbook_id, sheet_idx, row_num, {_SECTION} AS section FROM lines
+""")
+def all_product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product row of every sheet."""
+    cells = _filled(spark, sf_dir)
+    h = settle(headers.find_header_row(cells))
+    return rows.extract_all(cells, h, columns.map_columns(cells, h)).select(*grid.SHEET, "row_num", "section")
+
+
 GROUPED_SQL = """
 g AS (SELECT *, (rn - 1) % 4 AS part, (rn - 1) // 4 AS grp FROM lines)
 SELECT workbook_id, sheet_idx, CAST(MIN(rn) + 4 AS INT) AS row_num, 'Item ' || CAST(MIN(CASE WHEN part = 0 THEN pk END) AS VARCHAR) AS item_name,
@@ -168,9 +188,8 @@ FROM g GROUP BY workbook_id, sheet_idx, grp
 """
 
 
-@query(GROUPED_SQL)
-def grouped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with the detail rows below them, four sheet rows to an item."""
+def _grouped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets with four rows to an item: the item, and three details below it."""
     ln = fixtures.lines(spark, sf_dir).withColumn("part", (F.col("rn") - 1) % 4).withColumn("row", (F.col("rn") + 4).cast("int"))
     key = F.element_at(F.lit(["Item:", "Maker:", "Finish:", "Width:"]), (F.col("part") + 1).cast("int"))
     value = F.concat(F.when(F.col("part") == 0, "Item ").otherwise("M"), F.col("pk").cast("string"))
@@ -180,13 +199,32 @@ def grouped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = ln.select(*grid.SHEET).distinct()
     heads = ["Code", "Image", "Location", "Description", "Details", "Qty"]
     top = sheets.select(*grid.SHEET, F.lit(4).alias("row"), F.posexplode(F.lit(heads)).alias("k", "v")).select(*grid.SHEET, "row", (F.col("k") + 1).alias("col"), F.col("v").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
-    cells = cells.unionByName(top)
+    return cells.unionByName(top)
+
+
+@query(GROUPED_SQL)
+def grouped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the detail rows below them, four sheet rows to an item."""
+    cells = settle(_grouped_cells(spark, sf_dir))
     h = settle(headers.find_header_row(cells))
     p = rows.product_rows(cells, h, columns.map_columns(cells, h))
     told = F.array_join(F.transform("detail_rows", lambda d: F.concat(d["key"], F.lit("="), d["value"])), "|")
     return p.select(*grid.SHEET, "row_num", "item_name", F.nullif(told, F.lit("")).alias("details"), F.col("qty")["value_num"].cast("int").alias("qty"))
 
 
+@query("""
+g AS (SELECT *, (rn - 1) % 4 AS part, (rn - 1) // 4 AS grp FROM lines)
+SELECT workbook_id, sheet_idx, row_num, 'Item ' || CAST(item AS VARCHAR) AS product_name, 'M' || CAST(maker AS VARCHAR) AS brand, 'M' || CAST(fin AS VARCHAR) AS finish, 'WIDTH: M' || CAST(wide AS VARCHAR) AS product_details, qty,
+       CAST(row_number() OVER (PARTITION BY workbook_id ORDER BY sheet_idx, row_num) AS INT) AS seq
+FROM (SELECT workbook_id, sheet_idx, CAST(MIN(rn) + 4 AS INT) AS row_num, MIN(CASE WHEN part = 0 THEN pk END) AS item, MIN(CASE WHEN part = 1 THEN pk END) AS maker, MIN(CASE WHEN part = 2 THEN pk END) AS fin, MIN(CASE WHEN part = 3 THEN pk END) AS wide, MIN(CASE WHEN part = 0 THEN q END) AS qty FROM g GROUP BY workbook_id, sheet_idx, grp)
+""")
+def grouped_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 on the grouped layout, with K10: details below an item become its fields."""
+    cells = settle(_grouped_cells(spark, sf_dir))
+    none = fixtures.schedule_merges(spark, sf_dir).where("1 = 0")
+    return parse_products(cells, none).select(*grid.SHEET, "row_num", "product_name", "brand", "finish", "product_details", "qty", "seq")
+
+
 @query(f"""
 SELECT workbook_id, sheet_idx, row_num, 'PRODUCT: ' || p_name || ' | COLOUR: ' || {_COLOUR} || ' | SIZE: ' || CAST(pk % 90 + 1 AS VARCHAR) || ' X ' || CAST(pk % 70 + 2 AS VARCHAR) || ' ' || CASE pk % 5 WHEN 1 THEN 'CM' WHEN 2 THEN 'M' WHEN 4 THEN 'CM' ELSE 'MM' END
        || ' | FINISH: ' || p_type || ' | STYLE: S' || CAST(pk % 4 AS VARCHAR) AS pairs,
@@ -196,7 +234,7 @@ FROM lines
 def kv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1-K9: pairs of text blocks."""
     t = grid.computed(fixtures.texts(fixtures.lines(spark, sf_dir)), {"kv": kv.parse_kv(F.col("specs")), "maker": kv.parse_kv(F.col("manufacturer"))})
-    t = t.where(kv.has_kv(F.col("specs")))
+    t = t.where(F.size("kv") > 0)
     return t.select(*grid.SHEET, "row_num", kv.format_kv(F.col("kv")).alias("pairs"), kv.kv_get(F.col("kv"), "SURFACE", "FINISH").alias("finish"), F.size("kv").alias("n_pairs"), F.array_join(kv.non_kv_lines(F.col("specs")), "/").alias("plain"), kv.kv_get(kv.merge_kv(F.col("kv"), F.col("maker")), "NAME").alias("merged_name"), F.size(kv.parse_kv_multi(F.col("specs"))).alias("n_multi"))
 
 
@@ -228,14 +266,14 @@ def schedule_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT workbook_id, sheet_idx, row_num AS row, 1 AS col, 'Supplier ' || workbook_id || ' Finish Schedule' AS target FROM lines
-WHERE pk % 3 = 0 AND workbook_id IN (SELECT workbook_id FROM lines WHERE sheet_idx = 1)
+marked AS (SELECT *, MIN(sh) OVER (PARTITION BY sup) AS first_sheet FROM lines)
+SELECT workbook_id, sheet_idx, row_num AS row, 9 AS col, 'Supplier ' || workbook_id || ' Finish Schedule' AS target FROM marked WHERE first_sheet = 1
 """)
 def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: references to the title of the first sheet."""
+    """T4: beside every line, in a column of its own, a reference to the title of the first sheet."""
     cells = _cells(spark, sf_dir)
-    refs = fixtures.lines(spark, sf_dir).where("pk % 3 = 0").select(*grid.SHEET, F.col("row_num").alias("row"), F.lit(1).alias("col"), F.lit("='[1]sheet 1'!$A$1").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
-    return naming.resolve_cell_refs(cells.where("row < 5").unionByName(refs), fixtures.schedule_sheets(spark, sf_dir))
+    refs = fixtures.lines(spark, sf_dir).select(*grid.SHEET, F.col("row_num").alias("row"), F.lit(9).alias("col"), F.lit("='[1]sheet 1'!$A$1").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
+    return naming.resolve_cell_refs(cells.unionByName(refs), fixtures.schedule_sheets(spark, sf_dir))
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,16 +336,35 @@ def numeric_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT workbook_id, CAST(workbook_id AS BIGINT) % 2 = 0 AS matches FROM lines WHERE sheet_idx = 1 GROUP BY 1
+SELECT workbook_id, CAST(workbook_id AS BIGINT) % 2 = 0 AS matches FROM lines GROUP BY 1
 """)
 def schedule_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: true names that stand in the grid against names of which every other one is wrong."""
-    cells = _cells(spark, sf_dir).where("sheet_idx = 1")
+    cells = _cells(spark, sf_dir)
     truth = cells.select("workbook_id").distinct().withColumn("schedule_name", F.concat(F.lit(" Supplier "), "workbook_id", F.lit(" Finish Schedule")))
     names = truth.withColumn("schedule_name", F.when(F.col("workbook_id").cast("long") % 2 == 0, F.col("schedule_name")).otherwise("other"))
     return quality.schedule_name_match(truth, names, cells)
 
 
+@query("""
+SELECT workbook_id, sheet_idx, row_num, -q AS qty FROM lines WHERE pk % 11 = 0 AND q > 0
+""")
+def negative_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of which every eleventh part has its quantity negated."""
+    p = _products(spark, sf_dir).withColumn("qty", F.when(F.col("pk") % 11 == 0, -F.col("qty")).otherwise(F.col("qty")))
+    return products.negative_products(p).select(*grid.SHEET, "row_num", "qty")
+
+
+@query("""
+SELECT workbook_id, 'Supplier ' || workbook_id || ' Finish Schedule' AS cover FROM lines WHERE sheet_idx = 2 GROUP BY 1
+""")
+def cover_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: names from the second sheet, which is called a cover."""
+    sheets = fixtures.schedule_sheets(spark, sf_dir)
+    sheets = sheets.withColumn("sheet_name", F.when(F.col("sheet_idx") == 2, " Front COVER").otherwise(F.col("sheet_name")))
+    return naming.cover_sheet_name(_cells(spark, sf_dir), sheets)
+
+
 @query("""
 SELECT workbook_id, CAST(COUNT(*) AS BIGINT) AS leaks FROM lines WHERE p_name LIKE '%red%' OR p_name LIKE '%ring%' GROUP BY 1
 """)
@@ -334,9 +391,9 @@ e AS (SELECT n >= floor(n0 * 0.5::DOUBLE) AS a, coalesce(c / c0, 0) >= 0.3 AS b
 SELECT CAST(COUNT(*) AS BIGINT) AS files, AVG(CASE WHEN a THEN 1.0 ELSE 0 END) AS count_share, AVG(CASE WHEN b THEN 1.0 ELSE 0 END) AS code_share, AVG(CASE WHEN a THEN 1.0 ELSE 0 END) >= 0.5 AND AVG(CASE WHEN b THEN 1.0 ELSE 0 END) >= 0.5 AS passes FROM e
 """)
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q9: each workbook against a mutated twin that lost every other part."""
+    """Q9: each workbook against a twin whose rows of every other part went to a second twin."""
     p = _products(spark, sf_dir)
-    twin = p.where("pk % 2 = 0").withColumn("workbook_id", F.concat(F.lit("m"), "workbook_id"))
+    twin = p.withColumn("workbook_id", F.concat(F.when(F.col("pk") % 2 == 0, "m").otherwise("n"), "workbook_id"))
     pairs = p.select(F.col("workbook_id").alias("source_id")).distinct().withColumn("workbook_id", F.concat(F.lit("m"), "source_id"))
     return quality.retention_vs_source(p.unionByName(twin), pairs)
 
@@ -373,10 +430,10 @@ def parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT workbook_id FROM lines GROUP BY 1 HAVING COUNT(CASE WHEN rf <> 'N' AND pk % 50 = 0 THEN 1 END) = 0 OR CAST(workbook_id AS BIGINT) % 7 = 0
 """)
 def empty_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q13: where only every fiftieth part was parsed, and every seventh name is blank."""
+    """Q13: where only every fiftieth part has a code, and every seventh name is blank."""
     p = _products(spark, sf_dir)
     names = p.select("workbook_id").distinct().withColumn("schedule_name", F.when(F.col("workbook_id").cast("long") % 7 == 0, "  ").otherwise("x"))
-    return quality.empty_parses(names, p.where("pk % 50 = 0"))
+    return quality.empty_parses(names, p.withColumn("doc_code", F.when(F.col("pk") % 50 == 0, F.col("doc_code"))))
 
 
 @query("""

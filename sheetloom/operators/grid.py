@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SHEET = ["workbook_id", "sheet_idx"]
+#: Last row that a sheet can have, and last column that any rule reads.
+LAST_ROW, LAST_COL = 1_048_576, 30
 VALUE = ["value_str", "value_num", "value_kind"]
 
 
@@ -46,8 +48,13 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Every cell of a merged range takes the top-left value, an empty one included.
 
     Ranges are expanded to their cells and met by key, so there is no range join; a range's
-    cells are told apart from the rest by one left join.
+    cells are told apart from the rest by one left join. Ranges end at the last column that is
+    read; one over whole columns ends at the sheet's last row that a cell or another range uses.
     """
+    used = cells.select(*SHEET, "row").unionByName(merges.where(F.col("max_row") < LAST_ROW).select(*SHEET, F.col("max_row").alias("row"))).groupBy(*SHEET).agg(F.max("row").alias("used_row"))
+    merges = merges.where(F.col("min_col") <= LAST_COL).join(used, SHEET, "left")
+    last = F.when(F.col("max_row") >= LAST_ROW, F.greatest("min_row", F.coalesce("used_row", F.lit(0)))).otherwise(F.col("max_row"))
+    merges = merges.select(*SHEET, "min_row", last.alias("max_row"), "min_col", F.least("max_col", F.lit(LAST_COL)).alias("max_col"))
     area = merges.select(*SHEET, "min_row", "min_col", F.explode(F.sequence("min_row", "max_row")).alias("row"), "max_col").select(*SHEET, "min_row", "min_col", "row", F.explode(F.sequence("min_col", "max_col")).alias("col"))
     area = area.groupBy(*SHEET, "row", "col").agg(F.max(F.struct("min_row", "min_col")).alias("top")).select(*SHEET, "row", "col", "top.*")
     corner = cells.select(*SHEET, F.col("row").alias("min_row"), F.col("col").alias("min_col"), *VALUE)

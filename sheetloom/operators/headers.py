@@ -15,22 +15,19 @@ SCAN_ROWS, SCAN_COLS, LEAST = 50, 20, 2
 _SYNONYMS = [(s.rstrip("."), canonical, k) for k, (s, canonical) in enumerate((s, c) for c, words in DETECTOR.items() for s in words)]
 
 
-def match_headers(words: DataFrame) -> DataFrame:
-    """(norm, canonical) of distinct normalised headers: a synonym as it is, else the first one within it.
-
-    The words are few and the list of synonyms is of fixed size.
-    """
-    rows = [F.struct(F.lit(s).alias("synonym"), F.lit(c).alias("found"), F.lit(k).alias("ord")) for s, c, k in _SYNONYMS]
-    lex = F.broadcast(words.sparkSession.range(1).select(F.inline(F.array(*rows))))
-    met = words.where("norm <> ''").join(lex, F.col("norm").contains(F.col("synonym")))
-    return met.groupBy("norm").agg(F.min_by("found", F.struct(F.col("norm") != F.col("synonym"), "ord")).alias("canonical"))
+def match_header(norm: Column) -> Column:
+    """The canonical name of a normalised header: a synonym as it is, else the first one within it, else null."""
+    exact: dict[str, str] = {}
+    for s, canonical, _ in _SYNONYMS:
+        exact.setdefault(s, canonical)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]), norm)
+    return F.when(norm != "", F.coalesce(known, *[F.when(norm.contains(s), F.lit(canonical)) for s, canonical, _ in _SYNONYMS]))
 
 
 def header_matches(cells: DataFrame, max_scan: int = SCAN_ROWS) -> DataFrame:
-    """sheet, row, col, canonical of the first rows and columns; every distinct text is matched once."""
-    top = computed(cells.where((F.col("row") <= max_scan) & (F.col("col") <= SCAN_COLS)), {"norm": norm_header_first_line(F.col("value_str"))})
-    words = match_headers(top.select("norm").distinct())
-    return top.join(words, "norm").select(*SHEET, "row", "col", "canonical")
+    """sheet, row, col, canonical of the first rows and columns. Cells are matched where they are read, without a join."""
+    top = computed(cells.where((F.col("row") <= max_scan) & (F.col("col") <= SCAN_COLS)).select(*SHEET, "row", "col", "value_str"), {"norm": norm_header_first_line(F.col("value_str"))})
+    return top.select(*SHEET, "row", "col", match_header(F.col("norm")).alias("canonical")).where("canonical is not null")
 
 
 def score_header_rows(cells: DataFrame, max_scan: int = SCAN_ROWS) -> DataFrame:

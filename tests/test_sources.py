@@ -1,5 +1,6 @@
 from books import xlsx
 
+from sheetloom.operators import grid
 from sheetloom.sources import intake
 
 
@@ -43,3 +44,49 @@ def test_products_written_and_nested(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/flat").count() == 2
     got = {r["workbook_id"]: [p["doc_code"] for p in r["products"]] for r in intake.nested_products(products, names).collect()}
     assert got == {"w": ["A", "B"], "none": []}
+
+
+def test_long_and_wide_grids(spark, tmp_path):
+    long = spark.createDataFrame([("w", 0, 1, 1, "a", None, "str"), ("w", 0, 1, 2, "3", 3.0, "int")], intake.CELLS)
+    for fmt in ("parquet", "csv", "json"):
+        writer = long.write.option("header", True) if fmt == "csv" else long.write
+        writer.format(fmt).save(f"{tmp_path}/{fmt}")
+        got = intake.read_cells(spark, f"{tmp_path}/{fmt}", fmt)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, long.collect()))
+    wide = spark.createDataFrame([(1, "Code", None, 1.5, True), (2, None, 7, None, None)], "n int, a string, b int, c double, d boolean")
+    got = sorted(tuple(r)[2:] for r in grid.rows_to_cells(wide, "n").collect())
+    assert got == [(1, 1, "Code", None, "str"), (1, 3, "1.5", 1.5, "float"), (1, 4, "true", None, "bool"), (2, 2, "7", 7.0, "int")]
+
+
+def test_errors_written(spark, tmp_path):
+    triaged = intake.triage_files(_files(spark, {"/in/b.xlsx": b"", "/in/noext": b"x" * 200}))
+    intake.write_errors(intake.error_rows(triaged), f"{tmp_path}/errors")
+    got = {r["workbook_id"]: (r["error"], r["detail"]) for r in spark.read.parquet(f"{tmp_path}/errors").collect()}
+    assert got["/in/b.xlsx"][0] == "Empty file" and "no extension" in got["/in/noext"][1]
+
+
+def test_truth_and_manifest(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{\n"schedule_name": "S", "layout_family": "normalized", "seed": 3, "mutations": ["swap"], "notes": {"layout": "x", "header_row": 4, "include_code_col": true},\n"products": [{"doc_code": "A", "qty": 2, "rrp": 1.5}, {"doc_code": null}]}')
+    got = sorted(((r["seq"], r["schedule_name"], r["doc_code"], r["qty"], r["rrp"], r["notes"]["header_row"]) for r in intake.read_truth(spark, str(tmp_path / "one.json")).collect()))
+    assert got == [(0, "S", "A", 2, 1.5, 4), (1, "S", None, None, None, 4)]
+    (tmp_path / "m.jsonl").write_text('{"type": "base", "xlsx": "a.xlsx", "truth": "a.json", "seed": 1, "layout_family": "ffe_tracker", "mutations": []}\n{"type": "mutated", "xlsx": "b.xlsx"}\n')
+    assert [(r["type"], r["xlsx"], r["seed"]) for r in intake.read_manifest(spark, str(tmp_path / "m.jsonl")).orderBy("type").collect()] == [("base", "a.xlsx", 1), ("mutated", "b.xlsx", None)]
+
+
+def test_nested_json_written(spark, tmp_path):
+    kinds = {f: "int" if f in ("width", "length", "height", "qty") else "double" if f == "rrp" else "string" for f in intake.FIELDS}
+    rows = [{"workbook_id": "w", "seq": k, **dict.fromkeys(intake.FIELDS), "doc_code": c} for k, c in ((2, "B"), (1, "A"))]
+    made = spark.createDataFrame(rows, "workbook_id string, seq int, " + ", ".join(f"{f} {k}" for f, k in kinds.items()))
+    intake.write_products(made, f"{tmp_path}/json", spark.createDataFrame([("w", "Name")], "workbook_id string, schedule_name string"))
+    got = spark.read.json(f"{tmp_path}/json").first()
+    assert got["schedule_name"] == "Name" and [p["doc_code"] for p in got["products"]] == ["A", "B"]
+
+
+def test_dates_and_one_cell_merges(spark):
+    book = xlsx({"Items": [["x", 45296, 0.75, 45296.5, 61]]}, {"Items": ["A1", "B1:C1"]}, styles={"B1": 1, "C1": 2, "D1": 3, "E1": 4})
+    triaged = intake.triage_files(_files(spark, {"/in/d.xlsx": book}))
+    parts = intake.split_records(intake.read_workbooks(triaged))
+    assert parts["errors"].count() == 0
+    got = {r["col"]: (r["value_str"], r["value_kind"]) for r in parts["cells"].collect()}
+    assert got == {1: ("x", "str"), 2: ("2024-01-05 00:00:00", "other"), 3: ("18:00:00", "other"), 4: ("2024-01-05 12:00:00", "other"), 5: ("61", "int")}
+    assert sorted((r["min_col"], r["max_col"]) for r in parts["merges"].collect()) == [(1, 1), (2, 3)]
