@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import KEY_ALIASES
-from .text import nonempty, strip
+from .text import let, nonempty, strip
 
 KV = "array<struct<key:string,value:string>>"
 #: A key begins with a letter; it holds letters, digits, blanks, slashes, ampersands and dashes.
@@ -38,8 +38,7 @@ def _parsed(lines: Column) -> Column:
     A line is cut at its first colon; if that gives no pair, at its first dash, which a blank
     must follow; if that gives none either, at its first equals sign. Each step names its result once.
     """
-    stripped = F.transform(lines, strip)
-    cuts = F.transform(stripped, lambda x: F.struct(*[_halves(x, F.instr(x, sep)).alias(name) for name, sep in (("colon", ":"), ("dash", "-"), ("equals", "="))]))
+    cuts = F.transform(F.transform(lines, strip), lambda x: F.struct(*[_halves(x, F.instr(x, sep)).alias(name) for name, sep in (("colon", ":"), ("dash", "-"), ("equals", "="))]))
     spaced = lambda h: F.length(h["rest"]) > F.length(h["value"])  # noqa: E731  the line ends without blanks
     return F.transform(cuts, lambda c: F.coalesce(_pair(c["colon"]), F.when(spaced(c["dash"]), _pair(c["dash"])), _pair(c["equals"])))
 
@@ -50,8 +49,8 @@ def parse_line(c: Column) -> Column:
 
 
 def first_wins(pairs: Column) -> Column:
-    keys = F.transform(pairs, lambda e: e["key"])
-    return F.filter(pairs, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    named = let(pairs, lambda p: F.struct(p.alias("pairs"), F.transform(p, lambda e: e["key"]).alias("keys")))
+    return let(named, lambda n: F.filter(n["pairs"], lambda e, i: F.array_position(n["keys"], e["key"]) == i + 1))
 
 
 def _pairs(lines: Column) -> Column:
@@ -65,15 +64,17 @@ def parse_kv(c: Column) -> Column:
 
 def parse_kv_multi(c: Column) -> Column:
     """Every value of each key, in order; lines are not cut at `|`."""
-    pairs = F.coalesce(_pairs(F.split(c, "\n")), F.array().cast(KV))
-    return F.map_from_entries(
-        F.transform(F.array_distinct(F.transform(pairs, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.transform(F.filter(pairs, lambda e: e["key"] == k), lambda e: e["value"]).alias("values")))
-    )
+
+    def by_key(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
+        return F.transform(keys, lambda k: F.struct(k.alias("key"), F.transform(F.filter(pairs, lambda e: e["key"] == k), lambda e: e["value"]).alias("values")))
+
+    return F.map_from_entries(let(F.coalesce(_pairs(F.split(c, "\n")), F.array().cast(KV)), by_key))
 
 
 def non_kv_lines(c: Column) -> Column:
     lines = F.transform(F.split(c, "\n"), strip)
-    both = F.filter(F.arrays_zip(lines.alias("line"), _parsed(lines).alias("pair")), lambda e: (e["line"] != "") & e["pair"].isNull())
+    both = let(lines, lambda x: F.filter(F.arrays_zip(x.alias("line"), _parsed(x).alias("pair")), lambda e: (e["line"] != "") & e["pair"].isNull()))
     return F.coalesce(F.transform(both, lambda e: e["line"]), F.array().cast("array<string>"))
 
 

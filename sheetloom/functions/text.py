@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +49,8 @@ def norm_header_first_line(c: Column) -> Column:
 def first(text: Column, pattern: str, group: int = 1) -> Column:
     """What a group of the first match captured; null without a match or if it captured nothing."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

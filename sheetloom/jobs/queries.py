@@ -197,7 +197,7 @@ def _grouped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     qty = F.when(F.col("part") == 0, F.col("q"))
     cells = ln.select(*grid.SHEET, "row", F.explode(F.array(cell(4, key), cell(5, value), cell(6, qty.cast("string"), qty))).alias("c")).select(*grid.SHEET, "row", "c.*").where("value_str is not null")
     sheets = ln.select(*grid.SHEET).distinct()
-    heads = ["Code", "Image", "Location", "Description", "Details", "Qty"]
+    heads = ["Code", "Image", "Location", "Label", "Details", "Qty"]
     top = sheets.select(*grid.SHEET, F.lit(4).alias("row"), F.posexplode(F.lit(heads)).alias("k", "v")).select(*grid.SHEET, "row", (F.col("k") + 1).alias("col"), F.col("v").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
     return cells.unionByName(top)
 

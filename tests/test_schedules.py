@@ -14,22 +14,19 @@ SHEETS = "workbook_id string, filename string, sheet_idx int, sheet_name string,
 
 def cells(spark, *sheets, workbook="w"):
     """Cells of sheets given as {row: [values]}."""
-    out = []
-    for k, sheet in enumerate(sheets):
-        for r, values in sheet.items():
-            for c, v in enumerate(values, 1):
-                if v is not None:
-                    number = float(v) if isinstance(v, int | float) else None
-                    out.append((workbook, k, r, c, str(v), number, "str" if number is None else "int"))
-    return spark.createDataFrame(out, CELL)
+    return spark.createDataFrame([x for k, sheet in enumerate(sheets) for x in sheet_cells(workbook, k, sheet)], CELL)
 
 
-def merges(spark, *areas):
-    return spark.createDataFrame([("w", 0, *a) for a in areas], MERGE)
+def sheet_cells(workbook, k, sheet):
+    for r, values in sheet.items():
+        for c, v in enumerate(values, 1):
+            if v is not None:
+                number = float(v) if isinstance(v, int | float) else None
+                yield workbook, k, r, c, str(v), number, "str" if number is None else "int"
 
 
-def parsed(spark, *sheets, areas=()):
-    return [r.asDict() for r in parse_products(cells(spark, *sheets), merges(spark, *areas)).orderBy("seq").collect()]
+def merges(spark, *areas):
+    return spark.createDataFrame([("w", 0, *a) for a in areas], MERGE)
 
 
 HEAD = ["Code", "Location", "Description", "Specs", "Manufacturer", "Qty", "Cost"]
@@ -39,55 +36,70 @@ PLAIN = {
     8: ["A-1", "Room 1", "Tap", "FINISH: Brass\nSIZE: 600 W X 400 H MM", "NAME: Maker A", 2, 45.5],
     9: ["A-2", "Room 2", "Sink", "COLOUR - White", "NAME: Maker B", "3 pcs", "$1,200.50 + GST"],
 }
+GROUPED = {
+    3: ["Code", "Image", "Location", "Label", "Details", "Qty"],
+    5: [None, None, None, "Maker:", "dropped, as no item is open"],
+    6: [None, None, None, "Item:", "Armchair", 2],
+    7: [None, None, None, "Maker:", "Acme"],
+    8: [None, None, None, "Colour:", "Sage"],
+    9: [None, None, None, "Width:", "600 mm"],
+    11: ["LOUNGE"],
+    12: [None, None, None, "Maker:", "dropped, as a section closed the item"],
+    13: [None, None, None, "Item:", "Table", 1],
+    14: [None, None, None, "Material:", "Oak"],
+    15: [None, None, None, "Weight:", "12 kg"],
+}
+#: Rows that change no product: others above, blank ones, totals and delivery, the header again, a far stray cell.
+NOISE = {
+    "above": {1: ["Title of it"], 3: ["note"]},
+    "blank": {10: [], 12: ["", "  "]},
+    "totals": {10: ["Total", None, None, None, None, None, 99], 11: ["Delivery"], 12: [None, "Grand  Total"]},
+    "header": {10: HEAD},
+    "stray": {40: ["", "", "", "", "", "", ""]},
+}
+BOOKS = {
+    "w": [{4: HEAD, 5: ["Second floor"], 6: [None, "Room 1", "Tap"], 7: ["", "Room 2", "Tap"], 8: ["  ", "Room 3", "Tap"]}],
+    "plain": [PLAIN],
+    "sheets": [PLAIN, {2: HEAD, 3: ["A-1", "Room 9", "Other tap"], 4: ["B-1", "Room 3", "Lamp"], 5: [None, "Room 4", "No code"]}],
+    "grouped": [GROUPED],
+    **{name: [PLAIN | rows] for name, rows in NOISE.items()},
+}
+
 
+@pytest.fixture(scope="module")
+def parsed(spark):
+    """The products of all workbooks, in order, from one parse."""
+    found = spark.createDataFrame([x for w, sheets in BOOKS.items() for k, sheet in enumerate(sheets) for x in sheet_cells(w, k, sheet)], CELL)
+    sheets = spark.createDataFrame([(w, f"{w}_book.xlsx", k, "Items", k == 0) for w, made in BOOKS.items() for k in range(len(made))], SHEETS)
+    made, names = parse_schedules(found, sheets, merges(spark, (5, 5, 1, 7)))
+    assert {r["workbook_id"]: r["schedule_name"] for r in names.collect()} == {w: f"{w} book" for w in BOOKS}
+    by = {w: [] for w in BOOKS}
+    for r in made.orderBy("workbook_id", "seq").collect():
+        by[r["workbook_id"]].append({k: v for k, v in r.asDict().items() if k != "workbook_id"})
+    return by
 
-def test_products_of_a_plain_sheet(spark):
-    got = parsed(spark, PLAIN)
+
+def test_products_of_a_plain_sheet(parsed):
+    got = parsed["plain"]
     assert [(p["doc_code"], p["product_name"], p["brand"], p["finish"], p["colour"], p["width"], p["height"], p["qty"], p["rrp"]) for p in got] == [("A-1", "Tap", "Maker A", "Brass", None, 600, 400, 2, 45.5), ("A-2", "Sink", "Maker B", None, "White", None, None, 3, 1200.5)]
     assert [p["product_description"] for p in got] == ["KITCHEN | Room 1", "KITCHEN | Room 2"]
 
 
-@pytest.mark.parametrize(
-    "change",
-    [
-        {1: ["Title of it"], 3: ["note"]},
-        {10: [], 12: ["", "  "]},
-        {10: ["Total", None, None, None, None, None, 99], 11: ["Delivery"], 12: [None, "Grand  Total"]},
-        {10: HEAD},
-        {40: ["", "", "", "", "", "", ""]},
-    ],
-)
-def test_noise_changes_no_product(spark, change):
-    """Other rows above, blank rows, totals and delivery, the header again, a far stray cell."""
-    assert parsed(spark, PLAIN | change) == parsed(spark, PLAIN)
-
-
-def test_later_sheet_adds_only_new_codes(spark):
-    more = {2: HEAD, 3: ["A-1", "Room 9", "Other tap"], 4: ["B-1", "Room 3", "Lamp"], 5: [None, "Room 4", "No code"]}
-    assert [p["doc_code"] for p in parsed(spark, PLAIN, more)] == ["A-1", "A-2", "B-1", None]
-
-
-def test_merged_section_and_blank_codes(spark):
-    sheet = {4: HEAD, 5: ["Second floor"], 6: [None, "Room 1", "Tap"], 7: ["", "Room 2", "Tap"], 8: ["  ", "Room 3", "Tap"]}
-    got = parsed(spark, sheet, areas=[(5, 5, 1, 7)])
-    assert [p["product_description"] for p in got] == [f"Second floor | Room {k}" for k in (1, 2, 3)]
-
-
-def test_grouped_rows_through_the_parse(spark):
-    sheet = {
-        3: ["Code", "Image", "Location", "Label", "Details", "Qty"],
-        5: [None, None, None, "Maker:", "dropped, as no item is open"],
-        6: [None, None, None, "Item:", "Armchair", 2],
-        7: [None, None, None, "Maker:", "Acme"],
-        8: [None, None, None, "Colour:", "Sage"],
-        9: [None, None, None, "Width:", "600 mm"],
-        11: ["LOUNGE"],
-        12: [None, None, None, "Maker:", "dropped, as a section closed the item"],
-        13: [None, None, None, "Item:", "Table", 1],
-        14: [None, None, None, "Material:", "Oak"],
-        15: [None, None, None, "Weight:", "12 kg"],
-    }
-    got = parsed(spark, sheet)
+@pytest.mark.parametrize("name", NOISE)
+def test_noise_changes_no_product(parsed, name):
+    assert parsed[name] == parsed["plain"]
+
+
+def test_later_sheet_adds_only_new_codes(parsed):
+    assert [p["doc_code"] for p in parsed["sheets"]] == ["A-1", "A-2", "B-1", None]
+
+
+def test_merged_section_and_blank_codes(parsed):
+    assert [p["product_description"] for p in parsed["w"]] == [f"Second floor | Room {k}" for k in (1, 2, 3)]
+
+
+def test_grouped_rows_through_the_parse(parsed):
+    got = parsed["grouped"]
     assert [(p["product_name"], p["brand"], p["colour"], p["material"], p["width"], p["qty"]) for p in got] == [("Armchair", "Acme", "Sage", None, 600, 2), ("Table", None, None, "Oak", None, 1)]
     assert got[1]["product_details"] == "WEIGHT: 12 kg" and got[1]["product_description"] == "LOUNGE"
 
@@ -163,15 +175,15 @@ def test_synonyms_in_order(spark):
     assert columns.synonyms(spark, "nothing").count() == 0
 
 
-REFERENCES = ["='Cover Sheet'!A6", "='Cover Sheet'!$A$6", "='[1]Cover Sheet'!$A$6", "='[book.xlsx]Cover Sheet'!A6", "=Cover!A6"]
+REFERENCES = ["='[1]Cover Sheet'!A6", "='[1]Cover Sheet'!$A$6", "='Cover Sheet'!$A$6", "='Cover Sheet'!$A6", "='Cover Sheet'!A$6"]
 
 
 def test_references_to_a_title(spark):
-    c = cells(spark, {6: ["Residence Interior Finishes Schedule"]}, {k: [r] for k, r in enumerate([*REFERENCES, "=SUM(A1:A3)", "='Missing'!A6", "='Cover Sheet'!A7", "plain"], 1)}, {6: ["Other Interior Finishes Schedule"]})
+    c = cells(spark, {6: ["Residence Interior Finishes Schedule"]}, {k: [r] for k, r in enumerate([*REFERENCES, "=SUM(A1:A3)", "='Missing'!A6", "='Cover Sheet'!A7", "plain", "=COVER!A6"], 1)}, {6: ["Other Interior Finishes Schedule"]})
     s = spark.createDataFrame([("w", "f.xlsx", 0, "Cover Sheet ", False), ("w", "f.xlsx", 1, "Items", True), ("w", "f.xlsx", 2, "COVER", False)], SHEETS)
     got = {r["row"]: r["target"] for r in naming.resolve_cell_refs(c, s).collect()}
     first = "Residence Interior Finishes Schedule"
-    assert got == {1: first, 2: first, 3: first, 4: first, 5: "Other Interior Finishes Schedule"}
+    assert got == {**dict.fromkeys(range(1, 6), first), 10: "Other Interior Finishes Schedule"}
     # the active sheet's first row names the schedule
     assert [r["schedule_name"] for r in naming.schedule_name(c, s).collect()] == [first]
 
@@ -190,19 +202,15 @@ def test_names_from_covers_labels_and_files(spark):
     assert name({1: ["note"]}, file="") == "Unknown Schedule"
 
 
-def test_products_and_names_together(spark):
-    s = spark.createDataFrame([("w", "a_b.xlsx", 0, "Items", True)], SHEETS)
-    p, names = parse_schedules(cells(spark, PLAIN), s, merges(spark))
-    assert p.count() == 2 and names.first()["schedule_name"] == "a b"
-    none = cells(spark, PLAIN).where("1 = 0")
-    assert parse_products(none, merges(spark)).count() == 0
+def test_no_cells_no_products(spark):
+    assert parse_products(cells(spark, PLAIN).where("1 = 0"), merges(spark)).count() == 0
 
 
 def test_merges_over_whole_columns_end_with_the_sheet(spark):
     c = cells(spark, {1: ["head", "x"], 2: ["gone"], 5: [None, "last"]})
     got = grid.fill_merged(c, merges(spark, (1, 1_048_576, 1, 1), (3, 4, 2, 16_384)))
     assert got.where("col = 1").count() == 5 and got.where("value_str = 'head'").count() == 5
-    assert got.agg(F.max("col")).first()[0] == 30
+    assert grid.fill_merged(c, merges(spark, (1, 1, 1, 16_384))).where("value_str = 'head'").agg(F.max("col")).first()[0] == 30
 
 
 KV_LINES = {
