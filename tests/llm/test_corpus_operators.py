@@ -92,6 +92,13 @@ def test_pii(spark):
     assert r[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_texts_with_spans_replaced_or_repeats_removed(spark):
+    assert pii.redact("mail a.b@c.org or +1 (603) 555-8791!") == "mail [email] or [phone]!"
+    passage = " ".join(f"p{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, f"one {passage}"), (2, f"{passage} two"), (3, " kept\tas  it is ")], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept_text"] for r in substring_dedup.remove_repeats(docs, texts=True).collect()} == {1: "one", 2: "two", 3: "kept as it is"}
+
+
 def test_pii_base_matches_the_patterns():
     r = random.Random(3)
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]

@@ -1,11 +1,13 @@
 """The pipeline's stages on tables with null and repeated ids: every row has a verdict of its own."""
 
+import math
 import random
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
+from sheetloom.llm import quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -55,3 +57,84 @@ def test_mixing_keeps_to_targets_with_one_id(spark, folder):
     assert set(got) <= set(rows)
     for s, target in {"a": 4000, "b": 5000 * 2 / 3, "c": 5000 / 3}.items():
         assert abs(words[s] - target) <= 100, words
+
+
+def plain_pipeline(docs, labels, items):
+    """The rows that the first three stages leave, by brute force."""
+    words = lambda t: (t or "").encode().split()
+    kept = []
+    good_ids = {d for d, q in labels if q == 1}
+    steps = {}
+    for k, (d, t, lang, _) in enumerate(docs):
+        n, chars, symbols, dup, repeat, lines, capitals, bangs = quality_rules.measure(t or "")
+        if n >= 50 and 100 * repeat <= 50 * n:
+            values = {"symbols": symbols / n, "dup_lines": dup / lines, "repeats": repeat / n, "capitals": capitals / chars, "bangs": bangs / n}
+            steps[k] = max(max(0, math.ceil(quality_rules.DOUBLING * math.log2(v / quality_rules.RULES[r][1]))) if v > quality_rules.RULES[r][1] else 0 for r, v in values.items())
+    strata = {docs[k][2] for k in steps if docs[k][0] in good_ids}
+    cut = {s: quality_rules.certified(Counter(steps[k] for k in steps if docs[k][2] == s and docs[k][0] in good_ids), 0.05, 0.05 / len(strata)) for s in strata}
+    kept = [docs[k] for k in steps if cut.get(docs[k][2]) is None or steps[k] <= cut[docs[k][2]]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words((t or "").lower()) for _, t, _, _ in kept)]
+    top = list(range(len(kept)))
+    while True:
+        new = [min(top[j] for j in range(len(kept)) if j == i or 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])) for i in range(len(kept))]
+        if new == top:
+            break
+        top = new
+    kept = [kept[i] for i in range(len(kept)) if top[i] == i]
+
+    def score(item, text):
+        row, best = [0] * (len(text) + 1), 0
+        for a in item:
+            line = [0]
+            for k, b in enumerate(text, 1):
+                line.append(max(0, row[k - 1] + (2 if a == b else -1), row[k] - 1, line[k - 1] - 1))
+            row, best = line, max(best, max(line))
+        return best / (2 * len(item))
+
+    return [x for x in kept if not any(score(words(i.lower()), words((x[1] or "").lower())) >= 0.5 for i in items)]
+
+
+def test_run_matches_the_plain_pipeline(spark, tmp_path):
+    r = random.Random(21)
+    items = [" ".join(f"item{k}x{j}" for j in range(40)) for k in range(3)]
+    docs = [(k, text(k, 60 + k % 40), "en" if k % 3 else "de", "abc"[k % 3]) for k in range(280)]
+    docs += [(300 + k, text(k, 60 + k % 40), "en", "a") for k in range(30)]  # copies
+    docs += [(400 + k, text(k, 60 + k % 40).replace("w1", "W1", 1) + " end", "en", "b") for k in range(30)]  # near copies
+    docs += [(500 + k, f"{text(900 + k, 50)} {items[k % 3]} {text(950 + k, 30)}", "en", "c") for k in range(6)]  # leaks
+    docs += [(600 + k, " ".join(f"#{w}|*" for w in text(700 + k, 60).split()), "en", "a") for k in range(8)]  # junk
+    docs += [(700, None, "en", "a"), (701, "", None, None), (702, "too short", "en", None)]
+    labels = [(k, 1) for k in range(280)] + [(600, 0), (None, 1), (5, None)]
+    r.shuffle(docs)
+    spark.createDataFrame([(*d, 9) for d in docs], DOCS + ", n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*x, 0) for x in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = plain_pipeline(sorted(docs), labels, items)
+    assert {d for d, *_ in want} == set(range(280))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies, by = Counter(x["doc_id"] for x in got), {}
+    size = {d: len(t.split()) for d, t, _, _ in want}
+    assert set(copies) <= set(size) and max(copies.values()) <= 2
+    # sources weigh 5, 2, 1 and share one and a half times all words, at most twice their own
+    own = Counter()
+    for d, _, _, s in want:
+        own[s] += size[d]
+    total = 1.5 * sum(own.values())
+    a = min(2 * own["a"], total * 5 / 8)
+    target = {"a": a, "b": (total - a) * 2 / 3, "c": (total - a) / 3}
+    source = {d: s for d, _, _, s in want}
+    for s, t in target.items():
+        assert abs(sum(n * size[d] for d, n in copies.items() if source[d] == s) - t) <= 100, s
+    for x in got:
+        by.setdefault(x["shard"], []).append(x["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], DOCS + ", n_chars long")
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    some = spark.createDataFrame([(1, text(1), "en", "a", 5), (None, text(2), None, None, None)], DOCS + ", n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, some, str(tmp_path)).count() == 2
