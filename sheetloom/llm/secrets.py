@@ -30,17 +30,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _CLASSES = (("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")), ("alnum", re.compile(r"[A-Za-z0-9]+")), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+")))
-#: Harmless shapes: rulers and padding, identifiers made of words, UUIDs, dates and times, paths of words.
-_ALLOWED = tuple(
-    re.compile(p)
-    for p in (
-        r"(.)\1+",
-        r"[A-Za-z]+[0-9]{0,4}",
-        r"(?:[A-Za-z]+[_/+=-]+)*[A-Za-z]+[0-9]{0,4}[_/+=-]*",
-        r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-        r"[0-9_/=+-]+",
-    )
-)
+#: Harmless shapes: rulers and padding, UUIDs, dates and times.
+_ALLOWED = tuple(re.compile(p) for p in (r"(.)\1+", r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", r"[0-9_/=+-]+"))
+#: Identifiers and paths, harmless if they are made of words: one case or a capital at the start, vowels, no long run of consonants.
+_NAMED = re.compile(r"(?:[A-Za-z]+[_/+=-]+)*[A-Za-z]+[0-9]{0,4}[_/+=-]*")
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_VOWELS, _CLUSTER = re.compile(r"[aeiouyAEIOUY]"), re.compile(r"[^aeiouyAEIOUY]{5}")
 _NLOGN = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
 
@@ -66,8 +61,14 @@ def window_entropy(s: str, width: int = WINDOW) -> float:
     return best
 
 
+def wordy(s: str) -> bool:
+    """Do the letters of `s` look like words? Two thirds of them must stand in pieces of four or more that could be spoken."""
+    spoken = sum(len(p) for p in _PIECE.findall(s) if len(p) >= 4 and 5 * len(_VOWELS.findall(p)) >= len(p) and not _CLUSTER.search(p))
+    return 3 * spoken >= 2 * sum(map(str.isalpha, s))
+
+
 def allowed(s: str) -> bool:
-    return any(p.fullmatch(s) for p in _ALLOWED)
+    return any(p.fullmatch(s) for p in _ALLOWED) or bool(_NAMED.fullmatch(s)) and wordy(s)
 
 
 def find(text: str) -> list[tuple[int, int, int]]:

@@ -183,6 +183,16 @@ def test_secret_base_matches_the_patterns():
         assert [x for x in secrets.find(t) if x[1] < 3] == want, t
 
 
+def test_random_letters_are_no_words():
+    r = random.Random(14)
+    for s in ("ordinaryWordsJoinedInCamelCase", "path/to/some_module/another-file_name", "SCREAMING_SNAKE_CASE_NAMES", "internationalization2024"):
+        assert secrets.allowed(s), s
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made = ["".join(r.choice(letters) for _ in range(32)) for _ in range(300)]
+    assert sum(map(secrets.allowed, made)) <= 6
+    assert [x[1] for x in secrets.find(f"key {made[0]} end")] == [3]
+
+
 def test_window_entropy_matches_brute_force():
     r = random.Random(7)
     for _ in range(300):
