@@ -1,10 +1,12 @@
 """Operator 9: training passages that copy test items, by n-gram seeds and local alignment.
 
-Every document is searched for the word n-grams of the test items. Each n-gram that a document
-shares with an item is a seed, so one that survives the editing of a copy is enough to find it,
-however often the item leaked elsewhere. Items that have too few words in common with the
-document to reach the limit are passed over; around the seeds of the others, Smith-Waterman
-alignment of words scores the passage against the item.
+Every document is searched for the word n-grams of the test items. A first pass counts the
+documents that hold each n-gram; the rare ones are seeds, and one that survives the editing of a
+copy is enough to find it. An n-gram isn't rare if it is in more than RARE_SHARE of all documents
+(and in more than RARE); an item that would be left with seeds for less than half of its
+n-grams, as one that leaked everywhere, keeps all of them. A second pass joins seeds: items that
+have too few words in common with the document to reach the limit are passed over; around the
+seeds of the others, Smith-Waterman alignment of words scores the passage against the item.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the score that a perfect copy of the item would get.
 LIMIT = 0.5
+#: An n-gram in so many documents is rare in any case, and so is one in this share of them.
+RARE, RARE_SHARE = 1000, 0.001
 #: Items whose n-grams are sent to all tasks at once; more are done in further rounds of so many.
 ITEM_BLOCK = 20_000
 
@@ -59,6 +63,17 @@ class Index:
         pairs = np.unique(np.stack([self.held, np.repeat(np.arange(len(grams)), np.diff(self.held_first))]), axis=1)
         self.holders, self.at = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.grams) + 1))
         self.lengths = range(min([GRAM, *map(len, words)]), GRAM + 1)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.grams & (len(self.maybe) - 1)] = True
+
+    def seeded(self, documents: np.ndarray, rare: float) -> None:
+        """Leave those n-grams out of `holders` that are in more than `rare` documents, but for items that need them."""
+        item = np.repeat(np.arange(len(self.ids)), np.diff(self.held_first))
+        low = documents[self.held] <= rare
+        few = 2 * np.bincount(item, low, len(self.ids)) < np.diff(self.held_first)
+        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.at))
+        use = (documents[gram] <= rare) | few[self.holders]
+        self.holders, self.at = self.holders[use], np.searchsorted(gram[use], np.arange(len(self.grams) + 1))
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -67,17 +82,14 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
 
 
-def gram_hits(words: Words, index: Index, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number in index.grams, word) of each place where the texts hold one of the n-grams, in order of words.
-
-    `maybe` marks the low bits of the n-grams.
-    """
+def gram_hits(words: Words, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(number in index.grams, word) of each place where the texts hold one of the n-grams, in order of words."""
     last = np.repeat(words.first[1:], np.diff(words.first))
     found = []
     for r in index.lengths:
         use = np.flatnonzero(np.arange(len(last)) + r <= last)
         g = words.windows(use, r).view(np.int64) if len(use) else np.zeros(0, np.int64)
-        hit = maybe[g & (len(maybe) - 1)]
+        hit = index.maybe[g & (len(index.maybe) - 1)]
         use, g = use[hit], g[hit]
         k = np.minimum(np.searchsorted(index.grams, g), len(index.grams) - 1)
         hit = index.grams[k] == g
@@ -117,6 +129,8 @@ def passages(text: np.ndarray, hits: np.ndarray, at: np.ndarray, index: Index, l
     """
     seen = np.unique(hits)
     items = np.unique(index.holders[_ranges(index.at[seen], index.at[seen + 1])])
+    if not len(items):
+        return []
     present = np.isin(index.known, text)
     begin, size = index.first[items], index.first[items + 1] - index.first[items]
     common = np.add.reduceat(present[index.number[_ranges(begin, begin + size)]], np.cumsum(size) - size, dtype=np.int64)
@@ -164,23 +178,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT) ->
     return out.dropDuplicates(["doc_id", "item_id", "begin", "end"])
 
 
+def gram_counts(plain: DataFrame, table) -> DataFrame:
+    """(gram, n): the documents that hold each n-gram of the index, by its number; `table` is the broadcast index."""
+    schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
+
+    def make(batch: pa.RecordBatch, words: Words) -> list:
+        hits, use = gram_hits(words, table.value)
+        text = np.repeat(np.arange(words.texts), np.diff(words.first))[use]
+        once = np.unique(text * len(table.value.grams) + hits)
+        return list(np.unique(once % len(table.value.grams), return_counts=True))
+
+    found = plain.mapInArrow(each_chunk(schema, make, lower=True), "gram int, n long")
+    return found.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def _block(plain: DataFrame, rows: list, limit: float) -> DataFrame:
     """The copies of the items in `rows`, at most about ITEM_BLOCK."""
-    table = plain.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["words"] for r in rows], [r["grams"] for r in rows]))
+    sc = plain.sparkSession.sparkContext
+    index = Index([r["item_id"] for r in rows], [r["words"] for r in rows], [r["grams"] for r in rows])
+    counts = gram_counts(plain, sc.broadcast(index)).toPandas()  # at most the n-grams of the block
+    documents = np.zeros(len(index.grams), np.int64)
+    documents[counts["gram"]] = counts["n"]
+    index.seeded(documents, max(RARE, RARE_SHARE * plain.count()))
+    table = sc.broadcast(index)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())])
 
     def make(batch: pa.RecordBatch, words: Words) -> list:
-        index = table.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[index.grams & (len(maybe) - 1)] = True
-        hits, use = gram_hits(words, index, maybe)
+        hits, use = gram_hits(words, table.value)
         cuts = np.searchsorted(use, words.first)
         h, out = words.hashes().view(np.int64), []
         for k in np.flatnonzero(np.diff(cuts)):
             found, begin = slice(cuts[k], cuts[k + 1]), words.first[k]
             order = np.argsort(hits[found], kind="stable")
             doc = batch.column(0)[int(k)].as_py()
-            out += [(doc, *p) for p in passages(h[begin : words.first[k + 1]], hits[found][order], use[found][order] - begin, index, limit)]
+            out += [(doc, *p) for p in passages(h[begin : words.first[k + 1]], hits[found][order], use[found][order] - begin, table.value, limit)]
         return [list(x) for x in zip(*out, strict=True)] if out else [[]] * 5
 
     return plain.mapInArrow(each_chunk(schema, make, lower=True), "doc_id long, item_id long, score double, begin int, end int")
