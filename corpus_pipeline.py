@@ -30,10 +30,15 @@ def _by_row(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("doc_id", F.col(ROW)).drop(ROW)
 
 
+def _growing(rows: DataFrame) -> DataFrame:
+    """`rows` grow with the documents: joined by a shuffle at every size, so that a small run shows what a large one takes."""
+    return rows.hint("merge")
+
+
 def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents but for those rows whose key is in `rows` (doc_id)."""
     gone = settle(rows.select(F.col("doc_id").alias("gone")).distinct())
-    return keyed.join(gone, F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
+    return keyed.join(_growing(gone), F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     taken = mixing.mix(_by_row(keyed)).select(F.col("doc_id").alias("row_taken"), F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5).cast("int").alias("n_taken"))
     taken = settle(taken.where("n_taken > 0"))
-    out = keyed.join(taken, F.col(ROW) == F.col("row_taken"))
+    out = keyed.join(_growing(taken), F.col(ROW) == F.col("row_taken"))
     return out.withColumn("copy_taken", F.explode(F.sequence(F.lit(1), F.col("n_taken")))).select(*[out[c] for c in docs.columns])
 
 
