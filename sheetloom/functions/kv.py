@@ -21,9 +21,9 @@ def normalize_key(c: Column) -> Column:
 
 
 def _halves(line: Column, at: Column) -> Column:
-    """What stands before and after the character at `at`, and the untrimmed part after it."""
+    """What stands before and after the character at `at`, and the untrimmed part after it; null at 0."""
     rest = F.substring(line, at + 1, F.length(line))
-    return F.struct(strip(F.substring(line, F.lit(1), at - 1)).alias("key"), rest.alias("rest"), strip(rest).alias("value"))
+    return F.when(at > 0, F.struct(strip(F.substring(line, F.lit(1), at - 1)).alias("key"), rest.alias("rest"), strip(rest).alias("value")))
 
 
 def _pair(halves: Column) -> Column:
@@ -38,7 +38,10 @@ def _parsed(lines: Column) -> Column:
     A line is cut at its first colon; if that gives no pair, at its first dash, which a blank
     must follow; if that gives none either, at its first equals sign. Each step names its result once.
     """
-    cuts = F.transform(F.transform(lines, strip), lambda x: F.struct(*[_halves(x, F.instr(x, sep)).alias(name) for name, sep in (("colon", ":"), ("dash", "-"), ("equals", "="))]))
+    cuts = F.transform(
+        F.transform(lines, strip),
+        lambda x: F.struct(*[_halves(x, F.instr(x, sep)).alias(name) for name, sep in (("colon", ":"), ("dash", "-"), ("equals", "="))]),
+    )
     spaced = lambda h: F.length(h["rest"]) > F.length(h["value"])  # noqa: E731  the line ends without blanks
     return F.transform(cuts, lambda c: F.coalesce(_pair(c["colon"]), F.when(spaced(c["dash"]), _pair(c["dash"])), _pair(c["equals"])))
 
@@ -62,20 +65,37 @@ def parse_kv(c: Column) -> Column:
     return F.coalesce(first_wins(_pairs(F.split(c, r"[\n|]"))), F.array().cast(KV))
 
 
-def parse_kv_multi(c: Column) -> Column:
-    """Every value of each key, in order; lines are not cut at `|`."""
+def line_pairs(c: Column) -> Column:
+    """(line, pair) of every line of a text, not cut at `|`; pair is null where the line isn't one."""
+    return let(F.transform(F.split(c, "\n"), strip), lambda x: F.arrays_zip(x.alias("line"), _parsed(x).alias("pair")))
+
+
+def multi_of(lines: Column) -> Column:
+    """Every value of each key of `line_pairs`, in order."""
 
     def by_key(pairs: Column) -> Column:
         keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-        return F.transform(keys, lambda k: F.struct(k.alias("key"), F.transform(F.filter(pairs, lambda e: e["key"] == k), lambda e: e["value"]).alias("values")))
+        return F.transform(
+            keys,
+            lambda k: F.struct(k.alias("key"), F.transform(F.filter(pairs, lambda e: e["key"] == k), lambda e: e["value"]).alias("values")),
+        )
+
+    found = F.filter(F.transform(lines, lambda e: e["pair"]), lambda p: p.isNotNull())
+    return F.map_from_entries(let(F.coalesce(found, F.array().cast(KV)), by_key))
 
-    return F.map_from_entries(let(F.coalesce(_pairs(F.split(c, "\n")), F.array().cast(KV)), by_key))
+
+def plain_of(lines: Column) -> Column:
+    """The lines of `line_pairs` that aren't blank and aren't pairs."""
+    plain = F.filter(lines, lambda e: (e["line"] != "") & e["pair"].isNull())
+    return F.coalesce(F.transform(plain, lambda e: e["line"]), F.array().cast("array<string>"))
+
+
+def parse_kv_multi(c: Column) -> Column:
+    return multi_of(line_pairs(c))
 
 
 def non_kv_lines(c: Column) -> Column:
-    lines = F.transform(F.split(c, "\n"), strip)
-    both = let(lines, lambda x: F.filter(F.arrays_zip(x.alias("line"), _parsed(x).alias("pair")), lambda e: (e["line"] != "") & e["pair"].isNull()))
-    return F.coalesce(F.transform(both, lambda e: e["line"]), F.array().cast("array<string>"))
+    return plain_of(line_pairs(c))
 
 
 def merge_kv(*kvs: Column) -> Column:

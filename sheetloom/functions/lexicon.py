@@ -114,7 +114,28 @@ UNITS = {
 }
 
 # Keys of detail rows; rows to skip; words of a repeated header row; labels; titles.
-DETAIL_KEYS = ["maker:", "name:", "finish:", "size:", "lead time:", "notes:", "leadtime:", "material:", "colour:", "color:", "brand:", "supplier:", "manufacturer:", "dimensions:", "dim:", "width:", "height:", "length:", "depth:", "item:"]
+DETAIL_KEYS = [
+    "maker:",
+    "name:",
+    "finish:",
+    "size:",
+    "lead time:",
+    "notes:",
+    "leadtime:",
+    "material:",
+    "colour:",
+    "color:",
+    "brand:",
+    "supplier:",
+    "manufacturer:",
+    "dimensions:",
+    "dim:",
+    "width:",
+    "height:",
+    "length:",
+    "depth:",
+    "item:",
+]
 SKIP = r"^(delivery|shipping|freight|totals?|sub\s*total|grand\s*total|gst|tax)$"
 ECHO_CODE = ["spec code", "doc code", "drawing code", "code", "ref", "ref no", "reference", "id", "sku", "item code", "product code"]
 ECHO = {
@@ -129,4 +150,13 @@ LABELS = [
     "job no.", "job no", "job name.", "job name", "revision date", "revision no.", "revision no", "revision", "date", "client name:", "client name", "project address:", "project address", "version:", "version", "issue date:", "issue date", "project:", "project", "rev", "rev.", "notes", "legend",
 ]
 TITLE_WORDS = ["schedule", "project", "interior", "finish", "ff&e", "ffe"]
-DISCLAIMERS = ["refer to drawings", "refer to plans", "for full detail", "images and costs", "verify on site", "prior to order", "indicative only", "all dimensions"]
+DISCLAIMERS = [
+    "refer to drawings",
+    "refer to plans",
+    "for full detail",
+    "images and costs",
+    "verify on site",
+    "prior to order",
+    "indicative only",
+    "all dimensions",
+]

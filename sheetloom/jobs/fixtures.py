@@ -39,9 +39,26 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
     j = line.join(part, line["l_partkey"] == part["p_partkey"])
     rn = F.row_number().over(W.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_extendedprice")).cast("long")
-    j = j.select(F.col("l_suppkey").alias("sup"), F.col("l_linenumber").alias("sh"), F.col("l_partkey").alias("pk"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("rf"), "p_name", "p_brand", "p_type", "p_size", rn.alias("rn"))
+    j = j.select(
+        F.col("l_suppkey").alias("sup"),
+        F.col("l_linenumber").alias("sh"),
+        F.col("l_partkey").alias("pk"),
+        F.col("l_quantity").cast("int").alias("q"),
+        F.col("l_returnflag").alias("rf"),
+        "p_name",
+        "p_brand",
+        "p_type",
+        "p_size",
+        rn.alias("rn"),
+    )
     block = F.expr(f"(rn - 1) div {PER_SECTION}")
-    return j.select("*", F.col("sup").cast("string").alias("workbook_id"), F.col("sh").cast("int").alias("sheet_idx"), (F.lit(6) + F.col("rn") - 1 + block).cast("int").alias("row_num"), block.alias("block"))
+    return j.select(
+        "*",
+        F.col("sup").cast("string").alias("workbook_id"),
+        F.col("sh").cast("int").alias("sheet_idx"),
+        (F.lit(6) + F.col("rn") - 1 + block).cast("int").alias("row_num"),
+        block.alias("block"),
+    )
 
 
 def texts(ln: DataFrame) -> DataFrame:
@@ -49,9 +66,31 @@ def texts(ln: DataFrame) -> DataFrame:
     pk = F.col("pk")
     pick = lambda words, n: F.element_at(F.lit(words), (F.pmod(n, F.lit(len(words))) + 1).cast("int"))
     size = F.concat(F.lit("SIZE = "), (pk % 90 + 1).cast("string"), F.lit(" X "), (pk % 70 + 2).cast("string"), F.lit(" "), pick(UNITS, pk))
-    specs = F.concat(F.lit("PRODUCT: "), "p_name", F.lit("\nCOLOUR - "), pick(COLOURS, pk), F.lit("\n"), size, F.lit("|FINISH- "), "p_type", F.lit("\nSTYLE: S"), (pk % 4).cast("string"), F.lit("\nas drawn"))
+    specs = F.concat(
+        F.lit("PRODUCT: "),
+        "p_name",
+        F.lit("\nCOLOUR - "),
+        pick(COLOURS, pk),
+        F.lit("\n"),
+        size,
+        F.lit("|FINISH- "),
+        "p_type",
+        F.lit("\nSTYLE: S"),
+        (pk % 4).cast("string"),
+        F.lit("\nas drawn"),
+    )
     price = (pk % 900 + 10).cast("string")
-    cost = F.element_at(F.array(price, F.concat(F.lit("$"), price, F.lit(".50+GST")), F.lit("TBC"), F.concat(price, F.lit(" PER SQM")), F.lit(None).cast("string"), F.concat(F.lit("RRP "), price)), (pk % 6 + 1).cast("int"))
+    cost = F.element_at(
+        F.array(
+            price,
+            F.concat(F.lit("$"), price, F.lit(".50+GST")),
+            F.lit("TBC"),
+            F.concat(price, F.lit(" PER SQM")),
+            F.lit(None).cast("string"),
+            F.concat(F.lit("RRP "), price),
+        ),
+        (pk % 6 + 1).cast("int"),
+    )
     return ln.withColumns(
         {
             "doc_code": F.when(F.col("rf") != "N", F.concat(F.lit("P-"), pk.cast("string"))),
@@ -72,18 +111,43 @@ def schedule_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     t = texts(lines(spark, sf_dir))
     text = lambda c, k: F.struct(F.lit(k).alias("col"), F.col(c).alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
-    qty = F.struct(F.lit(6).alias("col"), F.col("q").cast("string").alias("value_str"), F.col("q").cast("double").alias("value_num"), F.lit("int").alias("value_kind"))
-    cost = F.struct(F.lit(7).alias("col"), F.col("cost").alias("value_str"), F.when(F.col("cost_kind") == "int", F.col("cost").try_cast("double")).alias("value_num"), F.col("cost_kind").alias("value_kind"))
+    qty = F.struct(
+        F.lit(6).alias("col"),
+        F.col("q").cast("string").alias("value_str"),
+        F.col("q").cast("double").alias("value_num"),
+        F.lit("int").alias("value_kind"),
+    )
+    cost = F.struct(
+        F.lit(7).alias("col"),
+        F.col("cost").alias("value_str"),
+        F.when(F.col("cost_kind") == "int", F.col("cost").try_cast("double")).alias("value_num"),
+        F.col("cost_kind").alias("value_kind"),
+    )
     cells = F.array(text("doc_code", 1), text("item_location", 2), text("specs", 3), text("manufacturer", 4), text("notes", 5), qty, cost)
     body = t.select("workbook_id", "sheet_idx", F.col("row_num").alias("row"), F.explode(cells).alias("c"))
     sheets = t.groupBy("workbook_id", "sheet_idx").agg(F.max("block").alias("blocks"))
     heads = F.element_at(F.lit(HEADERS), (F.pmod("sheet_idx", F.lit(3)) + 1).cast("int"))
     str_cell = lambda v, k: F.struct(F.lit(k).cast("int").alias("col") if isinstance(k, int) else k.cast("int").alias("col"), v.alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
-    top = sheets.select("workbook_id", "sheet_idx", F.lit(HEADER_ROW).alias("row"), F.posexplode(heads).alias("k", "v")).select("workbook_id", "sheet_idx", "row", str_cell(F.col("v"), F.col("k") + 1).alias("c"))
-    title = sheets.select("workbook_id", "sheet_idx", F.lit(1).alias("row"), str_cell(F.concat(F.lit("Supplier "), "workbook_id", F.lit(" Finish Schedule")), 1).alias("c"))
+    top = sheets.select(
+        "workbook_id",
+        "sheet_idx",
+        F.lit(HEADER_ROW).alias("row"),
+        F.posexplode(heads).alias("k", "v"),
+    ).select("workbook_id", "sheet_idx", "row", str_cell(F.col("v"), F.col("k") + 1).alias("c"))
+    title = sheets.select(
+        "workbook_id",
+        "sheet_idx",
+        F.lit(1).alias("row"),
+        str_cell(F.concat(F.lit("Supplier "), "workbook_id", F.lit(" Finish Schedule")), 1).alias("c"),
+    )
     section = sheets.select("workbook_id", "sheet_idx", F.explode(F.sequence(F.lit(0).cast("long"), "blocks")).alias("b"))
     name = F.element_at(F.lit(SECTIONS), (F.pmod("b", F.lit(len(SECTIONS))) + 1).cast("int"))
-    section = section.select("workbook_id", "sheet_idx", (F.lit(HEADER_ROW + 1) + F.col("b") * (PER_SECTION + 1)).cast("int").alias("row"), str_cell(name, 1).alias("c"))
+    section = section.select(
+        "workbook_id",
+        "sheet_idx",
+        (F.lit(HEADER_ROW + 1) + F.col("b") * (PER_SECTION + 1)).cast("int").alias("row"),
+        str_cell(name, 1).alias("c"),
+    )
     out = body.unionByName(top).unionByName(title).unionByName(section)
     return out.select("workbook_id", "sheet_idx", "row", "c.*").where("value_str is not null")
 
@@ -97,4 +161,10 @@ def schedule_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schedule_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lines(spark, sf_dir).select("workbook_id", "sheet_idx").distinct()
-    return s.select("workbook_id", F.concat(F.lit("supplier_"), "workbook_id", F.lit(".xlsx")).alias("filename"), "sheet_idx", F.concat(F.lit("Sheet "), F.col("sheet_idx").cast("string"), F.lit(" ")).alias("sheet_name"), (F.col("sheet_idx") == 1).alias("is_active"))
+    return s.select(
+        "workbook_id",
+        F.concat(F.lit("supplier_"), "workbook_id", F.lit(".xlsx")).alias("filename"),
+        "sheet_idx",
+        F.concat(F.lit("Sheet "), F.col("sheet_idx").cast("string"), F.lit(" ")).alias("sheet_name"),
+        (F.col("sheet_idx") == 1).alias("is_active"),
+    )

@@ -20,7 +20,9 @@ def query(sql: str | None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = "WITH " + BASE_SQL.strip() + (",\n" + sql.strip() if not sql.strip().upper().startswith("SELECT") else "\n" + sql.strip())
+            SQL[f.__name__] = "WITH " + BASE_SQL.strip() + (
+                ",\n" + sql.strip() if not sql.strip().upper().startswith("SELECT") else "\n" + sql.strip()
+            )
         return f
 
     return register
@@ -56,7 +58,24 @@ FROM kept WHERE nth = 1
 def parse_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 with G1, H4, C1-C6, C9, R1-R3, R8, R10, R11, R13, R14, K3, N3-N7, P1-P12, D1, D2."""
     p = parse_products(_cells(spark, sf_dir), fixtures.schedule_merges(spark, sf_dir))
-    return p.select("workbook_id", "sheet_idx", "row_num", "doc_code", "product_name", "brand", "colour", "finish", "width", "length", "height", "qty", "rrp", "product_description", "product_details", "seq")
+    return p.select(
+        "workbook_id",
+        "sheet_idx",
+        "row_num",
+        "doc_code",
+        "product_name",
+        "brand",
+        "colour",
+        "finish",
+        "width",
+        "length",
+        "height",
+        "qty",
+        "rrp",
+        "product_description",
+        "product_details",
+        "seq",
+    )
 
 
 @query("""
@@ -64,7 +83,7 @@ SELECT workbook_id, sheet_idx, 4 AS header_row, CASE sheet_idx % 3 WHEN 0 THEN 7
 """)
 def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1-H4: the header row of every sheet."""
-    h = headers.find_header_row(_filled(spark, sf_dir))
+    h = headers.find_header_row(grid.fill_merged(fixtures.schedule_cells(spark, sf_dir), fixtures.schedule_merges(spark, sf_dir)))
     return h.select("workbook_id", "sheet_idx", "header_row", F.size("canonicals").alias("score"))
 
 
@@ -129,7 +148,11 @@ def merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = first.select("*", F.explode(F.lit([1, 3])).alias("col"))
     keys = [*grid.SHEET, "row", "col"]
     out = grid.merged_value(points, cells, merges).select(*keys, "value_str")
-    out = out.join(grid.is_merged(points, merges).withColumn("m", F.lit(True)), keys, "left").join(grid.is_merged_topleft(points, merges).withColumn("t", F.lit(True)), keys, "left")
+    out = out.join(grid.is_merged(points, merges).withColumn("m", F.lit(True)), keys, "left").join(
+        grid.is_merged_topleft(points, merges).withColumn("t", F.lit(True)),
+        keys,
+        "left",
+    )
     out = out.join(grid.merged_range_of(points, merges).select(*keys, "max_col"), keys)
     return out.select(*keys, "value_str", F.coalesce("m", F.lit(False)).alias("merged"), F.coalesce("t", F.lit(False)).alias("topleft"), "max_col")
 
@@ -146,7 +169,11 @@ SELECT workbook_id, sheet_idx, CAST(COUNT(*) AS BIGINT) AS product_rows, CAST(CO
 def row_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by kind, and the layout, of every sheet."""
     w = rows.classified(_wide(spark, sf_dir))
-    n = w.groupBy(*grid.SHEET).agg(F.count_if(F.col("kind") != "section").alias("product_rows"), F.count_if(F.col("kind") == "section").alias("sections"), F.count_if(F.col("kind") == "item").alias("items"))
+    n = w.groupBy(*grid.SHEET).agg(
+        F.count_if(F.col("kind") != "section").alias("product_rows"),
+        F.count_if(F.col("kind") == "section").alias("sections"),
+        F.count_if(F.col("kind") == "item").alias("items"),
+    )
     heads = w.select(*grid.SHEET).distinct().withColumn("header_row", F.lit(fixtures.HEADER_ROW))
     return n.join(rows.detect_layout(w, heads), grid.SHEET)
 
@@ -195,10 +222,21 @@ def _grouped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(F.when(F.col("part") == 0, "Item ").otherwise("M"), F.col("pk").cast("string"))
     cell = lambda k, v, n=None: F.struct(F.lit(k).alias("col"), v.alias("value_str"), (n if n is not None else F.lit(None)).cast("double").alias("value_num"), F.lit("str" if n is None else "int").alias("value_kind"))
     qty = F.when(F.col("part") == 0, F.col("q"))
-    cells = ln.select(*grid.SHEET, "row", F.explode(F.array(cell(4, key), cell(5, value), cell(6, qty.cast("string"), qty))).alias("c")).select(*grid.SHEET, "row", "c.*").where("value_str is not null")
+    cells = ln.select(
+        *grid.SHEET,
+        "row",
+        F.explode(F.array(cell(4, key), cell(5, value), cell(6, qty.cast("string"), qty))).alias("c"),
+    ).select(*grid.SHEET, "row", "c.*").where("value_str is not null")
     sheets = ln.select(*grid.SHEET).distinct()
     heads = ["Code", "Image", "Location", "Label", "Details", "Qty"]
-    top = sheets.select(*grid.SHEET, F.lit(4).alias("row"), F.posexplode(F.lit(heads)).alias("k", "v")).select(*grid.SHEET, "row", (F.col("k") + 1).alias("col"), F.col("v").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
+    top = sheets.select(*grid.SHEET, F.lit(4).alias("row"), F.posexplode(F.lit(heads)).alias("k", "v")).select(
+        *grid.SHEET,
+        "row",
+        (F.col("k") + 1).alias("col"),
+        F.col("v").alias("value_str"),
+        F.lit(None).cast("double").alias("value_num"),
+        F.lit("str").alias("value_kind"),
+    )
     return cells.unionByName(top)
 
 
@@ -209,7 +247,13 @@ def grouped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = settle(headers.find_header_row(cells))
     p = rows.product_rows(cells, h, columns.map_columns(cells, h))
     told = F.array_join(F.transform("detail_rows", lambda d: F.concat(d["key"], F.lit("="), d["value"])), "|")
-    return p.select(*grid.SHEET, "row_num", "item_name", F.nullif(told, F.lit("")).alias("details"), F.col("qty")["value_num"].cast("int").alias("qty"))
+    return p.select(
+        *grid.SHEET,
+        "row_num",
+        "item_name",
+        F.nullif(told, F.lit("")).alias("details"),
+        F.col("qty")["value_num"].cast("int").alias("qty"),
+    )
 
 
 @query("""
@@ -233,9 +277,21 @@ FROM lines
 """)
 def kv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1-K9: pairs of text blocks."""
-    t = grid.computed(fixtures.texts(fixtures.lines(spark, sf_dir)), {"kv": kv.parse_kv(F.col("specs")), "maker": kv.parse_kv(F.col("manufacturer"))})
+    t = grid.computed(
+        fixtures.texts(fixtures.lines(spark, sf_dir)),
+        {"kv": kv.parse_kv(F.col("specs")), "maker": kv.parse_kv(F.col("manufacturer")), "lines": kv.line_pairs(F.col("specs"))},
+    )
     t = t.where(F.size("kv") > 0)
-    return t.select(*grid.SHEET, "row_num", kv.format_kv(F.col("kv")).alias("pairs"), kv.kv_get(F.col("kv"), "SURFACE", "FINISH").alias("finish"), F.size("kv").alias("n_pairs"), F.array_join(kv.non_kv_lines(F.col("specs")), "/").alias("plain"), kv.kv_get(kv.merge_kv(F.col("kv"), F.col("maker")), "NAME").alias("merged_name"), F.size(kv.parse_kv_multi(F.col("specs"))).alias("n_multi"))
+    return t.select(
+        *grid.SHEET,
+        "row_num",
+        kv.format_kv(F.col("kv")).alias("pairs"),
+        kv.kv_get(F.col("kv"), "SURFACE", "FINISH").alias("finish"),
+        F.size("kv").alias("n_pairs"),
+        F.array_join(kv.plain_of(F.col("lines")), "/").alias("plain"),
+        kv.kv_get(kv.merge_kv(F.col("kv"), F.col("maker")), "NAME").alias("merged_name"),
+        F.size(kv.multi_of(F.col("lines"))).alias("n_multi"),
+    )
 
 
 @query(f"""
@@ -248,7 +304,13 @@ def unit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fixtures.texts(fixtures.lines(spark, sf_dir))
     a, b = (F.col("pk") % 90 + 1).cast("string"), (F.col("pk") % 70 + 2).cast("string")
     unit = F.element_at(F.lit(fixtures.UNITS), (F.col("pk") % 5 + 1).cast("int"))
-    t = grid.computed(t, {"d": units.parse_dimensions(F.concat(a, F.lit(" X "), b, F.lit(" "), unit)), "named": units.parse_dimensions(F.concat(F.lit("HEIGHT: "), b, F.lit(" mm\nSIZE: "), a, F.lit(" (W) x 9 (D) x 7 (H) mm")))})
+    t = grid.computed(
+        t,
+        {
+            "d": units.parse_dimensions(F.concat(a, F.lit(" X "), b, F.lit(" "), unit)),
+            "named": units.parse_dimensions(F.concat(F.lit("HEIGHT: "), b, F.lit(" mm\nSIZE: "), a, F.lit(" (W) x 9 (D) x 7 (H) mm"))),
+        },
+    )
     none = F.lit(None).cast("double")
     return t.select(
         *grid.SHEET, "row_num", units.parse_mm(F.concat(a, F.lower(unit))).alias("mm"), "d.width", "d.length", "d.height", F.col("named.height").alias("named_height"), F.col("named.width").alias("labelled_width"),
@@ -272,14 +334,35 @@ SELECT workbook_id, sheet_idx, row_num AS row, 9 AS col, 'Supplier ' || workbook
 def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: beside every line, in a column of its own, a reference to the title of the first sheet."""
     cells = _cells(spark, sf_dir)
-    refs = fixtures.lines(spark, sf_dir).select(*grid.SHEET, F.col("row_num").alias("row"), F.lit(9).alias("col"), F.lit("='[1]sheet 1'!$A$1").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
+    refs = fixtures.lines(spark, sf_dir).select(
+        *grid.SHEET,
+        F.col("row_num").alias("row"),
+        F.lit(9).alias("col"),
+        F.lit("='[1]sheet 1'!$A$1").alias("value_str"),
+        F.lit(None).cast("double").alias("value_num"),
+        F.lit("str").alias("value_kind"),
+    )
     return naming.resolve_cell_refs(cells.unionByName(refs), fixtures.schedule_sheets(spark, sf_dir))
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products as the rules have them, by columns alone: the other side of the reports."""
     t = fixtures.texts(fixtures.lines(spark, sf_dir))
-    return t.select(*grid.SHEET, "row_num", "pk", "doc_code", F.col("p_name").alias("product_name"), F.when(F.col("pk") % 4 != 0, F.col("p_brand")).alias("brand"), F.when(F.col("pk") % 3 != 0, F.lit("Ivory")).alias("colour"), F.lit(" ").alias("finish"), F.col("q").alias("qty"), F.col("p_size").alias("width"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("height"), F.col("q").cast("double").alias("rrp"))
+    return t.select(
+        *grid.SHEET,
+        "row_num",
+        "pk",
+        "doc_code",
+        F.col("p_name").alias("product_name"),
+        F.when(F.col("pk") % 4 != 0, F.col("p_brand")).alias("brand"),
+        F.when(F.col("pk") % 3 != 0, F.lit("Ivory")).alias("colour"),
+        F.lit(" ").alias("finish"),
+        F.col("q").alias("qty"),
+        F.col("p_size").alias("width"),
+        F.lit(None).cast("int").alias("length"),
+        F.lit(None).cast("int").alias("height"),
+        F.col("q").cast("double").alias("rrp"),
+    )
 
 
 @query("""
@@ -317,7 +400,10 @@ SELECT workbook_id, CAST(COUNT(*) AS BIGINT) AS compared, AVG(CASE WHEN pk % 4 <
 def text_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4: names in capitals and with wide blanks match, changed ones do not."""
     p = _products(spark, sf_dir)
-    other = p.withColumn("product_name", F.when(F.col("pk") % 4 == 1, F.concat("product_name", F.lit(" x"))).otherwise(F.upper(F.replace("product_name", F.lit(" "), F.lit("  ")))))
+    other = p.withColumn(
+        "product_name",
+        F.when(F.col("pk") % 4 == 1, F.concat("product_name", F.lit(" x"))).otherwise(F.upper(F.replace("product_name", F.lit(" "), F.lit("  ")))),
+    )
     return quality.text_match_rate(p, other, "product_name")
 
 
@@ -331,7 +417,13 @@ UNION ALL SELECT workbook_id, code, 'rrp', CAST(q AS DOUBLE), q + 3.0::DOUBLE FR
 def numeric_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5."""
     p = _products(spark, sf_dir)
-    other = p.withColumns({"qty": F.when(F.col("pk") % 2 == 0, F.col("qty") + 1).otherwise(F.col("qty")), "width": F.col("width") + (F.col("pk") % 4).cast("int"), "rrp": F.col("rrp") + 3})
+    other = p.withColumns(
+        {
+            "qty": F.when(F.col("pk") % 2 == 0, F.col("qty") + 1).otherwise(F.col("qty")),
+            "width": F.col("width") + (F.col("pk") % 4).cast("int"),
+            "rrp": F.col("rrp") + 3,
+        },
+    )
     return quality.numeric_mismatches(p, other)
 
 
@@ -341,7 +433,10 @@ SELECT workbook_id, CAST(workbook_id AS BIGINT) % 2 = 0 AS matches FROM lines GR
 def schedule_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: true names that stand in the grid against names of which every other one is wrong."""
     cells = _cells(spark, sf_dir)
-    truth = cells.select("workbook_id").distinct().withColumn("schedule_name", F.concat(F.lit(" Supplier "), "workbook_id", F.lit(" Finish Schedule")))
+    truth = cells.select("workbook_id").distinct().withColumn(
+        "schedule_name",
+        F.concat(F.lit(" Supplier "), "workbook_id", F.lit(" Finish Schedule")),
+    )
     names = truth.withColumn("schedule_name", F.when(F.col("workbook_id").cast("long") % 2 == 0, F.col("schedule_name")).otherwise("other"))
     return quality.schedule_name_match(truth, names, cells)
 
@@ -405,7 +500,10 @@ SELECT layout_family, files, files / SUM(files) OVER () AS share, files / SUM(fi
 """)
 def layout_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q10."""
-    f = fixtures.lines(spark, sf_dir).select("workbook_id", F.when(F.col("sup") % 20 == 0, "normalized").otherwise("finish_schedule").alias("layout_family"))
+    f = fixtures.lines(spark, sf_dir).select(
+        "workbook_id",
+        F.when(F.col("sup") % 20 == 0, "normalized").otherwise("finish_schedule").alias("layout_family"),
+    )
     return quality.layout_family_mix(f, spark.createDataFrame([("finish_schedule",), ("normalized",), ("ffe_tracker",)], "layout_family string"))
 
 
@@ -442,9 +540,17 @@ SELECT workbook_id, layout_family, CAST(d AS BIGINT) AS details, nm AS names, CA
 """)
 def layout_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q14."""
-    p = _products(spark, sf_dir).select("workbook_id", F.when(F.col("pk") % 97 == 0, "x").alias("product_details"), F.when(F.col("pk") % 2 == 0, F.col("product_name")).alias("product_name"), F.when(F.col("pk") % 89 == 0, F.col("qty")).alias("qty"))
+    p = _products(spark, sf_dir).select(
+        "workbook_id",
+        F.when(F.col("pk") % 97 == 0, "x").alias("product_details"),
+        F.when(F.col("pk") % 2 == 0, F.col("product_name")).alias("product_name"),
+        F.when(F.col("pk") % 89 == 0, F.col("qty")).alias("qty"),
+    )
     k = F.col("workbook_id").cast("long") % 3
-    f = p.select("workbook_id").distinct().withColumn("layout_family", F.when(k == 0, "finish_schedule").when(k == 1, "normalized").otherwise("ffe_tracker"))
+    f = p.select("workbook_id").distinct().withColumn(
+        "layout_family",
+        F.when(k == 0, "finish_schedule").when(k == 1, "normalized").otherwise("ffe_tracker"),
+    )
     return quality.layout_field_presence(p, f)
 
 
@@ -466,9 +572,25 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations, codes and texts cut apart."""
     t = fixtures.texts(fixtures.lines(spark, sf_dir))
     pk = F.col("pk").cast("string")
-    t = grid.computed(t, {"parts": products.split_item_location(F.col("item_location")), "coded": products.code_in_name(F.concat(F.lit("P"), pk, F.lit(" – "), "p_name"))})
+    t = grid.computed(
+        t,
+        {
+            "parts": products.split_item_location(F.col("item_location")),
+            "coded": products.code_in_name(F.concat(F.lit("P"), pk, F.lit(" – "), "p_name")),
+        },
+    )
     blank = F.lit("  \t")
-    return t.select(*grid.SHEET, "row_num", F.col("parts.left").alias("name_left"), F.col("parts.right").alias("location"), F.col("coded.left").alias("code"), F.col("coded.right").alias("name_right"), products.code_in_image(F.concat(F.lit("a/b/img"), pk, F.lit(".PNG"))).alias("image_code"), text.norm_cell_text(F.concat(blank, F.lit("SHEETS "), F.upper("p_name"), blank)).alias("folded"), text.norm_header(F.concat(blank, F.upper("p_name"), F.lit(" :.-"))).alias("header"))
+    return t.select(
+        *grid.SHEET,
+        "row_num",
+        F.col("parts.left").alias("name_left"),
+        F.col("parts.right").alias("location"),
+        F.col("coded.left").alias("code"),
+        F.col("coded.right").alias("name_right"),
+        products.code_in_image(F.concat(F.lit("a/b/img"), pk, F.lit(".PNG"))).alias("image_code"),
+        text.norm_cell_text(F.concat(blank, F.lit("SHEETS "), F.upper("p_name"), blank)).alias("folded"),
+        text.norm_header(F.concat(blank, F.upper("p_name"), F.lit(" :.-"))).alias("header"),
+    )
 
 
 def queries() -> dict:

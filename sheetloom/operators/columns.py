@@ -45,7 +45,10 @@ def match_partial(words: DataFrame) -> DataFrame:
     `words` are distinct headers, few; the lexicon is of fixed size.
     """
     lex = F.broadcast(lexicon(words.sparkSession).where("length(synonym) >= 3"))
-    begins = F.col("norm").startswith(F.col("synonym")) & ~F.regexp_like(F.substr("norm", F.length("synonym") + 1, F.lit(1)), F.lit(r"(?U)^[\p{L}\p{N}]"))
+    begins = F.col("norm").startswith(F.col("synonym")) & ~F.regexp_like(
+        F.substr("norm", F.length("synonym") + 1, F.lit(1)),
+        F.lit(r"(?U)^[\p{L}\p{N}]"),
+    )
     met = words.join(lex, begins | F.regexp_like("norm", _quoted(F.col("synonym"))))
     best = met.groupBy("norm").agg(F.min_by("canonical", F.struct(-F.length("synonym"), "ord")).alias("canonical"))
     return best

@@ -37,7 +37,14 @@ def rows_to_cells(df: DataFrame, order_col: str, workbook_id: Column | None = No
     for c, t in ((c, t) for c, t in df.dtypes if c != order_col):
         numeric = t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")
         made = "float" if t in ("float", "double") or t.startswith("decimal") else "int" if numeric else "bool" if t == "boolean" else kind
-        parts.append(F.struct(F.lit(len(parts) + 1).alias("col"), F.col(c).cast("string").alias("value_str"), (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("value_num"), F.lit(made).alias("value_kind")))
+        parts.append(
+            F.struct(
+                F.lit(len(parts) + 1).alias("col"),
+                F.col(c).cast("string").alias("value_str"),
+                (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("value_num"),
+                F.lit(made).alias("value_kind"),
+            ),
+        )
     long = df.select(
         (workbook_id if workbook_id is not None else F.lit("0")).cast("string").alias("workbook_id"), (sheet_idx if sheet_idx is not None else F.lit(0)).cast("int").alias("sheet_idx"), F.col(order_col).cast("int").alias("row"), F.explode(F.array(*parts)).alias("c")
     )
@@ -51,11 +58,19 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     cells are told apart from the rest by one left join. Ranges end at the last column that is
     read; one over whole columns ends at the sheet's last row that a cell or another range uses.
     """
-    used = cells.select(*SHEET, "row").unionByName(merges.where(F.col("max_row") < LAST_ROW).select(*SHEET, F.col("max_row").alias("row"))).groupBy(*SHEET).agg(F.max("row").alias("used_row"))
+    used = cells.select(*SHEET, "row").unionByName(
+        merges.where(F.col("max_row") < LAST_ROW).select(*SHEET, F.col("max_row").alias("row")),
+    ).groupBy(*SHEET).agg(F.max("row").alias("used_row"))
     merges = merges.where(F.col("min_col") <= LAST_COL).join(used, SHEET, "left")
     last = F.when(F.col("max_row") >= LAST_ROW, F.greatest("min_row", F.coalesce("used_row", F.lit(0)))).otherwise(F.col("max_row"))
     merges = merges.select(*SHEET, "min_row", last.alias("max_row"), "min_col", F.least("max_col", F.lit(LAST_COL)).alias("max_col"))
-    area = merges.select(*SHEET, "min_row", "min_col", F.explode(F.sequence("min_row", "max_row")).alias("row"), "max_col").select(*SHEET, "min_row", "min_col", "row", F.explode(F.sequence("min_col", "max_col")).alias("col"))
+    area = merges.select(
+        *SHEET,
+        "min_row",
+        "min_col",
+        F.explode(F.sequence("min_row", "max_row")).alias("row"),
+        "max_col",
+    ).select(*SHEET, "min_row", "min_col", "row", F.explode(F.sequence("min_col", "max_col")).alias("col"))
     area = area.groupBy(*SHEET, "row", "col").agg(F.max(F.struct("min_row", "min_col")).alias("top")).select(*SHEET, "row", "col", "top.*")
     corner = cells.select(*SHEET, F.col("row").alias("min_row"), F.col("col").alias("min_col"), *VALUE)
     filled = area.join(corner, [*SHEET, "min_row", "min_col"]).select(*SHEET, "row", "col", *VALUE)
@@ -65,7 +80,11 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
 def _in_range(points: DataFrame, merges: DataFrame, how: str) -> DataFrame:
     p, m = points.alias("p"), merges.alias("m")
     on = [F.col(f"p.{k}") == F.col(f"m.{k}") for k in SHEET]
-    return p.join(m, [*on, F.col("p.row").between(F.col("m.min_row"), F.col("m.max_row")), F.col("p.col").between(F.col("m.min_col"), F.col("m.max_col"))], how)
+    return p.join(
+        m,
+        [*on, F.col("p.row").between(F.col("m.min_row"), F.col("m.max_row")), F.col("p.col").between(F.col("m.min_col"), F.col("m.max_col"))],
+        how,
+    )
 
 
 def merged_range_of(points: DataFrame, merges: DataFrame) -> DataFrame:

@@ -26,7 +26,10 @@ def match_header(norm: Column) -> Column:
 
 def header_matches(cells: DataFrame, max_scan: int = SCAN_ROWS) -> DataFrame:
     """sheet, row, col, canonical of the first rows and columns. Cells are matched where they are read, without a join."""
-    top = computed(cells.where((F.col("row") <= max_scan) & (F.col("col") <= SCAN_COLS)).select(*SHEET, "row", "col", "value_str"), {"norm": norm_header_first_line(F.col("value_str"))})
+    top = computed(
+        cells.where((F.col("row") <= max_scan) & (F.col("col") <= SCAN_COLS)).select(*SHEET, "row", "col", "value_str"),
+        {"norm": norm_header_first_line(F.col("value_str"))},
+    )
     return top.select(*SHEET, "row", "col", match_header(F.col("norm")).alias("canonical")).where("canonical is not null")
 
 
@@ -43,9 +46,15 @@ def find_header_row(cells: DataFrame, max_scan: int = SCAN_ROWS) -> DataFrame:
     """
     has = lambda names: F.arrays_overlap("canonicals", F.lit(names))
     r = score_header_rows(cells, max_scan).where(F.col("score") >= LEAST)
-    r = r.withColumn("w", F.col("score") + 2 * has(REQUIRED).cast("int") + has(SUPPORTING).cast("int")).withColumn("top", F.max("w").over(W.partitionBy(*SHEET))).where("w = top")
+    r = r.withColumn(
+        "w",
+        F.col("score") + 2 * has(REQUIRED).cast("int") + has(SUPPORTING).cast("int"),
+    ).withColumn("top", F.max("w").over(W.partitionBy(*SHEET))).where("w = top")
     code, required = F.array_contains("canonicals", "doc_code"), has(REQUIRED)
-    best = r.groupBy(*SHEET).agg(F.coalesce(F.min(F.when(code, F.col("row"))), F.max(F.when(required, F.col("row"))), F.min("row")).alias("header_row"), F.collect_list(F.struct("row", "canonicals")).alias("rows"))
+    best = r.groupBy(*SHEET).agg(
+        F.coalesce(F.min(F.when(code, F.col("row"))), F.max(F.when(required, F.col("row"))), F.min("row")).alias("header_row"),
+        F.collect_list(F.struct("row", "canonicals")).alias("rows"),
+    )
     best = best.withColumn("canonicals", F.filter("rows", lambda x: x["row"] == F.col("header_row"))[0]["canonicals"])
     enough = has(REQUIRED) | (F.size(F.array_intersect("canonicals", F.lit(SUPPORTING))) >= 2)
     return best.where(enough).select(*SHEET, "header_row", "canonicals")

@@ -28,7 +28,13 @@ def wide_rows(cells: DataFrame, headers: DataFrame, column_map: DataFrame, max_r
     below = cells.join(heads, SHEET).where(where).where(F.col("col").between(1, 30))
     cell = F.struct("value_str", "value_num", "value_kind")
     rows = below.groupBy(*SHEET, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", cell))).alias("c"), F.first("cols").alias("cols"))
-    return rows.select(*SHEET, F.col("row").alias("row_num"), "c", "cols", *[F.try_element_at("c", F.try_element_at("cols", F.lit(n))).alias(n) for n in CANONICALS])
+    return rows.select(
+        *SHEET,
+        F.col("row").alias("row_num"),
+        "c",
+        "cols",
+        *[F.try_element_at("c", F.try_element_at("cols", F.lit(n))).alias(n) for n in CANONICALS],
+    )
 
 
 def text_at(k: int) -> Column:
@@ -38,7 +44,10 @@ def text_at(k: int) -> Column:
 def is_empty_row() -> Column:
     """No cell with more than blanks in columns 1 to 20 or a mapped one."""
     mapped = F.map_values("cols")
-    return ~F.exists(F.map_entries("c"), lambda e: ((e["key"] <= 20) | F.array_contains(mapped, e["key"])) & (norm_cell_text(e["value"]["value_str"]) != ""))
+    return ~F.exists(
+        F.map_entries("c"),
+        lambda e: ((e["key"] <= 20) | F.array_contains(mapped, e["key"])) & (norm_cell_text(e["value"]["value_str"]) != ""),
+    )
 
 
 def section_header() -> Column:
@@ -72,7 +81,10 @@ def detail_row() -> Column:
         key = strip(F.regexp_replace(text, ":+$", ""))
         known = F.struct(key.alias("key"), F.when(_truthy_cell(after), strip(after["value_str"])).alias("value"))
         loose = text.endswith(":") & (F.length(text) < 25) & (F.length(text) > 2) & nonempty(after["value_str"]).isNotNull()
-        out = F.when(text == "item:", F.lit(None)).when(text.isin(DETAIL_KEYS), known).when(loose, F.struct(key.alias("key"), strip(after["value_str"]).alias("value"))).otherwise(out)
+        out = F.when(text == "item:", F.lit(None)).when(text.isin(DETAIL_KEYS), known).when(
+            loose,
+            F.struct(key.alias("key"), strip(after["value_str"]).alias("value")),
+        ).otherwise(out)
     return out
 
 
@@ -110,7 +122,10 @@ def detect_layout(rows: DataFrame, headers: DataFrame, sample_rows: int = 50) ->
 def classified(rows: DataFrame) -> DataFrame:
     """Rows with their kind: empty, section, skip, item, detail or other."""
     rows = computed(rows, {"section_name": section_header(), "detail": detail_row(), "item": item_key(), "item9": item_key(9, 1)})
-    kind = F.when(is_empty_row(), "empty").when(F.col("section_name").isNotNull(), "section").when(is_skip_row(), "skip").when(is_item_row(), "item").when(F.col("detail").isNotNull(), "detail").otherwise("other")
+    kind = F.when(is_empty_row(), "empty").when(
+        F.col("section_name").isNotNull(),
+        "section",
+    ).when(is_skip_row(), "skip").when(is_item_row(), "item").when(F.col("detail").isNotNull(), "detail").otherwise("other")
     return computed(rows, {"kind": kind})
 
 
@@ -128,15 +143,33 @@ def single_rows(rows: DataFrame) -> DataFrame:
     code = F.coalesce(F.try_element_at("cols", F.lit("doc_code")), F.lit(1))
     there = _truthy_cell(F.try_element_at("c", code)) | _truthy_cell(F.col("item_location"))
     kept = rows.where(~F.col("kind").isin("empty", "section", "skip")).where(there)
-    return kept.select(*SHEET, "row_num", "section", F.lit(None).cast("string").alias("item_name"), F.array().cast(_DETAILS).alias("detail_rows"), *CANONICALS)
+    return kept.select(
+        *SHEET,
+        "row_num",
+        "section",
+        F.lit(None).cast("string").alias("item_name"),
+        F.array().cast(_DETAILS).alias("detail_rows"),
+        *CANONICALS,
+    )
 
 
 def grouped_rows(rows: DataFrame) -> DataFrame:
     """Product rows where an item row gathers the detail rows below it; a section ends it."""
     rows = rows.where(F.col("kind").isin("section", "item", "detail"))
     rows = rows.withColumn("grp", F.sum(F.col("kind").isin("section", "item").cast("int")).over(_order()))
-    details = F.sort_array(F.collect_list(F.when(F.col("kind") == "detail", F.struct("row_num", F.col("detail.key").alias("key"), F.col("detail.value").alias("value")))))
-    head = F.min_by(F.struct("kind", "row_num", "section", F.coalesce("item.value", F.when(F.col("item").isNull(), F.col("item9.value"))).alias("item_name"), *CANONICALS), "row_num")
+    details = F.sort_array(
+        F.collect_list(F.when(F.col("kind") == "detail", F.struct("row_num", F.col("detail.key").alias("key"), F.col("detail.value").alias("value")))),
+    )
+    head = F.min_by(
+        F.struct(
+            "kind",
+            "row_num",
+            "section",
+            F.coalesce("item.value", F.when(F.col("item").isNull(), F.col("item9.value"))).alias("item_name"),
+            *CANONICALS,
+        ),
+        "row_num",
+    )
     groups = rows.groupBy(*SHEET, "grp").agg(head.alias("h"), details.cast(_DETAILS).alias("detail_rows")).where("h.kind = 'item'")
     return groups.select(*SHEET, "h.row_num", "h.section", "h.item_name", "detail_rows", *[f"h.{n}" for n in CANONICALS])
 

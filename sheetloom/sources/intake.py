@@ -41,7 +41,9 @@ def triage_files(files: DataFrame) -> DataFrame:
         .when(F.substring("content", 1, 4) != F.lit(b"PK\x03\x04"), said("Invalid file", F.lit("The file is not a zip archive")))
     )
     f = f.withColumn("c", checks)
-    return f.withColumns({"status": F.when(F.col("c").isNull(), "ok").otherwise("error"), "error": F.col("c.error"), "detail": F.col("c.detail")}).drop("c")
+    return f.withColumns(
+        {"status": F.when(F.col("c").isNull(), "ok").otherwise("error"), "error": F.col("c.error"), "detail": F.col("c.detail")},
+    ).drop("c")
 
 
 _RECORDS = "record_type string, workbook_id string, filename string, sheet_idx int, sheet_name string, is_active boolean, row int, col int, max_row int, max_col int, value_str string, value_num double, value_kind string, error string, detail string"
@@ -109,7 +111,9 @@ def decode_xlsx(workbook_id: str, filename: str, content: bytes) -> Iterator[dic
     z = zipfile.ZipFile(io.BytesIO(content))
     book = ElementTree.fromstring(z.read("xl/workbook.xml"))
     links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+    shared = [
+        "".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
+    ] if "xl/sharedStrings.xml" in z.namelist() else []
     dates, about = _date_styles(z), book.find(f"{_MAIN}workbookPr")
     since_1904 = about is not None and about.get("date1904") in ("1", "true")
     view = book.find(f"{_MAIN}bookViews/{_MAIN}workbookView")
@@ -125,7 +129,9 @@ def decode_xlsx(workbook_id: str, filename: str, content: bytes) -> Iterator[dic
         for c in root.iter(f"{_MAIN}c"):
             if value := _cell_value(c, shared, dates, since_1904):
                 row, col = _place(c.get("r"))
-                yield base | {"record_type": "cell", "sheet_idx": k, "row": row, "col": col} | dict(zip(("value_str", "value_num", "value_kind"), value, strict=True))
+                yield base | {"record_type": "cell", "sheet_idx": k, "row": row, "col": col} | dict(
+                    zip(("value_str", "value_num", "value_kind"), value, strict=True),
+                )
 
 
 def read_workbooks(files: DataFrame) -> DataFrame:
@@ -142,7 +148,15 @@ def read_workbooks(files: DataFrame) -> DataFrame:
                 try:
                     records = list(decode_xlsx(wid, name, row["content"]))
                 except Exception as e:  # noqa: BLE001  any broken file is a row of errors, not a lost job
-                    records = [{"record_type": "error", "workbook_id": wid, "filename": name, "error": "Failed to read workbook", "detail": f"{type(e).__name__}: {e}"[:500]}]
+                    records = [
+                        {
+                            "record_type": "error",
+                            "workbook_id": wid,
+                            "filename": name,
+                            "error": "Failed to read workbook",
+                            "detail": f"{type(e).__name__}: {e}"[:500],
+                        },
+                    ]
                 for at in range(0, len(records), RECORDS_AT_ONCE):
                     yield pa.RecordBatch.from_pylist(records[at : at + RECORDS_AT_ONCE], schema=_ARROW)
 
@@ -163,7 +177,11 @@ def split_records(records: DataFrame) -> dict[str, DataFrame]:
 def nested_products(products: DataFrame, names: DataFrame) -> DataFrame:
     """workbook_id, schedule_name, products: one row for each workbook, its products in order."""
     made = products.groupBy("workbook_id").agg(F.sort_array(F.collect_list(F.struct("seq", *FIELDS))).alias("products"))
-    return names.join(made, "workbook_id", "left").select("workbook_id", "schedule_name", F.coalesce(F.transform("products", lambda p: p.dropFields("seq")), F.array()).alias("products"))
+    return names.join(made, "workbook_id", "left").select(
+        "workbook_id",
+        "schedule_name",
+        F.coalesce(F.transform("products", lambda p: p.dropFields("seq")), F.array()).alias("products"),
+    )
 
 
 def write_products(products: DataFrame, path: str, names: DataFrame | None = None) -> None:
@@ -189,7 +207,14 @@ TRUTH = f"schedule_name string, layout_family string, seed int, mutations array<
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """One row for each true product, with its file's name as workbook_id, and its order as seq."""
     t = spark.read.schema(TRUTH).json(path, multiLine=True).withColumn("workbook_id", F.input_file_name())
-    return t.select("workbook_id", "schedule_name", "layout_family", "mutations", "notes", F.posexplode_outer("products").alias("seq", "p")).select("*", "p.*").drop("p")
+    return t.select(
+        "workbook_id",
+        "schedule_name",
+        "layout_family",
+        "mutations",
+        "notes",
+        F.posexplode_outer("products").alias("seq", "p"),
+    ).select("*", "p.*").drop("p")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
