@@ -171,7 +171,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     held out. An empty table gives no rows.
     """
     found = settle(features(docs))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "quality",
+    ).where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     known = settle(known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")))
     share = known.agg(F.avg("quality").alias("prior"), F.sum("quality").alias("n"), F.count("*").alias("rows")).first()
     prior = 1.0 if share["prior"] is None else min(1 - 1e-3, max(1e-3, share["prior"]))

@@ -43,7 +43,10 @@ def items_table(benchmark: DataFrame) -> DataFrame:
         return [batch.column(0), [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], grams]
 
     plain = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    return plain.mapInArrow(each_chunk(schema, make, lower=True), "item_id long, words array<long>, grams array<long>").where("size(words) > 0").dropDuplicates(["item_id", "words"])
+    return plain.mapInArrow(
+        each_chunk(schema, make, lower=True),
+        "item_id long, words array<long>, grams array<long>",
+    ).where("size(words) > 0").dropDuplicates(["item_id", "words"])
 
 
 class Index:

@@ -33,7 +33,9 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'
 _STRAY = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
 #: What stands between `<` and the mark at the end of a comment and the like.
 _SPANS = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">"))
-_RAW = frozenset("script style title textarea template noscript iframe object svg select datalist canvas audio video annotation annotation-xml".split())
+_RAW = frozenset(
+    "script style title textarea template noscript iframe object svg select datalist canvas audio video annotation annotation-xml".split(),
+)
 #: Without an end tag these run to the end of the page.
 _RUNS_ON = frozenset("script style title textarea template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +50,9 @@ _NAMES = frozenset(
 )
 _COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
 _BEFORE = frozenset("site page main global top bottom left right primary secondary user reader post article".split())
-_AFTER = frozenset("bar box block area section container wrapper wrap inner outer list item items link links slot unit top bottom left right main primary secondary post posts form thread feed".split())
+_AFTER = frozenset(
+    "bar box block area section container wrapper wrap inner outer list item items link links slot unit top bottom left right main primary secondary post posts form thread feed".split(),
+)
 _HEADS = frozenset(("header", "footer"))
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
@@ -252,6 +256,13 @@ def main_text(pages: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 texts = [extract(h or "") for h in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    schema=schema,
+                )
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.col("html").cast("string").alias("html"),
+    ).mapInArrow(run, "page_id long, url string, text string, n_chars long")

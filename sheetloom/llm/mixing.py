@@ -51,7 +51,9 @@ def plan(sizes: DataFrame) -> DataFrame:
     order = W.orderBy(F.col("cap") / F.col("weight"), "sid")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     goal = SHARE * F.sum("source_size").over(one)
-    level = (goal - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(one) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    level = (goal - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
+        F.sum("weight").over(one) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    )
     s = s.withColumn("level", level).withColumn("rank", F.row_number().over(order))
     open_ = F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.struct("rank", "level"))).over(one)["level"]
     s = s.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * open_), F.col("cap")))
@@ -60,7 +62,17 @@ def plan(sizes: DataFrame) -> DataFrame:
     s = s.withColumn("quota", F.when(F.col("blocks") > 0, F.rint(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).otherwise(0))
     upto = F.sum("quota").over(W.orderBy("sid"))
     slots = F.sum("quota").over(one)
-    return s.select("sid", "source", "source_size", "target", "blocks", "quota", slots.alias("slots"), F.try_divide(upto - F.col("quota"), slots).alias("lo"), F.try_divide(upto, slots).alias("hi"))
+    return s.select(
+        "sid",
+        "source",
+        "source_size",
+        "target",
+        "blocks",
+        "quota",
+        slots.alias("slots"),
+        F.try_divide(upto - F.col("quota"), slots).alias("lo"),
+        F.try_divide(upto, slots).alias("hi"),
+    )
 
 
 def schedule(sources: DataFrame) -> DataFrame:
@@ -73,11 +85,18 @@ def schedule(sources: DataFrame) -> DataFrame:
     slots = sources.agg(F.max("slots").alias("n")).first()["n"] or 0
     points = spark.range(slots).withColumnRenamed("id", "slot")
     points = points.withColumn("u", F.pmod((F.col("slot") + 0.5) * F.lit(PHI), F.lit(1.0))).withColumn("cell", F.floor(F.col("u") * CELLS))
-    parts = sources.where("quota > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
+    parts = sources.where("quota > 0").withColumn(
+        "cell",
+        F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))),
+    )
     at = points.join(settle(parts.select("cell", "sid", "lo", "hi", "blocks", "quota")), "cell").where("u >= lo and u < hi")
     at = at.withColumn("run", F.expr(f"slot div {RUN}"))
     counts = at.groupBy("sid", "run").agg(F.count("*").alias("n"))
-    counts = counts.select("sid", "run", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
+    counts = counts.select(
+        "sid",
+        "run",
+        F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n0"),
+    )
     at = at.withColumn("rank", F.row_number().over(W.partitionBy("sid", "run").orderBy("slot")) - 1).join(counts, ["sid", "run"])
     at = at.withColumn("rank", F.col("rank") + F.col("n0")).where("rank < quota").select("slot", "sid", "rank", "blocks")
     given = at.groupBy("sid").agg(F.count("*").alias("n"))
@@ -95,12 +114,23 @@ def pieces(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where("size > 0").withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     sums = docs.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
+    sums = sums.select(
+        "sid",
+        "bucket",
+        F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n0"),
+    )
     inner = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1))
     docs = docs.withColumn("inner", F.coalesce(inner, F.lit(0))).join(sums, ["sid", "bucket"])
     docs = docs.withColumn("begin", F.col("n0") + F.col("inner")).withColumn("end", F.expr("begin + size"))
     docs = docs.withColumn("block", F.explode(F.expr("sequence(((begin + 1) * blocks - 1) div source_size, (end * blocks - 1) div source_size)")))
-    return docs.select("sid", "block", "doc_id", "size", "begin", F.expr("least(end, (block + 1) * source_size div blocks) - greatest(begin, block * source_size div blocks)").alias("words"))
+    return docs.select(
+        "sid",
+        "block",
+        "doc_id",
+        "size",
+        "begin",
+        F.expr("least(end, (block + 1) * source_size div blocks) - greatest(begin, block * source_size div blocks)").alias("words"),
+    )
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -115,6 +145,10 @@ def mix(docs: DataFrame) -> DataFrame:
     sources = settle(plan(found.groupBy("source").agg(F.sum("size").alias("source_size"))))
     found = found.join(sources.select(F.col("source").alias("s"), "sid", "source_size", "blocks"), F.col("source").eqNullSafe(F.col("s")))
     times = schedule(sources).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = pieces(found).join(times, ["sid", "block"], "left").groupBy("sid", "begin", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    out = taken.select("doc_id", "size", "sid", "taken").unionByName(found.where("size = 0").select("doc_id", "size", "sid", F.lit(0).cast("long").alias("taken")))
+    taken = pieces(found).join(times, ["sid", "block"], "left").groupBy("sid", "begin", "doc_id", "size").agg(
+        F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"),
+    )
+    out = taken.select("doc_id", "size", "sid", "taken").unionByName(
+        found.where("size = 0").select("doc_id", "size", "sid", F.lit(0).cast("long").alias("taken")),
+    )
     return out.join(sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")

@@ -51,7 +51,10 @@ def shingle_sets(words: Words) -> Iterator[np.ndarray]:
     starts = np.arange(len(words.start))
     of = np.repeat(np.arange(words.texts), n)
     starts = starts[starts <= first[of + 1] - length[of]] if len(starts) else starts
-    h = words.windows(starts, length[np.repeat(np.arange(words.texts), np.where(n > 0, n - length + 1, 0))]) if len(starts) else np.zeros(0, np.uint64)
+    h = words.windows(
+        starts,
+        length[np.repeat(np.arange(words.texts), np.where(n > 0, n - length + 1, 0))],
+    ) if len(starts) else np.zeros(0, np.uint64)
     h = (h >> np.uint64(1)).view(np.int64)
     ends = np.cumsum(np.where(n > 0, n - length + 1, 0))
     at = 0
@@ -115,7 +118,10 @@ def rare_lists(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose sketches can reach the limit and whose full sets do."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left, right = sets.select(
+        F.col("doc_id").alias("a"),
+        F.col("shingles").alias("x"),
+    ), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     x, y = F.slice("x", 1, K), F.slice("y", 1, K)
     union = F.slice(F.array_sort(F.array_union(x, y)), 1, K)
     enough = F.least(need(F.size("x")), need(F.size("y")))
@@ -158,7 +164,9 @@ def joining(members: pd.DataFrame, first: int, second: int) -> pd.DataFrame:
     n1, n2 = n[:first, None], n[None, second:]
     least = np.where(n <= SURE, -(-n * PART // WHOLE), LEAST)
     codes = np.unique(comp, return_inverse=True)[1]
-    good = (common >= np.maximum(least[:first, None], least[None, second:])) & (np.minimum(n1, n2) * WHOLE >= PART * np.maximum(n1, n2)) & (codes[:first, None] != codes[None, second:])
+    good = (
+        common >= np.maximum(least[:first, None], least[None, second:])
+    ) & (np.minimum(n1, n2) * WHOLE >= PART * np.maximum(n1, n2)) & (codes[:first, None] != codes[None, second:])
     if not second:
         good = np.triu(good, 1)
     i, j = np.nonzero(good)
@@ -198,7 +206,10 @@ def within_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
     of a list.
     """
     sizes = members.groupBy("value").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    m = members.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = members.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn(
+        "other",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
+    )
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
@@ -211,7 +222,15 @@ def within_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
         first = int((pdf["own"] == pdf["own"].iloc[0]).sum())
         return joining(pdf, first, first) if first < len(pdf) else none
 
-    return m.join(sets, "doc_id").select("value", "i", "j", "own", "doc_id", "comp", "shingles").groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return m.join(sets, "doc_id").select(
+        "value",
+        "i",
+        "j",
+        "own",
+        "doc_id",
+        "comp",
+        "shingles",
+    ).groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,20 +246,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = found.where("fp is not null and doc_id is not null")
     # equal sets: linked to the smallest id, which stands for all
     classes = settle(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
-    of_class = settle(known.select("doc_id", "node", "fp", "n_shingles").join(classes, "fp", "left").select("doc_id", "node", F.col("n_shingles").alias("n"), F.coalesce("rep", "doc_id").alias("rep")))
+    of_class = settle(
+        known.select("doc_id", "node", "fp", "n_shingles").join(classes, "fp", "left").select(
+            "doc_id",
+            "node",
+            F.col("n_shingles").alias("n"),
+            F.coalesce("rep", "doc_id").alias("rep"),
+        ),
+    )
     same = of_class.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     heads = of_class.where("doc_id = rep").select("node", "doc_id", "n").distinct()
     lists = settle(rare_lists(known, heads))
-    hubs = settle(lists.groupBy("value").agg(F.min(F.struct("own", "doc_id", "n")).alias("hub"), F.count("*").alias("n_members")).where("n_members > 1"))
+    hubs = settle(
+        lists.groupBy("value").agg(F.min(F.struct("own", "doc_id", "n")).alias("hub"), F.count("*").alias("n_members")).where("n_members > 1"),
+    )
     lists = settle(lists.join(hubs, "value"))
     ids = settle(lists.select("doc_id").distinct())
-    sets = settle(full_sets(docs.join(ids.select(F.col("doc_id").alias("listed")), docs["doc_id"].cast("long") == F.col("listed"), "left_semi")).distinct())
-    stars = lists.where((F.col("doc_id") != F.col("hub.doc_id")) & fit(F.col("n"), F.col("hub.n"))).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    sets = settle(
+        full_sets(docs.join(ids.select(F.col("doc_id").alias("listed")), docs["doc_id"].cast("long") == F.col("listed"), "left_semi")).distinct(),
+    )
+    stars = lists.where(
+        (F.col("doc_id") != F.col("hub.doc_id")) & fit(F.col("n"), F.col("hub.n")),
+    ).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
     stars = settle(stars.distinct())
     links = settle(confirmed(stars, sets))
     comp = components(links)
     # lists whose members, but for the hub that all were compared with, are not yet all in one component
-    at = lists.where(F.col("doc_id") != F.col("hub.doc_id")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    at = lists.where(F.col("doc_id") != F.col("hub.doc_id")).join(
+        comp.withColumnRenamed("node", "doc_id"),
+        "doc_id",
+        "left",
+    ).withColumn("comp", F.coalesce("component", "doc_id"))
     at = settle(at.select("value", "doc_id", "n", "comp"))
     # and only one of those that have the same members
     members_hash = F.struct(F.count("*"), F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64("doc_id", F.lit(1))))

@@ -88,8 +88,15 @@ _METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def metrics(docs: DataFrame) -> DataFrame:
     """doc_id, stratum and the metrics of every row; a null text has no words."""
     schema = pa.schema([("doc_id", pa.int64()), ("stratum", pa.string()), *((m, pa.int64()) for m in _METRICS)])
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text"))
-    out = plain.mapInArrow(each_text(schema, measure, keep=("doc_id", "stratum")), "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in _METRICS))
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
+        F.col("text").cast("string").alias("text"),
+    )
+    out = plain.mapInArrow(
+        each_text(schema, measure, keep=("doc_id", "stratum")),
+        "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in _METRICS),
+    )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

@@ -49,7 +49,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_mixing, op4_near_duplicates, op5_secrets, op6_substring_dedup, op7_quality_classifier, op8_html_text, op9_decontamination, op10_sharding)}
+    return {
+        f.__name__: f for f in (
+            op1_pii,
+            op2_quality_rules,
+            op3_mixing,
+            op4_near_duplicates,
+            op5_secrets,
+            op6_substring_dedup,
+            op7_quality_classifier,
+            op8_html_text,
+            op9_decontamination,
+            op10_sharding,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

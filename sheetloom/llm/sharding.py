@@ -62,7 +62,9 @@ def range_of(bounds: list[tuple[int, int]]) -> Column:
     width = max(1, int(len(bounds) ** 0.5))
 
     def upto(h: Column, i: Column) -> Column:
-        return F.size(F.filter(F.arrays_zip(h.alias("h"), i.alias("id")), lambda b: (F.col("h") > b["h"]) | ((F.col("h") == b["h"]) & (F.col("id") >= b["id"]))))
+        return F.size(
+            F.filter(F.arrays_zip(h.alias("h"), i.alias("id")), lambda b: (F.col("h") > b["h"]) | ((F.col("h") == b["h"]) & (F.col("id") >= b["id"]))),
+        )
 
     heads = bounds[::width]
     coarse = upto(F.lit([b[0] for b in heads]), F.lit([b[1] for b in heads]))
@@ -107,7 +109,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total, rows = sums["bytes"] or 0, sums["rows"]
     full = max(1, 2 * rows // RANGES)
     share = total / shards
-    texts = settle(keyed.groupBy("h").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > share / LARGE) | (F.col("n") > full)))
+    texts = settle(
+        keyed.groupBy("h").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > share / LARGE) | (F.col("n") > full)),
+    )
     large = texts.where((F.col("b") > share / LARGE) & ((F.col("b") <= share) | (F.col("n") == 1))).select("h", "b").collect()  # at most LARGE rows for each shard
     to, left = dealt([(r["h"], r["b"]) for r in large], total, shards)
     owner = keyed.sparkSession.createDataFrame(list(to.items()), "h long, owner int")
@@ -119,13 +123,20 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = placed.join(F.broadcast(ranges), "range", "left")
     # a hot text is a part of its own, before the others of its range
     placed = placed.withColumn("part", F.when(F.col("subs").isNotNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("h"), F.col("parts"))))
-    placed = placed.withColumn("alone", F.when(F.col("subs").isNotNull(), F.col("h"))).withColumn("sub", F.when(F.col("subs").isNotNull(), F.pmod(F.xxhash64("id", F.lit("sub")), F.col("subs"))).otherwise(0))
+    placed = placed.withColumn("alone", F.when(F.col("subs").isNotNull(), F.col("h"))).withColumn(
+        "sub",
+        F.when(F.col("subs").isNotNull(), F.pmod(F.xxhash64("id", F.lit("sub")), F.col("subs"))).otherwise(0),
+    )
     placed = placed.drop("parts", "subs")
     cell = ["owner", "range", "part", "alone", "sub"]
     before = W.orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)
     cells = placed.groupBy(*cell).agg(F.sum("size").alias("b"), F.count("*").alias("n"))  # at most a few times RANGES + LARGE * shards
     others = F.when(F.col("owner") == shards, F.col("b")).otherwise(0)
-    cells = cells.select(*cell, F.coalesce(F.sum(others).over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    cells = cells.select(
+        *cell,
+        F.coalesce(F.sum(others).over(before), F.lit(0)).alias("b0"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+    )
     cells = cells.select(*[F.col(c).alias(f"cell_{c}") for c in cell], "b0", "n0")
     line = W.partitionBy(*cell).orderBy("h", "id", "text_crc32", "size")
     inner, text = line.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*cell, "h")
@@ -143,6 +154,18 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = placed.withColumn("shard", F.when(F.col("owner") < shards, F.col("owner")).otherwise(at).cast("int"))
     placed = settle(placed.select("doc_id", "size", "text_crc32", "shard", "rank", (F.col("owner") < shards).alias("large")))
     # large groups come first in a shard, then its stretch of the line
-    first = placed.groupBy("shard").agg(F.min(F.when(F.col("large"), F.col("rank"))).alias("first_large"), F.min(F.when(~F.col("large"), F.col("rank"))).alias("first"), F.count_if("large").alias("n_large"))
+    first = placed.groupBy("shard").agg(
+        F.min(F.when(F.col("large"), F.col("rank"))).alias("first_large"),
+        F.min(F.when(~F.col("large"), F.col("rank"))).alias("first"),
+        F.count_if("large").alias("n_large"),
+    )
     slot = F.when(F.col("large"), F.col("rank") - F.col("first_large")).otherwise(F.col("rank") - F.col("first") + F.col("n_large"))
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.join(F.broadcast(first), "shard").select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        slot.cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -46,7 +46,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     same = F.xxhash64("text")
-    return plain.select(same.bitwiseAND(F.lit((1 << REF_BITS) - 1)).alias("ref"), same.alias("same"), F.xxhash64(F.lit("again"), "text").alias("same2"), "doc_id", "text")
+    return plain.select(
+        same.bitwiseAND(F.lit((1 << REF_BITS) - 1)).alias("ref"),
+        same.alias("same"),
+        F.xxhash64(F.lit("again"), "text").alias("same2"),
+        "doc_id",
+        "text",
+    )
 
 
 def _places(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -181,8 +187,18 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     near = plain.join(hot.groupBy("ref").agg(F.collect_list("h").alias("hot")), "ref").select("ref", "same", "same2", "doc_id", "text", "hot")
     spots = repeated(hash_rows(near, lambda words, batch: near_windows(words, batch.column(5))))
     copies = plain.groupBy("ref", "same", "same2").agg(F.count("*").alias("n")).where("n > 1")
-    told = spots.select("ref", "h", F.lit(None).cast("struct<same:bigint,same2:bigint>").alias("copy")).unionByName(copies.select("ref", F.lit(None).cast("long").alias("h"), F.struct("same", "same2").alias("copy")))
+    told = spots.select("ref", "h", F.lit(None).cast("struct<same:bigint,same2:bigint>").alias("copy")).unionByName(
+        copies.select("ref", F.lit(None).cast("long").alias("h"), F.struct("same", "same2").alias("copy")),
+    )
     told = told.groupBy("ref").agg(F.collect_list("h").alias("spots"), F.collect_set("copy").alias("copies"))
-    final = plain.join(told, "ref", "left").select("ref", "same", "same2", "doc_id", "text", "spots", F.coalesce(F.array_contains("copies", F.struct("same", "same2")), F.lit(False)).alias("copied"))
+    final = plain.join(told, "ref", "left").select(
+        "ref",
+        "same",
+        "same2",
+        "doc_id",
+        "text",
+        "spots",
+        F.coalesce(F.array_contains("copies", F.struct("same", "same2")), F.lit(False)).alias("copied"),
+    )
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (last, pa.string())])
     return final.mapInArrow(_keep(schema, texts), f"doc_id long, n_words long, n_removed long, {last} string")

@@ -130,7 +130,10 @@ def each_chunk(schema: pa.Schema, make: Callable, text: str = "text", lower: boo
         for batch in batches:
             for at, end, data, offsets in chunks(batch.column(batch.schema.get_field_index(text))):
                 columns = make(batch.slice(at, end - at), Words(data, offsets, lower))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema, strict=True)],
+                    schema=schema,
+                )
 
     return run
 
