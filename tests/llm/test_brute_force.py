@@ -25,12 +25,23 @@ def split(text):
 def test_rule_metrics_match_brute_force():
     r = random.Random(1)
     for k in range(400):
-        text = "".join(r.choice(["a", "b", "é", "A", "#", "|", "!", " ", " ", "\n", "\t", " ", "aa ", "x\n"]) for _ in range(r.randint(0, 90 if k else 20000)))
+        text = "".join(
+            r.choice(["a", "b", "é", "A", "#", "|", "!", " ", " ", "\n", "\t", " ", "aa ", "x\n"]) for _ in range(r.randint(0, 90 if k else 20000))
+        )
         words = split(text)
         lines = [x for x in text.split("\n") if split(x)]
         windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
         repeated = {i + j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(3)}
-        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated), len(lines), sum(c.isascii() and c.isupper() for c in text), text.count("!"))
+        want = (
+            len(words),
+            sum(map(len, words)),
+            sum(c in "#*$%&|<>" for c in text),
+            len(lines) - len(set(lines)),
+            len(repeated),
+            len(lines),
+            sum(c.isascii() and c.isupper() for c in text),
+            text.count("!"),
+        )
         if not words:
             want = (0,) * 8
         assert quality_rules.measure(text) == want, text
@@ -59,7 +70,12 @@ def test_certificates_need_enough_labels():
 def test_rules_reject_what_no_good_document_looks_like(spark):
     r = random.Random(4)
     good = [(k, " ".join(f"w{r.randrange(9999)}" for _ in range(80)), "en" if k % 2 else None) for k in range(240)]
-    junk = [(1000, " ".join(f"w{k}#|*" for k in range(80)), "en"), (1001, " ".join(f"w{k}#|*" for k in range(80)), "xx"), (1002, None, "en"), (1003, "", None)]
+    junk = [
+        (1000, " ".join(f"w{k}#|*" for k in range(80)), "en"),
+        (1001, " ".join(f"w{k}#|*" for k in range(80)), "xx"),
+        (1002, None, "en"),
+        (1003, "", None),
+    ]
     docs = spark.createDataFrame([(*g, 1, 2, 3) for g in good + junk], "doc_id long, text string, lang string, step int, stratum int, n int")
     labels = spark.createDataFrame([(k, 1) for k in range(240)] + [(0, None), (None, 1), (0, 1)], "doc_id long, quality int")
     got = {x["doc_id"]: x for x in quality_rules.judge(docs, labels).collect()}
@@ -160,7 +176,11 @@ def test_large_group_of_edited_copies_beside_common_passages(spark):
     sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
     top = list(range(len(texts)))
     while True:
-        new = [min([top[j] for j in range(len(texts)) if j == i or sets[i] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]) for i in range(len(texts))]
+        new = [
+            min(
+                [top[j] for j in range(len(texts)) if j == i or sets[i] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])],
+            ) for i in range(len(texts))
+        ]
         if new == top:
             break
         top = new
@@ -176,7 +196,26 @@ def test_secret_base_matches_the_patterns():
     r = random.Random(6)
     patterns = [r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r"AKIA[A-Z0-9]+", r"[0-9a-f]+"]
     fits = [lambda m: len(m[1]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24]
-    pieces = ["password", "Token", "api_key", "APIKEY", "secret", ":", "=", " ", '"', "'", "abc123", "AKIA", "ABCDEFGHIJ", "0123456789ab", "x-y.z", "é", "ſecret", "\n"]
+    pieces = [
+        "password",
+        "Token",
+        "api_key",
+        "APIKEY",
+        "secret",
+        ":",
+        "=",
+        " ",
+        '"',
+        "'",
+        "abc123",
+        "AKIA",
+        "ABCDEFGHIJ",
+        "0123456789ab",
+        "x-y.z",
+        "é",
+        "ſecret",
+        "\n",
+    ]
     for _ in range(4000):
         t = "".join(r.choice(pieces) for _ in range(r.randint(0, 25)))
         want = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, t, re.ASCII) if fits[k](m))
@@ -283,7 +322,13 @@ def test_broken_markup_takes_linear_time():
 
 
 def test_pages_of_every_kind(spark):
-    rows = [(1, "u", None, 1), (2, None, "", 1), (3, "u", f"<article>{P}", 1), (3, "u", f"<article>{P}", 1), (None, "u", "<p>" + "long " * 200_000, 1)]
+    rows = [
+        (1, "u", None, 1),
+        (2, None, "", 1),
+        (3, "u", f"<article>{P}", 1),
+        (3, "u", f"<article>{P}", 1),
+        (None, "u", "<p>" + "long " * 200_000, 1),
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     got = html_text.main_text(pages).collect()
     assert Counter((x["page_id"], x["n_chars"]) for x in got) == Counter({(1, 0): 1, (2, 0): 1, (3, len(WORDS)): 2, (None, 999_999): 1})
@@ -320,8 +365,18 @@ def test_decontamination_matches_full_alignment(spark):
                     break
             t[len(t) // 2 : len(t) // 2] = part
         docs.append(t)
-    d = spark.createDataFrame([(k, " ".join(t).upper(), 1, 2, 3) for k, t in enumerate(docs)] + [(0, " ".join(docs[0]), 1, 2, 3), (None, " ".join(items[3]), 1, 2, 3), (999, None, 1, 2, 3)], "doc_id long, text string, words int, grams int, item_id int")
-    b = spark.createDataFrame([(k, " ".join(t), 1) for k, t in enumerate(items)] + [(0, " ".join(items[0]), 1), (77, None, 1), (78, "", 1)], "item_id long, text string, doc_id int")
+    d = spark.createDataFrame(
+        [(k, " ".join(t).upper(), 1, 2, 3) for k, t in enumerate(docs)] + [
+            (0, " ".join(docs[0]), 1, 2, 3),
+            (None, " ".join(items[3]), 1, 2, 3),
+            (999, None, 1, 2, 3),
+        ],
+        "doc_id long, text string, words int, grams int, item_id int",
+    )
+    b = spark.createDataFrame(
+        [(k, " ".join(t), 1) for k, t in enumerate(items)] + [(0, " ".join(items[0]), 1), (77, None, 1), (78, "", 1)],
+        "item_id long, text string, doc_id int",
+    )
     got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.contaminated(d, b).collect()}
     for i, t in enumerate(docs):
         grams = {tuple(t[k : k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1)}
@@ -366,7 +421,12 @@ def test_shards_are_even_and_keep_groups(spark):
 
 
 def test_hot_text_spreads_over_shards(spark):
-    rows = [(k, "hot text") for k in range(3000)] + [(k, f"other {k}") for k in range(3000)] + [(1, None), (2, ""), (None, "hot text"), (5, "y" * 150_000)]
+    rows = [(k, "hot text") for k in range(3000)] + [(k, f"other {k}") for k in range(3000)] + [
+        (1, None),
+        (2, ""),
+        (None, "hot text"),
+        (5, "y" * 150_000),
+    ]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     load = check_shards(rows, got)
     most = max(load.values())
@@ -379,7 +439,9 @@ def test_substring_dedup_of_very_long_and_hot_texts(spark):
     r = random.Random(13)
     word = lambda: f"w{r.randrange(10**6)}"
     hot = [word() for _ in range(80)]
-    texts = [[word() for _ in range(60)] + hot[:40] + [word() for _ in range(30)] for _ in range(60)] + [hot] * 50 + [[word() for _ in range(60_000)] + hot] + [["same"] * 200, ["same"] * 34, ["same"] * 35]
+    texts = [
+        [word() for _ in range(60)] + hot[:40] + [word() for _ in range(30)] for _ in range(60)
+    ] + [hot] * 50 + [[word() for _ in range(60_000)] + hot] + [["same"] * 200, ["same"] * 34, ["same"] * 35]
     count = Counter(tuple(t[k : k + 35]) for t in texts for k in range(len(t) - 34))
     want = Counter()
     for d, t in enumerate(texts):

@@ -21,7 +21,21 @@ def rows():
     base, passage = text(120), text(60)
     edited = base.split()
     edited[3] = "changed"
-    out = [base, base, " ".join(edited), text(30) + " " + passage, passage + "\n" + text(40), text(90), "", None, "one", "a b c d", "A B C D", "Er " * 200, text(5000)]
+    out = [
+        base,
+        base,
+        " ".join(edited),
+        text(30) + " " + passage,
+        passage + "\n" + text(40),
+        text(90),
+        "",
+        None,
+        "one",
+        "a b c d",
+        "A B C D",
+        "Er " * 200,
+        text(5000),
+    ]
     return [(k, t, "en" if k % 2 else None, "s" if k % 3 else None) for k, t in enumerate(out)] + [(5, out[5], "en", "s")]
 
 
@@ -96,13 +110,25 @@ def test_texts_with_spans_replaced_or_repeats_removed(spark):
     assert pii.redact("mail a.b@c.org or +1 (603) 555-8791!") == "mail [email] or [phone]!"
     passage = " ".join(f"p{k}" for k in range(40))
     docs = spark.createDataFrame([(1, f"one {passage}"), (2, f"{passage} two"), (3, " kept\tas  it is ")], "doc_id long, text string")
-    assert {r["doc_id"]: r["kept_text"] for r in substring_dedup.remove_repeats(docs, texts=True).collect()} == {1: "one", 2: "two", 3: "kept as it is"}
+    assert {
+        r["doc_id"]: r["kept_text"] for r in substring_dedup.remove_repeats(docs, texts=True).collect()
+    } == {1: "one", 2: "two", 3: "kept as it is"}
 
 
 def test_pii_base_matches_the_patterns():
     r = random.Random(3)
-    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
-    checks = [lambda s: True, lambda s: all(int(p) <= 255 for p in s.split(".")), lambda s: 14 <= len(d := re.sub("[ -]", "", s)) <= 19 and pii.luhn(d), lambda s: 10 <= len(re.sub("[^0-9]", "", s)) <= 15]
+    patterns = [
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]",
+    ]
+    checks = [
+        lambda s: True,
+        lambda s: all(int(p) <= 255 for p in s.split(".")),
+        lambda s: 14 <= len(d := re.sub("[ -]", "", s)) <= 19 and pii.luhn(d),
+        lambda s: 10 <= len(re.sub("[^0-9]", "", s)) <= 15,
+    ]
     for _ in range(3000):
         t = "".join(r.choice("0123456789.0123.+@a-b ()é") for _ in range(r.randint(0, 60)))
         want = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, t) if checks[k](m[0]))
@@ -156,5 +182,15 @@ def test_decontamination_finds_edited_copies_beside_whole_ones(spark):
 
 def test_empty_tables(docs, labels):
     none = docs.where("1 = 0")
-    for made in (near_dup.near_duplicates(none), substring_dedup.remove_repeats(none), sharding.shard(none), mixing.mix(none), pii.find_pii(none), secrets.find_secrets(none), quality_rules.judge(none, labels), classifier.classify(none, labels), decontaminate.contaminated(none, none.select(F.col("doc_id").alias("item_id"), "text"))):
+    for made in (
+        near_dup.near_duplicates(none),
+        substring_dedup.remove_repeats(none),
+        sharding.shard(none),
+        mixing.mix(none),
+        pii.find_pii(none),
+        secrets.find_secrets(none),
+        quality_rules.judge(none, labels),
+        classifier.classify(none, labels),
+        decontaminate.contaminated(none, none.select(F.col("doc_id").alias("item_id"), "text")),
+    ):
         assert made.count() == 0

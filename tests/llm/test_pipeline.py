@@ -71,7 +71,13 @@ def plain_pipeline(docs, labels, items):
             values = {"symbols": symbols / n, "dup_lines": dup / lines, "repeats": repeat / n, "capitals": capitals / chars, "bangs": bangs / n}
             steps[k] = max(max(0, math.ceil(quality_rules.DOUBLING * math.log2(v / quality_rules.RULES[r][1]))) if v > quality_rules.RULES[r][1] else 0 for r, v in values.items())
     strata = {docs[k][2] for k in steps if docs[k][0] in good_ids}
-    cut = {s: quality_rules.certified(Counter(steps[k] for k in steps if docs[k][2] == s and docs[k][0] in good_ids), 0.05, 0.05 / len(strata)) for s in strata}
+    cut = {
+        s: quality_rules.certified(
+            Counter(steps[k] for k in steps if docs[k][2] == s and docs[k][0] in good_ids),
+            0.05,
+            0.05 / len(strata),
+        ) for s in strata
+    }
     kept = [docs[k] for k in steps if cut.get(docs[k][2]) is None or steps[k] <= cut[docs[k][2]]]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words((t or "").lower()) for _, t, _, _ in kept)]
     top = list(range(len(kept)))
