@@ -10,12 +10,20 @@ def _cells(spark, values, workbook="w", sheet=0):
 
 
 def _merges(spark, *areas):
-    return spark.createDataFrame([("w", 0, *a) for a in areas], "workbook_id string, sheet_idx int, min_row int, max_row int, min_col int, max_col int")
+    return spark.createDataFrame(
+        [("w", 0, *a) for a in areas],
+        "workbook_id string, sheet_idx int, min_row int, max_row int, min_col int, max_col int",
+    )
 
 
 def test_merged_range_takes_its_corner(spark):
     cells = _cells(spark, {(1, 1): "top", (2, 2): "hidden", (5, 1): "free", (6, 2): "gone"})
-    got = {(r["row"], r["col"]): r["value_str"] for r in grid.fill_merged(cells, _merges(spark, (1, 2, 1, 2), (6, 6, 1, 2))).where("value_str is not null").collect()}
+    got = {
+        (r["row"], r["col"]): r["value_str"] for r in grid.fill_merged(
+            cells,
+            _merges(spark, (1, 2, 1, 2), (6, 6, 1, 2)),
+        ).where("value_str is not null").collect()
+    }
     assert got == {(1, 1): "top", (1, 2): "top", (2, 1): "top", (2, 2): "top", (5, 1): "free"}
 
 

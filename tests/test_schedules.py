@@ -81,7 +81,9 @@ def parsed(spark):
 
 def test_products_of_a_plain_sheet(parsed):
     got = parsed["plain"]
-    assert [(p["doc_code"], p["product_name"], p["brand"], p["finish"], p["colour"], p["width"], p["height"], p["qty"], p["rrp"]) for p in got] == [("A-1", "Tap", "Maker A", "Brass", None, 600, 400, 2, 45.5), ("A-2", "Sink", "Maker B", None, "White", None, None, 3, 1200.5)]
+    assert [
+        (p["doc_code"], p["product_name"], p["brand"], p["finish"], p["colour"], p["width"], p["height"], p["qty"], p["rrp"]) for p in got
+    ] == [("A-1", "Tap", "Maker A", "Brass", None, 600, 400, 2, 45.5), ("A-2", "Sink", "Maker B", None, "White", None, None, 3, 1200.5)]
     assert [p["product_description"] for p in got] == ["KITCHEN | Room 1", "KITCHEN | Room 2"]
 
 
@@ -100,19 +102,29 @@ def test_merged_section_and_blank_codes(parsed):
 
 def test_grouped_rows_through_the_parse(parsed):
     got = parsed["grouped"]
-    assert [(p["product_name"], p["brand"], p["colour"], p["material"], p["width"], p["qty"]) for p in got] == [("Armchair", "Acme", "Sage", None, 600, 2), ("Table", None, None, "Oak", None, 1)]
+    assert [
+        (p["product_name"], p["brand"], p["colour"], p["material"], p["width"], p["qty"]) for p in got
+    ] == [("Armchair", "Acme", "Sage", None, 600, 2), ("Table", None, None, "Oak", None, 1)]
     assert got[1]["product_details"] == "WEIGHT: 12 kg" and got[1]["product_description"] == "LOUNGE"
 
 
 def test_detail_rows_win_over_columns(spark):
-    details = spark.sql("SELECT array(named_struct('row_num', 2, 'key', ' Colour ', 'value', 'Red'), named_struct('row_num', 3, 'key', 'color', 'value', 'Blue'), named_struct('row_num', 4, 'key', 'dims', 'value', ' '), named_struct('row_num', 5, 'key', 'Dim', 'value', '60 cm')) AS d")
-    got = details.select(kv.details_to_kv(F.col("d")).alias("k"), kv.details_to_kv(F.lit(None).cast("array<struct<row_num:int,key:string,value:string>>")).alias("n")).first()
+    details = spark.sql(
+        "SELECT array(named_struct('row_num', 2, 'key', ' Colour ', 'value', 'Red'), named_struct('row_num', 3, 'key', 'color', 'value', 'Blue'), named_struct('row_num', 4, 'key', 'dims', 'value', ' '), named_struct('row_num', 5, 'key', 'Dim', 'value', '60 cm')) AS d",
+    )
+    got = details.select(
+        kv.details_to_kv(F.col("d")).alias("k"),
+        kv.details_to_kv(F.lit(None).cast("array<struct<row_num:int,key:string,value:string>>")).alias("n"),
+    ).first()
     assert [tuple(x) for x in got["k"]] == [("COLOUR", "Red"), ("SIZE", "60 cm")]
     assert got["n"] == []
 
 
 def test_negative_numbers_are_told(spark):
-    p = spark.createDataFrame([(1, None, 2, 3, 4.0), (-1, 1, 1, 1, 1.0), (1, 1, 1, 1, -0.5), (None, None, None, None, None)], "width int, length int, height int, qty int, rrp double")
+    p = spark.createDataFrame(
+        [(1, None, 2, 3, 4.0), (-1, 1, 1, 1, 1.0), (1, 1, 1, 1, -0.5), (None, None, None, None, None)],
+        "width int, length int, height int, qty int, rrp double",
+    )
     assert products.negative_products(p).count() == 2
 
 
@@ -145,7 +157,10 @@ def test_header_golden_and_columns(spark):
 
 def test_header_words_match_in_order(spark):
     words = ["code", "width", "total amount", "casino", "zzz", "", "no"]
-    got = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").select("k", headers.match_header(F.col("w")).alias("m")).orderBy("k").collect()
+    got = spark.createDataFrame(
+        [(k, w) for k, w in enumerate(words)],
+        "k int, w string",
+    ).select("k", headers.match_header(F.col("w")).alias("m")).orderBy("k").collect()
     assert [r["m"] for r in got] == ["doc_code", "doc_code", "cost", "qty", None, None, "qty"]
 
 
@@ -153,12 +168,19 @@ def test_mapper_golden(spark):
     c = cells(spark, {2: ["Code", "Area", "Item\nImage", "Description", "Qty", "Cost per unit $", "Total Cost $", "RRP"]})
     h = spark.createDataFrame([("w", 0, 2)], "workbook_id string, sheet_idx int, header_row int")
     got = {r["canonical"]: r["col"] for r in columns.map_columns(c, h).collect()}
-    assert {k: got[k] for k in ("doc_code", "item_location", "image", "qty", "cost", "total_cost")} == {"doc_code": 1, "item_location": 2, "image": 3, "qty": 5, "cost": 6, "total_cost": 7}
+    assert {
+        k: got[k] for k in ("doc_code", "item_location", "image", "qty", "cost", "total_cost")
+    } == {"doc_code": 1, "item_location": 2, "image": 3, "qty": 5, "cost": 6, "total_cost": 7}
 
 
 def test_description_is_the_name_beside_a_room(spark):
     h = spark.createDataFrame([("w", k, 1) for k in range(3)], "workbook_id string, sheet_idx int, header_row int")
-    c = cells(spark, {1: ["Code", "Room", "Description", "Description"]}, {1: ["Code", "Description", "Qty"]}, {1: ["Room", "Product name", "Description"]})
+    c = cells(
+        spark,
+        {1: ["Code", "Room", "Description", "Description"]},
+        {1: ["Code", "Description", "Qty"]},
+        {1: ["Room", "Product name", "Description"]},
+    )
     got = {(r["sheet_idx"], r["canonical"]): r["col"] for r in columns.map_columns(c, h).collect()}
     assert got[(0, "product_name")] == 4
     assert (1, "product_name") not in got and got[(1, "item_location")] == 2
@@ -166,7 +188,10 @@ def test_description_is_the_name_beside_a_room(spark):
 
 
 def test_sheets_without_use_are_left_out(spark):
-    m = spark.createDataFrame([("w", 0, "doc_code", 1), ("w", 0, "qty", 2), ("w", 1, "doc_code", 1), ("w", 1, "image", 2), ("w", 2, "product_name", 1), ("w", 3, "qty", 1)], "workbook_id string, sheet_idx int, canonical string, col int")
+    m = spark.createDataFrame(
+        [("w", 0, "doc_code", 1), ("w", 0, "qty", 2), ("w", 1, "doc_code", 1), ("w", 1, "image", 2), ("w", 2, "product_name", 1), ("w", 3, "qty", 1)],
+        "workbook_id string, sheet_idx int, canonical string, col int",
+    )
     assert sorted(r["sheet_idx"] for r in columns.usable_sheets(m).collect()) == [0, 2]
 
 
@@ -179,8 +204,16 @@ REFERENCES = ["='[1]Cover Sheet'!A6", "='[1]Cover Sheet'!$A$6", "='Cover Sheet'!
 
 
 def test_references_to_a_title(spark):
-    c = cells(spark, {6: ["Residence Interior Finishes Schedule"]}, {k: [r] for k, r in enumerate([*REFERENCES, "=SUM(A1:A3)", "='Missing'!A6", "='Cover Sheet'!A7", "plain", "=COVER!A6"], 1)}, {6: ["Other Interior Finishes Schedule"]})
-    s = spark.createDataFrame([("w", "f.xlsx", 0, "Cover Sheet ", False), ("w", "f.xlsx", 1, "Items", True), ("w", "f.xlsx", 2, "COVER", False)], SHEETS)
+    c = cells(
+        spark,
+        {6: ["Residence Interior Finishes Schedule"]},
+        {k: [r] for k, r in enumerate([*REFERENCES, "=SUM(A1:A3)", "='Missing'!A6", "='Cover Sheet'!A7", "plain", "=COVER!A6"], 1)},
+        {6: ["Other Interior Finishes Schedule"]},
+    )
+    s = spark.createDataFrame(
+        [("w", "f.xlsx", 0, "Cover Sheet ", False), ("w", "f.xlsx", 1, "Items", True), ("w", "f.xlsx", 2, "COVER", False)],
+        SHEETS,
+    )
     got = {r["row"]: r["target"] for r in naming.resolve_cell_refs(c, s).collect()}
     first = "Residence Interior Finishes Schedule"
     assert got == {**dict.fromkeys(range(1, 6), first), 10: "Other Interior Finishes Schedule"}
@@ -233,13 +266,20 @@ KV_LINES = {
 
 
 def test_lines_of_key_and_value(spark):
-    got = spark.createDataFrame([(k, t) for k, t in enumerate(KV_LINES)], "k int, t string").select("k", kv.parse_line(F.col("t")).alias("p")).orderBy("k").collect()
+    got = spark.createDataFrame(
+        [(k, t) for k, t in enumerate(KV_LINES)],
+        "k int, t string",
+    ).select("k", kv.parse_line(F.col("t")).alias("p")).orderBy("k").collect()
     assert [r["p"] and tuple(r["p"]) for r in got] == list(KV_LINES.values())
 
 
 def test_kv_aliases_pipes_and_plain_lines(spark):
     t = "PRODUCT: ICONIC|COMPOSITION: 80% WOOL\nplain\n\nMATERIAL: second\nCARPET THICKNESS - 9 MM"
-    row = spark.createDataFrame([(t,)], "t string").select(kv.parse_kv(F.col("t")).alias("kv"), kv.non_kv_lines(F.col("t")).alias("plain"), kv.parse_kv_multi(F.col("t")).alias("multi")).first()
+    row = spark.createDataFrame([(t,)], "t string").select(
+        kv.parse_kv(F.col("t")).alias("kv"),
+        kv.non_kv_lines(F.col("t")).alias("plain"),
+        kv.parse_kv_multi(F.col("t")).alias("multi"),
+    ).first()
     assert [tuple(x) for x in row["kv"]] == [("PRODUCT", "ICONIC"), ("MATERIAL", "80% WOOL"), ("CARPET_THICKNESS", "9 MM")]
     assert row["plain"] == ["plain"]
     assert row["multi"]["MATERIAL"] == ["second"] and row["multi"]["PRODUCT"] == ["ICONIC|COMPOSITION: 80% WOOL"]
@@ -268,11 +308,28 @@ DIMENSIONS = {
 
 
 def test_dimensions_by_rule(spark):
-    got = spark.createDataFrame([(k, t) for k, t in enumerate(DIMENSIONS)], "k int, t string").select("k", units.parse_dimensions(F.col("t")).alias("d")).orderBy("k").collect()
+    got = spark.createDataFrame(
+        [(k, t) for k, t in enumerate(DIMENSIONS)],
+        "k int, t string",
+    ).select("k", units.parse_dimensions(F.col("t")).alias("d")).orderBy("k").collect()
     assert {t: tuple(r["d"]) for t, r in zip(DIMENSIONS, got, strict=True)} == DIMENSIONS
 
 
 def test_lengths(spark):
-    want = {"10MM": 10, '3.9"': 99, "2.5 cm": 25, "about 12 mm thick": 12, "12 thick": 12, "1 metre": 1000, "2 inches": 51, "x": None, None: None, "2.5": 2}
-    got = spark.createDataFrame([(k, t) for k, t in enumerate(want)], "k int, t string").select("k", units.parse_mm(F.col("t")).alias("m")).orderBy("k").collect()
+    want = {
+        "10MM": 10,
+        '3.9"': 99,
+        "2.5 cm": 25,
+        "about 12 mm thick": 12,
+        "12 thick": 12,
+        "1 metre": 1000,
+        "2 inches": 51,
+        "x": None,
+        None: None,
+        "2.5": 2,
+    }
+    got = spark.createDataFrame(
+        [(k, t) for k, t in enumerate(want)],
+        "k int, t string",
+    ).select("k", units.parse_mm(F.col("t")).alias("m")).orderBy("k").collect()
     assert {t: r["m"] for t, r in zip(want, got, strict=True)} == want

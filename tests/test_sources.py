@@ -13,7 +13,13 @@ def test_cells_merges_and_sheets(spark):
     triaged = intake.triage_files(_files(spark, {"/in/one.xlsx": book}))
     parts = intake.split_records(intake.read_workbooks(triaged.where("status = 'ok'")))
     got = sorted(tuple(r)[1:] for r in parts["cells"].collect())
-    assert got == [(0, 1, 1, "Title", None, "str"), (0, 2, 2, "3", 3.0, "int"), (1, 1, 1, "True", None, "bool"), (1, 1, 2, "2.5", 2.5, "float"), (1, 1, 3, "a & b", None, "str")]
+    assert got == [
+        (0, 1, 1, "Title", None, "str"),
+        (0, 2, 2, "3", 3.0, "int"),
+        (1, 1, 1, "True", None, "bool"),
+        (1, 1, 2, "2.5", 2.5, "float"),
+        (1, 1, 3, "a & b", None, "str"),
+    ]
     assert [tuple(r)[1:] for r in parts["merges"].collect()] == [(0, 1, 2, 1, 3)]
     assert sorted((r["sheet_idx"], r["sheet_name"], r["is_active"]) for r in parts["sheets"].collect()) == [(0, "Cover", True), (1, "Items", False)]
     assert parts["errors"].count() == 0
@@ -23,7 +29,13 @@ def test_bad_files_become_error_rows(spark):
     junk = b"PK\x03\x04" + b"x" * 200
     files = {"/in/a.csv": b"x" * 200, "/in/b.xlsx": b"", "/in/c.xlsx": b"PK", "/in/d.xlsx": b"y" * 200, "/in/e.xlsx": junk}
     triaged = intake.triage_files(_files(spark, files))
-    assert {r["path"][-6:]: r["error"] for r in triaged.collect()} == {"/a.csv": "Invalid file type", "b.xlsx": "Empty file", "c.xlsx": "Invalid file", "d.xlsx": "Invalid file", "e.xlsx": None}
+    assert {r["path"][-6:]: r["error"] for r in triaged.collect()} == {
+        "/a.csv": "Invalid file type",
+        "b.xlsx": "Empty file",
+        "c.xlsx": "Invalid file",
+        "d.xlsx": "Invalid file",
+        "e.xlsx": None,
+    }
     assert intake.error_rows(triaged).count() == 4
     records = intake.read_workbooks(triaged.where("status = 'ok'"))
     assert [r["error"] for r in intake.split_records(records)["errors"].collect()] == ["Failed to read workbook"]
@@ -66,11 +78,28 @@ def test_errors_written(spark, tmp_path):
 
 
 def test_truth_and_manifest(spark, tmp_path):
-    (tmp_path / "one.json").write_text('{\n"schedule_name": "S", "layout_family": "normalized", "seed": 3, "mutations": ["swap"], "notes": {"layout": "x", "header_row": 4, "include_code_col": true},\n"products": [{"doc_code": "A", "qty": 2, "rrp": 1.5}, {"doc_code": null}]}')
-    got = sorted(((r["seq"], r["schedule_name"], r["doc_code"], r["qty"], r["rrp"], r["notes"]["header_row"]) for r in intake.read_truth(spark, str(tmp_path / "one.json")).collect()))
+    (tmp_path / "one.json").write_text(
+        '{\n"schedule_name": "S", "layout_family": "normalized", "seed": 3, "mutations": ["swap"], "notes": {"layout": "x", "header_row": 4, "include_code_col": true},\n"products": [{"doc_code": "A", "qty": 2, "rrp": 1.5}, {"doc_code": null}]}',
+    )
+    got = sorted(
+        (
+            (
+                r["seq"],
+                r["schedule_name"],
+                r["doc_code"],
+                r["qty"],
+                r["rrp"],
+                r["notes"]["header_row"],
+            ) for r in intake.read_truth(spark, str(tmp_path / "one.json")).collect()
+        ),
+    )
     assert got == [(0, "S", "A", 2, 1.5, 4), (1, "S", None, None, None, 4)]
-    (tmp_path / "m.jsonl").write_text('{"type": "base", "xlsx": "a.xlsx", "truth": "a.json", "seed": 1, "layout_family": "ffe_tracker", "mutations": []}\n{"type": "mutated", "xlsx": "b.xlsx"}\n')
-    assert [(r["type"], r["xlsx"], r["seed"]) for r in intake.read_manifest(spark, str(tmp_path / "m.jsonl")).orderBy("type").collect()] == [("base", "a.xlsx", 1), ("mutated", "b.xlsx", None)]
+    (tmp_path / "m.jsonl").write_text(
+        '{"type": "base", "xlsx": "a.xlsx", "truth": "a.json", "seed": 1, "layout_family": "ffe_tracker", "mutations": []}\n{"type": "mutated", "xlsx": "b.xlsx"}\n',
+    )
+    assert [
+        (r["type"], r["xlsx"], r["seed"]) for r in intake.read_manifest(spark, str(tmp_path / "m.jsonl")).orderBy("type").collect()
+    ] == [("base", "a.xlsx", 1), ("mutated", "b.xlsx", None)]
 
 
 def test_nested_json_written(spark, tmp_path):
@@ -88,5 +117,11 @@ def test_dates_and_one_cell_merges(spark):
     parts = intake.split_records(intake.read_workbooks(triaged))
     assert parts["errors"].count() == 0
     got = {r["col"]: (r["value_str"], r["value_kind"]) for r in parts["cells"].collect()}
-    assert got == {1: ("x", "str"), 2: ("2024-01-05 00:00:00", "other"), 3: ("18:00:00", "other"), 4: ("2024-01-05 12:00:00", "other"), 5: ("61", "int")}
+    assert got == {
+        1: ("x", "str"),
+        2: ("2024-01-05 00:00:00", "other"),
+        3: ("18:00:00", "other"),
+        4: ("2024-01-05 12:00:00", "other"),
+        5: ("61", "int"),
+    }
     assert sorted((r["min_col"], r["max_col"]) for r in parts["merges"].collect()) == [(1, 1), (2, 3)]
