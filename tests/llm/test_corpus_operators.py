@@ -194,3 +194,28 @@ def test_empty_tables(docs, labels):
         decontaminate.contaminated(none, none.select(F.col("doc_id").alias("item_id"), "text")),
     ):
         assert made.count() == 0
+
+
+def test_null_ids_and_very_long_texts(spark):
+    """One result for each row: null ids, a repeated row, and a text of 1 MB with its findings at the end."""
+    tail = " mail a.b@c.org token=abcdef123 " + " ".join(f"item{k}" for k in range(30))
+    long = "word " * 200_000 + tail
+    rows = [(None, long), (None, "short"), (7, long), (7, long), (8, None), (None, None), (9, "")]
+    d = spark.createDataFrame([(*r, None, None, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, spans int, score int, kept int")
+    b = spark.createDataFrame([(1, " ".join(f"item{k}" for k in range(30)))], "item_id long, text string")
+    lab = spark.createDataFrame([(7, 1), (None, 1)], "doc_id long, quality int")
+    ids = Counter(r[0] for r in rows)
+    for made, column, want in (
+        (pii.find_pii(d), "n_email", Counter({1: 3, 0: 4})),
+        (secrets.find_secrets(d), "n_assign", Counter({1: 3, 0: 4})),
+        (quality_rules.judge(d, lab), "base_failed", Counter({True: 7})),
+        (substring_dedup.remove_repeats(d), "n_words", Counter({200_033: 3, 1: 1, 0: 3})),
+        (near_dup.near_duplicates(d), "kept", Counter({True: 7})),
+    ):
+        got = made.collect()
+        assert Counter(r["doc_id"] for r in got) == ids
+        assert Counter(r[column] for r in got) == want, column
+    got = classifier.classify(d, lab).collect()
+    assert Counter(r["doc_id"] for r in got) == ids and all(0 <= r["score"] <= 1 for r in got) and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    got = decontaminate.contaminated(d, b).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"], r["begin"], r["end"]) for r in got] == [(7, 1, 1.0, 200_003, 200_033)]
