@@ -201,36 +201,50 @@ def joining(members: pd.DataFrame, first: int, second: int) -> pd.DataFrame:
 def within_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join components within the lists in `members` (value, doc_id, n, comp).
 
-    A list of more than BLOCK members, or BLOCK_SHINGLES shingles, is cut into blocks by a hash
-    of the id; each pair of blocks is a group of its own, so no task holds more than two blocks
-    of a list.
+    The largest component of a list is compared with the others, and the others among
+    themselves. Both sides are cut into blocks of BLOCK members, or BLOCK_SHINGLES shingles, by a
+    hash of the id; each pair of blocks is a group of its own, so no task holds more than two.
+    A list of many copies and a few others so takes time in proportion to its length.
     """
-    sizes = members.groupBy("value").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    m = members.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn(
-        "other",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
+    size = members.groupBy("value", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    size = size.groupBy("value").agg(F.max(F.struct("c", "s", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+
+    def blocks(c: Column, s: Column) -> Column:
+        return F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+
+    size = size.select(
+        "value",
+        F.col("top.comp").alias("top"),
+        blocks(F.col("top.c"), F.col("top.s")).alias("top_blocks"),
+        blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("blocks"),
     )
-    m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    m = members.join(size, "value").withColumn("is_top", F.col("comp") == F.col("top"))
+    m = m.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_top"), F.col("top_blocks")).otherwise(F.col("blocks"))).cast("int"))
+    # groups (i, j): block -1 - i of the largest component with block j of the others, or blocks i and j of the others
+    others, tops = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("top_blocks") - 1)
+    own = F.col("own")
+    groups = F.when(F.col("is_top"), F.transform(others, lambda k: F.struct((-1 - own).alias("i"), k.alias("j")))).otherwise(
+        F.concat(
+            F.transform(tops, lambda k: F.struct((-1 - k).alias("i"), own.alias("j"))),
+            F.transform(others, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"))),
+        ),
+    )
+    m = m.withColumn("g", F.explode(groups)).select("value", "g.i", "g.j", "own", "is_top", "doc_id", "comp")
     none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["comp"].nunique() < 2:
             return none
-        if (pdf["i"] == pdf["j"]).all():
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        if i == j:
             return joining(pdf, len(pdf), 0)
-        pdf = pdf.sort_values("own", kind="stable").reset_index(drop=True)
-        first = int((pdf["own"] == pdf["own"].iloc[0]).sum())
-        return joining(pdf, first, first) if first < len(pdf) else none
+        side = pdf["is_top"] if i < 0 else pdf["own"] == i
+        pdf = pd.concat([pdf[side], pdf[~side]], ignore_index=True)
+        first = int(side.sum())
+        return joining(pdf, first, first) if 0 < first < len(pdf) else none
 
-    return m.join(sets, "doc_id").select(
-        "value",
-        "i",
-        "j",
-        "own",
-        "doc_id",
-        "comp",
-        "shingles",
-    ).groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    m = m.join(sets, "doc_id").select("value", "i", "j", "own", "is_top", "doc_id", "comp", "shingles")
+    return m.groupBy("value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def hash_rows(texts: DataFrame, make: Callable[[Words, pa.RecordBatch], tuple[np
                 held.append((own[of[use]], h[use]))
                 done = np.concatenate([done, own[fresh]])
                 size += int(use.sum())
-                if size >= RUN:
+                if size >= RUN or len(done) >= RUN:
                     yield pa.RecordBatch.from_arrays(_combined(*(np.concatenate(x) for x in zip(*held, strict=True))), schema=schema)
                     held, size, done = [], 0, np.zeros(0, np.int64)
         if size:

@@ -161,8 +161,10 @@ def test_chance_of_a_missed_link():
     assert sum(math.comb(64, k) * 0.75**k * 0.25 ** (64 - k) for k in range(near_dup.LEAST)) < 1e-7
 
 
-def test_large_group_of_edited_copies_beside_common_passages(spark):
+@pytest.mark.parametrize("block", [1024, 8])
+def test_large_group_of_edited_copies_beside_common_passages(spark, monkeypatch, block):
     """A group whose copies differ from each other, and documents that share a long passage but are no copies."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     r = random.Random(3)
     word = lambda: f"w{r.randrange(10**7)}"
     base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
