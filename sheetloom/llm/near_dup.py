@@ -218,17 +218,19 @@ def within_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
         blocks(F.col("top.c"), F.col("top.s")).alias("top_blocks"),
         blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("blocks"),
     )
-    m = members.join(size, "value").withColumn("is_top", F.col("comp") == F.col("top"))
+    # settled, so that the rows of a long list can be split in this join
+    m = members.join(settle(size), "value").withColumn("is_top", F.col("comp") == F.col("top"))
     m = m.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_top"), F.col("top_blocks")).otherwise(F.col("blocks"))).cast("int"))
-    # groups (i, j): block -1 - i of the largest component with block j of the others, or blocks i and j of the others
+    # groups (i, j): block -1 - i of the largest component with block j of the others, or blocks i and j of the others; a list
+    # of one block on either side is one group
     others, tops = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("top_blocks") - 1)
     own = F.col("own")
-    groups = F.when(F.col("is_top"), F.transform(others, lambda k: F.struct((-1 - own).alias("i"), k.alias("j")))).otherwise(
-        F.concat(
-            F.transform(tops, lambda k: F.struct((-1 - k).alias("i"), own.alias("j"))),
-            F.transform(others, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"))),
-        ),
-    )
+    whole = (F.col("top_blocks") == 1) & (F.col("blocks") == 1)
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    of_top = F.transform(others, lambda k: F.struct((-1 - own).alias("i"), k.alias("j")))
+    with_top = F.transform(tops, lambda k: F.struct((-1 - k).alias("i"), own.alias("j")))
+    with_others = F.transform(others, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    groups = F.when(whole, one).when(F.col("is_top"), of_top).otherwise(F.concat(with_top, with_others))
     m = m.withColumn("g", F.explode(groups)).select("value", "g.i", "g.j", "own", "is_top", "doc_id", "comp")
     none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
