@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, html_text, mixing, near_dup, pii, quality_rules, secrets, sharding, substring_dedup
+from . import classifier, decontaminate, html_text, mixing, near_dup, pii, quality_rules, secrets, sharding, simhash, substring_dedup
 from .store import table
 
 
@@ -48,6 +48,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
@@ -61,6 +65,7 @@ def queries() -> dict:
             op8_html_text,
             op9_decontamination,
             op10_sharding,
+            op11_simhash,
         )
     }
 
