@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, html_text, mixing, near_dup, pii, quality_rules, secrets, sharding, simhash, substring_dedup
+from . import classifier, decontaminate, html_text, mixing, near_dup, periodic_runs, pii, quality_rules, secrets, sharding, simhash, substring_dedup
 from .store import table
 
 
@@ -52,6 +52,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_periods(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
@@ -66,6 +70,7 @@ def queries() -> dict:
             op9_decontamination,
             op10_sharding,
             op11_simhash,
+            op12_periodic_runs,
         )
     }
 
