@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, html_text, mixing, near_dup, periodic_runs, pii, quality_rules, secrets, sharding, simhash, substring_dedup
+from . import block_max, classifier, decontaminate, html_text, mixing, near_dup, periodic_runs, pii, quality_rules, secrets, sharding, simhash, substring_dedup
 from .store import table
 
 
@@ -56,6 +56,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_periods(table(spark, sf_dir, "documents"))))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
@@ -71,6 +75,7 @@ def queries() -> dict:
             op10_sharding,
             op11_simhash,
             op12_periodic_runs,
+            op13_ranked_search,
         )
     }
 

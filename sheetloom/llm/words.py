@@ -18,6 +18,9 @@ CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Breaks between terms: ASCII but for digits and letters.
+NO_TERM = np.arange(256) < 128
+NO_TERM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -68,15 +71,15 @@ _OF_BYTES, _OF_WORDS = _Powers(0x9FB21C651E98DF25), _Powers(0xD6E8FEB86659FD93)
 class Words:
     """The words of consecutive texts: byte range, hash and text number of each.
 
-    `first[d]` to `first[d + 1]` are the words of text d.
+    `first[d]` to `first[d + 1]` are the words of text d. `breaks` tells the bytes between words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SPACE):
         data = _LOWER[data] if lower else data
         n = len(data)
         self.data, self.texts = data, len(offsets) - 1
         if n:
-            space = _SPACE[data]
+            space = breaks[data]
             before, after = np.empty(n, bool), np.empty(n, bool)
             before[0] = after[-1] = True
             before[1:], after[:-1] = space[:-1], space[1:]
@@ -123,13 +126,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = end
 
 
-def each_chunk(schema: pa.Schema, make: Callable, text: str = "text", lower: bool = False) -> Callable:
+def each_chunk(schema: pa.Schema, make: Callable, text: str = "text", lower: bool = False, breaks: np.ndarray = _SPACE) -> Callable:
     """A mapInArrow function: `make(batch slice, Words)` gives the columns of each chunk of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in chunks(batch.column(batch.schema.get_field_index(text))):
-                columns = make(batch.slice(at, end - at), Words(data, offsets, lower))
+                columns = make(batch.slice(at, end - at), Words(data, offsets, lower, breaks))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema, strict=True)],
                     schema=schema,
