@@ -160,3 +160,11 @@ DISCLAIMERS = [
     "indicative only",
     "all dimensions",
 ]
+
+#: Texts that say that there is no price; words for prices, and how many characters may stand behind one before the number.
+NO_PRICE = ["tbc", "tba", "poa", "n/a", "na", "nil", "-"]
+PRICE_WORDS, PRICE_NEAR = ["rrp", "price", "cost", r"unit\s*cost", "rate"], 20
+
+#: What may stand in brackets at a schedule name's end without being part of it; kinds of image files.
+NAME_TAIL, NAME_TAIL_OF = "tracker", ["ff&e", "ffe"]
+IMAGE_KINDS = ["jpg", "jpeg", "png", "gif", "webp"]

@@ -157,6 +157,98 @@ def merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*keys, "value_str", F.coalesce("m", F.lit(False)).alias("merged"), F.coalesce("t", F.lit(False)).alias("topleft"), "max_col")
 
 
+def _far(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, merges) beyond column 30: every line's brand in column 35, merged over up to 40 columns, and a section's name in column 80, merged over 19 rows and two columns."""
+    ln = fixtures.lines(spark, sf_dir)
+    cell = lambda row, col, text: [row.cast("int").alias("row"), F.lit(col).alias("col"), text.alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind")]
+    area = lambda *ends: [x.cast("int").alias(n) for n, x in zip(("min_row", "max_row", "min_col", "max_col"), ends, strict=True)]
+    row, lit = F.col("row_num"), F.lit
+    blocks = ln.select(*grid.SHEET, "block").distinct().withColumn("row", lit(6) + 20 * F.col("block"))
+    name = F.element_at(F.lit(fixtures.SECTIONS), (F.col("block") % 4 + 1).cast("int"))
+    cells = ln.select(*grid.SHEET, *cell(row, 35, F.col("p_brand"))).unionByName(blocks.select(*grid.SHEET, *cell(F.col("row"), 80, name)))
+    wide = ln.select(*grid.SHEET, *area(row, row, lit(35), lit(35) + F.col("pk") % 40))
+    tall = blocks.select(*grid.SHEET, *area(F.col("row"), F.col("row") + 18, lit(80), lit(81)))
+    return settle(cells), settle(wide.unionByName(tall))
+
+
+@query(f"""
+wide AS (SELECT workbook_id, sheet_idx, SUM(pk % 40 + 1) AS cells, SUM(35 * (pk % 40 + 1) + (pk % 40) * (pk % 40 + 1) // 2) AS cols, SUM(row_num * (pk % 40 + 1)) AS rows, COUNT(*) AS texts FROM lines GROUP BY 1, 2),
+tall AS (SELECT workbook_id, sheet_idx, COUNT(*) * 38 AS cells, COUNT(*) * 19 * 161 AS cols, SUM(2 * (19 * (6 + 20 * block) + 171)) AS rows FROM (SELECT DISTINCT workbook_id, sheet_idx, block FROM lines) GROUP BY 1, 2)
+SELECT workbook_id, sheet_idx, CAST(w.cells + t.cells AS BIGINT) AS cells, CAST(w.cols + t.cols AS BIGINT) AS col_sum, CAST(w.rows + t.rows AS BIGINT) AS row_sum FROM wide w JOIN tall t USING (workbook_id, sheet_idx)
+""")
+def far_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 beyond the columns that rules read, over rows and columns."""
+    filled = grid.fill_merged(*_far(spark, sf_dir))
+    return filled.groupBy(*grid.SHEET).agg(F.count("*").alias("cells"), F.sum("col").alias("col_sum"), F.sum("row").alias("row_sum"))
+
+
+@query(f"""
+SELECT workbook_id, sheet_idx, row_num AS row, c.col, CASE WHEN c.col = 81 THEN {_SECTION} WHEN c.col - 35 <= pk % 40 THEN p_brand END AS value_str,
+       CASE WHEN c.col = 81 THEN CAST(6 + 20 * block AS INT) WHEN c.col - 35 <= pk % 40 THEN row_num END AS min_row, CASE WHEN c.col = 81 THEN 81 WHEN c.col - 35 <= pk % 40 THEN CAST(35 + pk % 40 AS INT) END AS max_col
+FROM lines, (VALUES (35), (50), (81)) c(col)
+""")
+def far_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges and values at three points of every line, among as many ranges."""
+    cells, merges = _far(spark, sf_dir)
+    points = fixtures.lines(spark, sf_dir).select(*grid.SHEET, F.col("row_num").alias("row"), F.explode(F.lit([35, 50, 81])).alias("col"))
+    at = grid.merged_range_of(grid.merged_value(points, cells, merges), merges)
+    return at.select(*grid.SHEET, "row", "col", "value_str", "min_row", "max_col")
+
+
+#: All lines in one sheet: eight rows for each order, and a section over 4096 orders.
+_LONG_SQL = """
+long AS (SELECT l_orderkey AS ok, l_linenumber AS ln, MIN(l_partkey) AS pk, MIN(CAST(l_quantity AS INT)) AS q, CAST(10 + l_orderkey * 8 + l_linenumber AS INT) AS row_num FROM lineitem GROUP BY 1, 2)
+"""
+
+
+def _long_cells(spark: SparkSession, sf_dir: str, grouped: bool) -> DataFrame:
+    """Cells of that sheet. Grouped: an order is an item, its lines are details."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min(F.col("l_quantity").cast("int")).alias("q"))
+    order = F.col("l_orderkey")
+    cell = lambda k, v, n=None: F.struct(F.lit(k).alias("col"), v.cast("string").alias("value_str"), (n if n is not None else F.lit(None)).cast("double").alias("value_num"), F.lit("str" if n is None else "int").alias("value_kind"))
+    put = lambda df, row, *cells: df.select(F.lit("long").alias("workbook_id"), F.lit(0).alias("sheet_idx"), row.cast("int").alias("row"), F.explode(F.array(*cells)).alias("c")).select(*grid.SHEET, "row", "c.*")
+    at = F.lit(10) + order * 8 + F.col("l_linenumber")
+    blocks = line.select(F.floor(order / 4096).alias("block")).distinct()
+    name = F.element_at(F.lit(fixtures.SECTIONS), (F.col("block") % 4 + 1).cast("int"))
+    # a section's row is one before its first order
+    sections = put(blocks, F.lit(9) + F.col("block") * 32768, cell(1, name))
+    top = spark.range(1).select(F.lit("long").alias("workbook_id"), F.lit(0).alias("sheet_idx"), F.lit(4).alias("row"), F.posexplode(F.lit(["Code", "Image", "Location", "Label", "Details", "Qty"])).alias("k", "v"))
+    top = top.select(*grid.SHEET, "row", (F.col("k") + 1).alias("col"), F.col("v").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
+    if grouped:
+        items = put(line.select("l_orderkey").distinct(), F.lit(10) + order * 8, cell(4, F.lit("Item:")), cell(5, F.concat(F.lit("Order "), order.cast("string"))))
+        body = items.unionByName(put(line, at, cell(4, F.lit("Maker:")), cell(5, F.concat(F.lit("M"), F.col("pk").cast("string")))))
+    else:
+        body = put(line, at, cell(1, F.concat(F.lit("P-"), F.col("pk").cast("string"))), cell(3, F.concat(F.lit("Room "), F.col("l_linenumber").cast("string"))), cell(6, F.col("q"), F.col("q")))
+    return settle(body.unionByName(sections).unionByName(top))
+
+
+def _long_rows(spark: SparkSession, sf_dir: str, grouped: bool) -> DataFrame:
+    cells = _long_cells(spark, sf_dir, grouped)
+    h = settle(headers.find_header_row(cells))
+    return rows.product_rows(cells, h, columns.map_columns(cells, h))
+
+
+@query(f"""
+{_LONG_SQL.strip()}
+SELECT CASE (ok // 4096) % 4 WHEN 0 THEN 'LIVING ROOM' WHEN 1 THEN 'KITCHEN' WHEN 2 THEN 'BEDROOM' ELSE 'STUDY' END AS section, CAST(COUNT(*) AS BIGINT) AS product_rows, CAST(SUM(row_num) AS BIGINT) AS row_sum, CAST(SUM(q) AS BIGINT) AS qty FROM long GROUP BY 1
+""")
+def long_sheet_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10, R11 on one sheet that holds every line: sections are carried over many runs of rows."""
+    p = _long_rows(spark, sf_dir, grouped=False)
+    return p.groupBy("section").agg(F.count("*").alias("product_rows"), F.sum("row_num").alias("row_sum"), F.sum("qty.value_num").cast("long").alias("qty"))
+
+
+@query(f"""
+{_LONG_SQL.strip()}
+SELECT CAST(10 + ok * 8 AS INT) AS row_num, CASE (ok // 4096) % 4 WHEN 0 THEN 'LIVING ROOM' WHEN 1 THEN 'KITCHEN' WHEN 2 THEN 'BEDROOM' ELSE 'STUDY' END AS section, 'Order ' || CAST(ok AS VARCHAR) AS item_name,
+       string_agg('M' || CAST(pk AS VARCHAR), '|' ORDER BY ln) AS makers FROM long GROUP BY ok
+""")
+def long_sheet_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10, R12 on one sheet that holds every line, as details of its orders."""
+    p = _long_rows(spark, sf_dir, grouped=True)
+    return p.select("row_num", "section", "item_name", F.array_join(F.transform("detail_rows", lambda d: d["value"]), "|").alias("makers"))
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _filled(spark, sf_dir)
     h = settle(headers.find_header_row(cells))

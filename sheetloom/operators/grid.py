@@ -6,14 +6,16 @@ value_kind; an empty cell is an absent row. `merges` has min_row, max_row, min_c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 SHEET = ["workbook_id", "sheet_idx"]
-#: Last row that a sheet can have, and last column that any rule reads.
-LAST_ROW, LAST_COL = 1_048_576, 30
+#: Last row and column that a sheet can have, and last column that a rule reads without being told.
+LAST_ROW, LAST_SHEET_COL, LAST_COL = 1_048_576, 16_384, 30
 VALUE = ["value_str", "value_num", "value_kind"]
+_RANGE = ["min_row", "max_row", "min_col", "max_col"]
 
 
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -51,48 +53,106 @@ def rows_to_cells(df: DataFrame, order_col: str, workbook_id: Column | None = No
     return long.select(*SHEET, "row", "c.*").where("value_str is not null")
 
 
-def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Every cell of a merged range takes the top-left value, an empty one included.
+def range_rows(cells: DataFrame, merges: DataFrame, last_row: int | None = None) -> DataFrame:
+    """sheet, row, band: the ranges that cross a row, each with its columns, its corner and the corner's value, if it has one.
+
+    A range meets its corner once and is told once for each of its rows, never cell by cell. One
+    over whole columns ends at the last row that a cell or another range uses, one over whole
+    rows at the last column used or read by any rule; up to `last_row` if it is given.
+    """
+    used = cells.select(*SHEET, "row", "col").unionByName(
+        merges.select(
+            *SHEET,
+            F.when(F.col("max_row") < LAST_ROW, F.col("max_row")).alias("row"),
+            F.when(F.col("max_col") < LAST_SHEET_COL, F.col("max_col")).alias("col"),
+        ),
+    ).groupBy(*SHEET).agg(F.max("row").alias("used_row"), F.max("col").alias("used_col"))
+    corner = cells.select(*SHEET, F.col("row").alias("min_row"), F.col("col").alias("min_col"), *VALUE, F.lit(True).alias("held"))
+    ranges = merges.join(used, SHEET, "left").join(corner, [*SHEET, "min_row", "min_col"], "left")
+    row, col = F.col("max_row"), F.col("max_col")
+    row = F.when(row >= LAST_ROW, F.greatest("min_row", F.coalesce("used_row", F.lit(0)))).otherwise(row)
+    col = F.when(col >= LAST_SHEET_COL, F.greatest("min_col", F.coalesce("used_col", F.lit(0)), F.lit(LAST_COL))).otherwise(col)
+    if last_row is not None:
+        ranges, row = ranges.where(F.col("min_row") <= last_row), F.least(row, F.lit(last_row))
+    band = F.struct("min_row", "min_col", col.alias("max_col"), *VALUE, "held")
+    return ranges.select(*SHEET, F.explode(F.sequence("min_row", row)).alias("row"), band.alias("band"))
+
+
+def _over(band: Column, col: Column) -> Column:
+    return col.between(band["min_col"], band["max_col"])
+
+
+def band_cells(bands: Column, only: Callable[[Column], Column] | None = None) -> Column:
+    """(col, value) of the cells that a row's bands fill; where ranges overlap, that of the greatest corner. `only` says which columns."""
+    corner = lambda b: F.struct(b["min_row"], b["min_col"])
+    wanted = lambda k: F.lit(True) if only is None else only(k)
+
+    def filled(band: Column) -> Column:
+        free = lambda k: wanted(k) & ~F.exists(bands, lambda x: _over(x, k) & (corner(x) > corner(band)))
+        columns = F.filter(F.sequence(band["min_col"], band["max_col"]), free)
+        return F.transform(columns, lambda k: F.struct(k.alias("col"), *[band[c].alias(c) for c in VALUE]))
+
+    return F.flatten(F.transform(F.filter(bands, lambda b: b["held"]), filled))
+
+
+def outside_bands(bands: Column, col: Column) -> Column:
+    """No band of the row holds the column; null bands hold none."""
+    return ~F.coalesce(F.exists(bands, lambda b: _over(b, col)), F.lit(False))
 
-    Ranges are expanded to their cells and met by key, so there is no range join; a range's
-    cells are told apart from the rest by one left join. Ranges end at the last column that is
-    read; one over whole columns ends at the sheet's last row that a cell or another range uses.
+
+def fill_merged(cells: DataFrame, merges: DataFrame, last_row: int | None = None) -> DataFrame:
+    """Every cell of a merged range takes the top-left value, an empty one included; rows up to `last_row` if it is given.
+
+    Cells and ranges meet by row: what a range hides goes, what it fills is told from the row's bands.
     """
-    used = cells.select(*SHEET, "row").unionByName(
-        merges.where(F.col("max_row") < LAST_ROW).select(*SHEET, F.col("max_row").alias("row")),
-    ).groupBy(*SHEET).agg(F.max("row").alias("used_row"))
-    merges = merges.where(F.col("min_col") <= LAST_COL).join(used, SHEET, "left")
-    last = F.when(F.col("max_row") >= LAST_ROW, F.greatest("min_row", F.coalesce("used_row", F.lit(0)))).otherwise(F.col("max_row"))
-    merges = merges.select(*SHEET, "min_row", last.alias("max_row"), "min_col", F.least("max_col", F.lit(LAST_COL)).alias("max_col"))
-    area = merges.select(
-        *SHEET,
-        "min_row",
-        "min_col",
-        F.explode(F.sequence("min_row", "max_row")).alias("row"),
-        "max_col",
-    ).select(*SHEET, "min_row", "min_col", "row", F.explode(F.sequence("min_col", "max_col")).alias("col"))
-    area = area.groupBy(*SHEET, "row", "col").agg(F.max(F.struct("min_row", "min_col")).alias("top")).select(*SHEET, "row", "col", "top.*")
-    corner = cells.select(*SHEET, F.col("row").alias("min_row"), F.col("col").alias("min_col"), *VALUE)
-    filled = area.join(corner, [*SHEET, "min_row", "min_col"]).select(*SHEET, "row", "col", *VALUE)
-    return cells.join(area.select(*SHEET, "row", "col"), [*SHEET, "row", "col"], "left_anti").select(*SHEET, "row", "col", *VALUE).unionByName(filled)
+    bands = range_rows(cells, merges, last_row).groupBy(*SHEET, "row").agg(F.collect_list("band").alias("bands"))
+    own = cells if last_row is None else cells.where(F.col("row") <= last_row)
+    own = own.select(*SHEET, "row", "col", *VALUE).join(bands, [*SHEET, "row"], "left").where(outside_bands(F.col("bands"), F.col("col")))
+    filled = bands.select(*SHEET, "row", F.explode(band_cells(F.col("bands"))).alias("cell")).select(*SHEET, "row", "cell.*")
+    return own.drop("bands").unionByName(filled)
+
+
+def _level(size: Column) -> Column:
+    """The smallest k with 2**k >= size."""
+    return F.when(size <= 1, 0).otherwise(F.length(F.bin(size.cast("long") - 1))).cast("int")
+
+
+def _tiles(low: str, high: str, level: str) -> Column:
+    """The one or two tiles of 2**level that a stretch up to that long lies in."""
+    return F.expr(f"sequence(shiftright({low} - 1, {level}), shiftright({high} - 1, {level}))")
 
 
 def _in_range(points: DataFrame, merges: DataFrame, how: str) -> DataFrame:
-    p, m = points.alias("p"), merges.alias("m")
-    on = [F.col(f"p.{k}") == F.col(f"m.{k}") for k in SHEET]
-    return p.join(
-        m,
-        [*on, F.col("p.row").between(F.col("m.min_row"), F.col("m.max_row")), F.col("p.col").between(F.col("m.min_col"), F.col("m.max_col"))],
-        how,
-    )
+    """`points` p with the range m that holds them, left or semi.
+
+    Ranges are told by tiles: one of height up to 2**i and width up to 2**j lies in at most four
+    tiles of that size, and few ranges that don't overlap fit into a tile that is no larger than twice
+    each. A point asks one tile for each of the sizes that its sheet has, by equality, so the work
+    grows with points and ranges and not with their product.
+    """
+    m = merges.select(*SHEET, "min_row", "max_row", "min_col", "max_col")
+    m = m.withColumns({"i": _level(F.col("max_row") - F.col("min_row") + 1), "j": _level(F.col("max_col") - F.col("min_col") + 1)})
+    sizes = m.groupBy(*SHEET).agg(F.collect_set(F.struct("i", "j")).alias("sizes"))
+    tiles = m.withColumn("tile_row", F.explode(_tiles("min_row", "max_row", "i"))).withColumn("tile_col", F.explode(_tiles("min_col", "max_col", "j")))
+    key = [*SHEET, "i", "j", "tile_row", "tile_col"]
+    spots = points.select(*SHEET, "row", "col").distinct()
+    asked = spots.join(sizes, SHEET).select(*SHEET, "row", "col", F.explode("sizes").alias("size")).select(*SHEET, "row", "col", "size.*")
+    asked = asked.withColumns({"tile_row": F.expr("shiftright(row - 1, i)"), "tile_col": F.expr("shiftright(col - 1, j)")})
+    met = asked.join(tiles, key).where(F.col("row").between(F.col("min_row"), F.col("max_row")) & F.col("col").between(F.col("min_col"), F.col("max_col")))
+    at = [*SHEET, "row", "col"]
+    if how == "left_semi":
+        return points.join(met.select(*at).distinct(), at, "left_semi").select(*[points[c] for c in points.columns])
+    m = met.select(*at, *_RANGE).alias("m")
+    return points.alias("p").join(m, [F.col(f"p.{c}") == F.col(f"m.{c}") for c in at], how)
 
 
 def merged_range_of(points: DataFrame, merges: DataFrame) -> DataFrame:
     """`points` with the range that holds them, or nulls."""
-    return _in_range(points, merges, "left").select("p.*", *[F.col(f"m.{c}") for c in ("min_row", "max_row", "min_col", "max_col")])
+    return _in_range(points, merges, "left").select("p.*", *[F.col(f"m.{c}") for c in _RANGE])
 
 
 def is_merged(points: DataFrame, merges: DataFrame) -> DataFrame:
+    """Those of `points` that a range holds."""
     return _in_range(points, merges, "left_semi")
 
 
@@ -109,7 +169,3 @@ def merged_value(points: DataFrame, cells: DataFrame, merges: DataFrame) -> Data
 
 def used_range(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*SHEET).agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
-
-
-def nth_row(order: list) -> Column:
-    return F.row_number().over(W.partitionBy(*SHEET).orderBy(*order))

@@ -1,7 +1,7 @@
 """Rows of a sheet: their kinds, and product rows from single and grouped layouts.
 
-`wide_rows` brings every row below the header together once, partitioned by sheet; windows and
-groups by sheet or row then need no further shuffle.
+`wide_rows` brings every row below the header together once. What one row passes on to those below
+it, as a section's name, is carried over runs of rows (`carried`), so no sheet is one task's work.
 """
 
 from __future__ import annotations
@@ -13,22 +13,41 @@ from pyspark.sql import Window as W
 from ..functions.lexicon import CANONICALS, DETAIL_KEYS, ECHO, ECHO_CODE, SKIP
 from ..functions.text import nonempty, norm_cell_text, strip, truthy
 from ..sources.store import settle
-from .grid import SHEET, computed
+from .grid import LAST_COL, SHEET, VALUE, band_cells, computed, outside_bands, range_rows
 
 _DETAILS = "array<struct<row_num:int,key:string,value:string>>"
 
 
-def wide_rows(cells: DataFrame, headers: DataFrame, column_map: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """One row for each sheet row below the header: c (column number to value), and a struct for each canonical name."""
+def wide_rows(cells: DataFrame, headers: DataFrame, column_map: DataFrame, max_rows: int | None = None, merges: DataFrame | None = None) -> DataFrame:
+    """One row for each sheet row below the header: c (column number to value), and a struct for each canonical name.
+
+    c has the columns that rules read by number and those that are mapped, wherever they are.
+    Where `merges` is given, `cells` are as read and the merged ranges are filled here, row by row.
+    """
     where = F.col("row") > F.col("header_row")
     if max_rows is not None:
         where &= F.col("row") <= F.col("header_row") + max_rows
     names = column_map.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "col"))).alias("cols"))
     heads = headers.select(*SHEET, "header_row").join(names, SHEET)
-    below = cells.join(heads, SHEET).where(where).where(F.col("col").between(1, 30))
-    cell = F.struct("value_str", "value_num", "value_kind")
-    rows = below.groupBy(*SHEET, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", cell))).alias("c"), F.first("cols").alias("cols"))
-    return rows.select(
+
+    def read(col: Column) -> Column:
+        return col.between(1, LAST_COL) | F.array_contains(F.map_values("cols"), col)
+
+    below = cells.join(heads, SHEET).where(where)
+    own = F.struct("col", *VALUE)
+    if merges is None:
+        rows = below.where(read(F.col("col"))).groupBy(*SHEET, "row").agg(F.collect_list(own).alias("seen"), F.first("cols").alias("cols"))
+    else:
+        bands = range_rows(cells, merges).join(heads, SHEET).where(where)
+        both = below.select(*SHEET, "row", own.alias("cell"), F.lit(None).cast(bands.schema["band"].dataType).alias("band"), "cols").unionByName(
+            bands.select(*SHEET, "row", "band", "cols"), allowMissingColumns=True,
+        )
+        rows = both.groupBy(*SHEET, "row").agg(F.collect_list("cell").alias("cells"), F.collect_list("band").alias("bands"), F.first("cols").alias("cols"))
+        free = F.filter("cells", lambda x: read(x["col"]) & outside_bands(F.col("bands"), x["col"]))
+        seen = F.when(F.size("bands") == 0, F.filter("cells", lambda x: read(x["col"]))).otherwise(F.concat(free, band_cells(F.col("bands"), read)))
+        rows = rows.withColumn("seen", seen).where(F.size("seen") > 0)
+    c = F.map_from_entries(F.transform("seen", lambda x: F.struct(x["col"], F.struct(*[x[v].alias(v) for v in VALUE]))))
+    return rows.withColumn("c", c).select(
         *SHEET,
         F.col("row").alias("row_num"),
         "c",
@@ -129,13 +148,28 @@ def classified(rows: DataFrame) -> DataFrame:
     return computed(rows, {"kind": kind})
 
 
-def _order():
-    return W.partitionBy(*SHEET).orderBy("row_num").rowsBetween(W.unboundedPreceding, W.currentRow)
+#: Sheet rows that are scanned together.
+RUN = 10_000
+
+
+def carried(rows: DataFrame, values: dict[str, Column], run: int = RUN) -> DataFrame:
+    """`rows` with each value's last non-null one at or above the row in its sheet.
 
+    Sheets are scanned in runs of `run` rows; what a run leaves behind is carried to the next
+    ones over one row for each run. So a sheet of any length spreads over tasks.
+    """
+    rows = rows.withColumn("run", F.expr(f"row_num div {run}"))
+    above = W.partitionBy(*SHEET, "run").orderBy("row_num").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*SHEET).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    left = rows.groupBy(*SHEET, "run").agg(*[F.max_by(v, F.when(v.isNotNull(), F.col("row_num"))).alias(n) for n, v in values.items()])
+    left = left.select(*SHEET, "run", *[F.last(n, ignorenulls=True).over(before).alias(f"{n}_before") for n in values])
+    rows = rows.withColumns({n: F.last(v, ignorenulls=True).over(above) for n, v in values.items()}).join(left, [*SHEET, "run"])
+    return rows.withColumns({n: F.coalesce(n, f"{n}_before") for n in values}).drop("run", *[f"{n}_before" for n in values])
 
-def fill_section(rows: DataFrame) -> DataFrame:
+
+def fill_section(rows: DataFrame, run: int = RUN) -> DataFrame:
     """`section`: the last section header above, null before the first."""
-    return rows.withColumn("section", F.last(F.when(F.col("kind") == "section", F.col("section_name")), ignorenulls=True).over(_order()))
+    return carried(rows, {"section": F.when(F.col("kind") == "section", F.col("section_name"))}, run)
 
 
 def single_rows(rows: DataFrame) -> DataFrame:
@@ -153,10 +187,13 @@ def single_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def grouped_rows(rows: DataFrame) -> DataFrame:
-    """Product rows where an item row gathers the detail rows below it; a section ends it."""
+def grouped_rows(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """Product rows where an item row gathers the detail rows below it; a section ends it.
+
+    Rows are grouped by the number of the item row above them, which is carried over runs of rows.
+    """
     rows = rows.where(F.col("kind").isin("section", "item", "detail"))
-    rows = rows.withColumn("grp", F.sum(F.col("kind").isin("section", "item").cast("int")).over(_order()))
+    rows = carried(rows, {"head_row": F.when(F.col("kind") != "detail", F.col("row_num"))}, run).where("head_row is not null")
     details = F.sort_array(
         F.collect_list(F.when(F.col("kind") == "detail", F.struct("row_num", F.col("detail.key").alias("key"), F.col("detail.value").alias("value")))),
     )
@@ -170,7 +207,7 @@ def grouped_rows(rows: DataFrame) -> DataFrame:
         ),
         "row_num",
     )
-    groups = rows.groupBy(*SHEET, "grp").agg(head.alias("h"), details.cast(_DETAILS).alias("detail_rows")).where("h.kind = 'item'")
+    groups = rows.groupBy(*SHEET, "head_row").agg(head.alias("h"), details.cast(_DETAILS).alias("detail_rows")).where("h.kind = 'item'")
     return groups.select(*SHEET, "h.row_num", "h.section", "h.item_name", "detail_rows", *[f"h.{n}" for n in CANONICALS])
 
 
@@ -180,12 +217,15 @@ def drop_repeated_headers(products: DataFrame) -> DataFrame:
     return products.where(~(norm_cell_text(F.col("doc_code")["value_str"]).isin(ECHO_CODE) & (echoes >= 2)))
 
 
-def product_rows(cells: DataFrame, headers: DataFrame, column_map: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Product rows of all sheets by their layout."""
-    rows = settle(wide_rows(cells, headers, column_map, max_rows))
-    layouts = detect_layout(rows, headers)
-    rows = settle(fill_section(classified(rows)).join(layouts, SHEET))
-    return single_rows(rows.where("layout = 'single'")).unionByName(grouped_rows(rows.where("layout = 'grouped'")))
+def product_rows(cells: DataFrame, headers: DataFrame, column_map: DataFrame, max_rows: int | None = None, merges: DataFrame | None = None) -> DataFrame:
+    """Product rows of all sheets by their layout; `merges` as in `wide_rows`."""
+    rows = settle(classified(wide_rows(cells, headers, column_map, max_rows, merges)))
+    layouts = settle(detect_layout(rows, headers))
+
+    def of(layout: str) -> DataFrame:
+        return fill_section(rows.join(layouts.where(F.col("layout") == layout).select(*SHEET), SHEET, "left_semi"))
+
+    return single_rows(of("single")).unionByName(grouped_rows(of("grouped")))
 
 
 def product_counts(products: DataFrame) -> DataFrame:
