@@ -38,12 +38,12 @@ def norm_cell_text(c: Column) -> Column:
 
 def norm_header(c: Column) -> Column:
     """A header's text with all its lines folded into one and trailing `:.-` cut off."""
-    return F.regexp_replace(fold(c), r"[:.\-]+$", "")
+    return F.rtrim(fold(c), F.lit(":.-"))
 
 
 def norm_header_first_line(c: Column) -> Column:
     """As norm_header, of the first line only."""
-    return norm_header(F.get(F.split(c, "\n"), F.lit(0)))
+    return norm_header(F.substring_index(c, "\n", 1))
 
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:

@@ -83,7 +83,7 @@ SELECT workbook_id, sheet_idx, 4 AS header_row, CASE sheet_idx % 3 WHEN 0 THEN 7
 """)
 def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1-H4: the header row of every sheet."""
-    h = headers.find_header_row(grid.fill_merged(fixtures.schedule_cells(spark, sf_dir), fixtures.schedule_merges(spark, sf_dir)))
+    h = headers.find_header_row(grid.fill_merged(_cells(spark, sf_dir), fixtures.schedule_merges(spark, sf_dir), headers.SCAN_ROWS))
     return h.select("workbook_id", "sheet_idx", "header_row", F.size("canonicals").alias("score"))
 
 
@@ -195,9 +195,9 @@ def far_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select(*grid.SHEET, "row", "col", "value_str", "min_row", "max_col")
 
 
-#: All lines in one sheet: eight rows for each order, and a section over 4096 orders.
+#: All lines in one sheet: nine rows for each order, and a section over 4096 orders.
 _LONG_SQL = """
-long AS (SELECT l_orderkey AS ok, l_linenumber AS ln, MIN(l_partkey) AS pk, MIN(CAST(l_quantity AS INT)) AS q, CAST(10 + l_orderkey * 8 + l_linenumber AS INT) AS row_num FROM lineitem GROUP BY 1, 2)
+long AS (SELECT l_orderkey AS ok, l_linenumber AS ln, MIN(l_partkey) AS pk, MIN(CAST(l_quantity AS INT)) AS q, CAST(11 + l_orderkey * 9 + l_linenumber AS INT) AS row_num FROM lineitem GROUP BY 1, 2)
 """
 
 
@@ -207,15 +207,15 @@ def _long_cells(spark: SparkSession, sf_dir: str, grouped: bool) -> DataFrame:
     order = F.col("l_orderkey")
     cell = lambda k, v, n=None: F.struct(F.lit(k).alias("col"), v.cast("string").alias("value_str"), (n if n is not None else F.lit(None)).cast("double").alias("value_num"), F.lit("str" if n is None else "int").alias("value_kind"))
     put = lambda df, row, *cells: df.select(F.lit("long").alias("workbook_id"), F.lit(0).alias("sheet_idx"), row.cast("int").alias("row"), F.explode(F.array(*cells)).alias("c")).select(*grid.SHEET, "row", "c.*")
-    at = F.lit(10) + order * 8 + F.col("l_linenumber")
+    at = F.lit(11) + order * 9 + F.col("l_linenumber")
     blocks = line.select(F.floor(order / 4096).alias("block")).distinct()
     name = F.element_at(F.lit(fixtures.SECTIONS), (F.col("block") % 4 + 1).cast("int"))
     # a section's row is one before its first order
-    sections = put(blocks, F.lit(9) + F.col("block") * 32768, cell(1, name))
+    sections = put(blocks, F.lit(10) + F.col("block") * (4096 * 9), cell(1, name))
     top = spark.range(1).select(F.lit("long").alias("workbook_id"), F.lit(0).alias("sheet_idx"), F.lit(4).alias("row"), F.posexplode(F.lit(["Code", "Image", "Location", "Label", "Details", "Qty"])).alias("k", "v"))
     top = top.select(*grid.SHEET, "row", (F.col("k") + 1).alias("col"), F.col("v").alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
     if grouped:
-        items = put(line.select("l_orderkey").distinct(), F.lit(10) + order * 8, cell(4, F.lit("Item:")), cell(5, F.concat(F.lit("Order "), order.cast("string"))))
+        items = put(line.select("l_orderkey").distinct(), F.lit(11) + order * 9, cell(4, F.lit("Item:")), cell(5, F.concat(F.lit("Order "), order.cast("string"))))
         body = items.unionByName(put(line, at, cell(4, F.lit("Maker:")), cell(5, F.concat(F.lit("M"), F.col("pk").cast("string")))))
     else:
         body = put(line, at, cell(1, F.concat(F.lit("P-"), F.col("pk").cast("string"))), cell(3, F.concat(F.lit("Room "), F.col("l_linenumber").cast("string"))), cell(6, F.col("q"), F.col("q")))
@@ -240,7 +240,7 @@ def long_sheet_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 {_LONG_SQL.strip()}
-SELECT CAST(10 + ok * 8 AS INT) AS row_num, CASE (ok // 4096) % 4 WHEN 0 THEN 'LIVING ROOM' WHEN 1 THEN 'KITCHEN' WHEN 2 THEN 'BEDROOM' ELSE 'STUDY' END AS section, 'Order ' || CAST(ok AS VARCHAR) AS item_name,
+SELECT CAST(11 + ok * 9 AS INT) AS row_num, CASE (ok // 4096) % 4 WHEN 0 THEN 'LIVING ROOM' WHEN 1 THEN 'KITCHEN' WHEN 2 THEN 'BEDROOM' ELSE 'STUDY' END AS section, 'Order ' || CAST(ok AS VARCHAR) AS item_name,
        string_agg('M' || CAST(pk AS VARCHAR), '|' ORDER BY ln) AS makers FROM long GROUP BY ok
 """)
 def long_sheet_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,16 +12,18 @@ from .grid import SHEET, computed
 
 SCAN_ROWS, SCAN_COLS, LEAST = 50, 20, 2
 #: Synonyms as they compare: a trailing stop is cut from headers too.
-_SYNONYMS = [(s.rstrip("."), canonical, k) for k, (s, canonical) in enumerate((s, c) for c, words in DETECTOR.items() for s in words)]
+_SYNONYMS = [(s.rstrip("."), canonical) for canonical, words in DETECTOR.items() for s in words]
+#: Those that can be the first within a header: no synonym before them is within them.
+_WITHIN = [s for k, (s, _) in enumerate(_SYNONYMS) if not any(t in s for t, _ in _SYNONYMS[:k])]
+_CANONICAL = {s: canonical for s, canonical in reversed(_SYNONYMS)}  # the first one stays
 
 
 def match_header(norm: Column) -> Column:
     """The canonical name of a normalised header: a synonym as it is, else the first one within it, else null."""
-    exact: dict[str, str] = {}
-    for s, canonical, _ in _SYNONYMS:
-        exact.setdefault(s, canonical)
-    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]), norm)
-    return F.when(norm != "", F.coalesce(known, *[F.when(norm.contains(s), F.lit(canonical)) for s, canonical, _ in _SYNONYMS]))
+    known = F.create_map(*[F.lit(x) for pair in _CANONICAL.items() for x in pair])
+    # a loop over the words and no chain of cases: those make methods that are too long to be compiled
+    within = F.get(F.filter(F.lit(_WITHIN), lambda word: norm.contains(word)), F.lit(0))
+    return F.when(norm != "", F.coalesce(F.try_element_at(known, norm), F.try_element_at(known, within)))
 
 
 def header_matches(cells: DataFrame, max_scan: int = SCAN_ROWS) -> DataFrame:
@@ -30,7 +32,7 @@ def header_matches(cells: DataFrame, max_scan: int = SCAN_ROWS) -> DataFrame:
         cells.where((F.col("row") <= max_scan) & (F.col("col") <= SCAN_COLS)).select(*SHEET, "row", "col", "value_str"),
         {"norm": norm_header_first_line(F.col("value_str"))},
     )
-    return top.select(*SHEET, "row", "col", match_header(F.col("norm")).alias("canonical")).where("canonical is not null")
+    return computed(top.select(*SHEET, "row", "col", "norm"), {"canonical": match_header(F.col("norm"))}).drop("norm").where("canonical is not null")
 
 
 def score_header_rows(cells: DataFrame, max_scan: int = SCAN_ROWS) -> DataFrame:
