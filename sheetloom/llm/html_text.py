@@ -1,15 +1,18 @@
 """Operator 8: main text of web pages by the distribution of line blocks.
 
-Markup is stripped into lines, one for each block of the page. Lines inside chrome (navigation,
-forms, adverts, comments and the like) weigh nothing, links weigh nothing, other text weighs its
-length. The weights are summed over sliding windows of lines: text begins where the sum surges
-above a threshold, and ends where it dives to nothing, at the last line that weighed something.
-What lies between is kept, but for chrome.
+Markup is stripped into lines, one for each block of the page. A line weighs its length, and the
+weights are summed over sliding windows of lines: text begins at the first line of weight in a window
+whose sum surges above a threshold, and ends at the last one before the sum dives below a lower
+one. What lies between is kept, but for chrome.
+
+What tags, names and the line itself say changes weights and nothing else. Lines inside chrome
+(navigation, forms, adverts, comments and the like), links, labels and copyright lines weigh
+nothing. A line in a part that the page marks as its main one weighs a surge at least; the others then weigh the
+less, the more of the text that part holds: (1 - share) ** FADE of their length. A title or a short sentence weighs just
+enough to belong to text that it stands beside; a short line in a paragraph counts as a sentence.
 
 Tags say what is chrome for sure. Names of classes are weaker evidence: only whole names count,
-and an element that holds half of the page's text is a wrapper, whatever its name. If a page
-marks its main part and that part isn't a small piece of the text, lines in it weigh their whole
-length and any other line nothing, so that the sums find that part.
+and an element that holds half of the page's text is a wrapper, whatever its name.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; a surge needs this sum, or a quarter of the highest one if that is less.
-WINDOW, SURGE = 3, 80
-#: Share of a page's text that makes a named element a wrapper; least share of a marked main part.
-WRAPPER, MARKED = 0.5, 0.2
+#: Lines in a window; a surge needs this sum, or a quarter of the highest one if that is less; below DIVE the text ends.
+WINDOW, SURGE, DIVE = 3, 80, 20
+#: Least weight of a text's first and last line; a line shorter than this is a label unless it is or ends as a sentence.
+LINE, LABEL = 10, 40
+#: Share of a page's text that makes a named element a wrapper; how fast other lines lose weight against a marked main part.
+WRAPPER, FADE = 0.5, 3
 
 #: A tag: no `<` outside quotes. Without a match, a tag with a stray quote. Both read each character once.
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -55,6 +60,8 @@ _AFTER = frozenset(
 )
 _HEADS = frozenset(("header", "footer"))
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_SENTENCE = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
+_RIGHTS = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _SPLIT = re.compile(r"[-_:0-9]+")
 
@@ -82,6 +89,8 @@ class Line:
     chrome: bool  # for sure
     named: tuple[int, ...]  # elements around it whose names say chrome
     main: bool  # in a marked main part
+    title: bool  # a first-level heading
+    paragraph: bool  # in a paragraph, or in no block at all
 
 
 class Page:
@@ -91,7 +100,7 @@ class Page:
         self.lines: list[Line] = []
         self.stack: list[tuple[str, bool, bool, int]] = []  # name, chrome, main, number among the named or -1
         self.opened: Counter = Counter()
-        self.chrome = self.main = self.links = self.linked = 0
+        self.chrome = self.main = self.links = self.linked = self.titles = 0
         self.suspects: list[int] = []
         self.comments: list[bool] = []  # for each named element
         self.holds_title: list[bool] = []
@@ -150,7 +159,7 @@ class Page:
             # white space in a reference is text of its own until it is decoded
             text = " ".join(html.unescape("".join(self.buffer)).split())
             if text:
-                self.lines.append(Line(text, self.linked, self.chrome > 0, tuple(self.suspects), self.main > 0))
+                self.lines.append(Line(text, self.linked, self.chrome > 0, tuple(self.suspects), self.main > 0, self.titles > 0, self.opened["p"] > 0 or not self.stack))
             self.buffer, self.linked = [], 0
 
     def _open(self, name: str, attributes: str) -> None:
@@ -183,6 +192,7 @@ class Page:
                 self.suspects.append(number)
             self.stack.append((name, chrome, main, number))
             self.opened[name] += 1
+            self.titles += name == "h1"
             self.chrome += chrome
             self.main += main
 
@@ -196,6 +206,7 @@ class Page:
         while True:
             top, chrome, main, number = self.stack.pop()
             self.opened[top] -= 1
+            self.titles -= top == "h1"
             self.chrome -= chrome
             self.main -= main
             if number >= 0:
@@ -204,15 +215,50 @@ class Page:
                 return
 
     def wrappers(self) -> set[int]:
-        """Named elements that hold the page's text after all."""
-        held: Counter = Counter()
-        total = 0
+        """Named elements that hold the page's text after all, and some of its main part if it marks one."""
+        held, main = Counter(), Counter()
+        total = marked = 0
         for x in self.lines:
             if not x.chrome:
-                total += len(x.text)
+                total, marked = total + len(x.text), marked + x.main
                 for k in x.named:
                     held[k] += len(x.text)
-        return {k for k, n in held.items() if n >= WRAPPER * total and (self.holds_title[k] or not self.comments[k])}
+                    main[k] += x.main
+        return {k for k, n in held.items() if n >= WRAPPER * total and (self.holds_title[k] or not self.comments[k]) and (main[k] or not marked)}
+
+
+def weights(lines: list[Line], chrome: list[bool]) -> list[float]:
+    """The weight of each line."""
+    total = sum(len(x.text) for x, c in zip(lines, chrome, strict=True) if not c)
+    share = sum(len(x.text) for x, c in zip(lines, chrome, strict=True) if x.main and not c) / max(1, total)
+
+    def weight(x: Line) -> float:
+        if x.main:
+            return max(len(x.text), SURGE)
+        free, sentence = len(x.text) - x.linked, x.paragraph or _SENTENCE.search(x.text)
+        if free <= 0 or _RIGHTS.search(x.text) or len(x.text) < LABEL and not sentence and not x.title:
+            return 0
+        if x.title:
+            return max(free * (1 - share) ** FADE, LINE)
+        return max(free, LINE if sentence and not x.linked else 0) * (1 - share) ** FADE
+
+    return [0 if c else weight(x) for x, c in zip(lines, chrome, strict=True)]
+
+
+def stretches(weights: list[float]) -> list[tuple[int, int]]:
+    """(first, last) lines of the text between each surge of the windows' sums and the dive after it."""
+    sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
+    least = min(SURGE, max(sums, default=0) / 4)
+    heavy = lambda a, b: [k for k in range(a, min(b, len(weights))) if weights[k] >= LINE]
+    out: list[tuple[int, int]] = []
+    begin = None
+    for k, s in enumerate(sums):
+        if begin is None and s and s >= least:
+            begin = next(iter(heavy(k, k + WINDOW)), None)
+        if begin is not None and (s < min(DIVE, least) or k == len(sums) - 1):
+            out.append((begin, max(heavy(begin, k + WINDOW - 1), default=begin)))
+            begin = None
+    return out
 
 
 def extract(page: str) -> str:
@@ -220,27 +266,11 @@ def extract(page: str) -> str:
     found = Page(page)
     wrappers = found.wrappers()
     chrome = [x.chrome or not wrappers.issuperset(x.named) for x in found.lines]
-    size = [0 if c else len(x.text) for x, c in zip(found.lines, chrome, strict=True)]
-    in_main = sum(n for x, n in zip(found.lines, size, strict=True) if x.main)
-    marked = in_main > 0 and in_main >= MARKED * sum(size)
+    weight = weights(found.lines, chrome)
     # runs of chrome count as one line, so that adverts inside the text don't end it
-    rows = [k for k in range(len(size)) if not (chrome[k] and k and chrome[k - 1])]
-    weights = [(size[k] if found.lines[k].main else 0) if marked else max(0, size[k] - found.lines[k].linked) for k in rows]
-    sums = [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
-    least = 0 if marked else min(SURGE, max(sums, default=0) / 4)
-    kept: list[int] = []
-    begin = last = None
-    for k, weight in enumerate(weights):
-        if begin is None:
-            if sums[k] > least and weight:  # surge
-                begin = last = k
-        elif weight:
-            last = k
-        if begin is not None and (not sums[k] or k == len(weights) - 1):  # dive
-            kept += rows[begin : last + 1]
-            begin = None
-    keep = [k for k in kept if not chrome[k] and (not marked or found.lines[k].main)]
-    return "\n".join(found.lines[k].text for k in keep)
+    rows = [k for k in range(len(chrome)) if not (chrome[k] and k and chrome[k - 1])]
+    kept = [k for a, b in stretches([weight[k] for k in rows]) for k in rows[a : b + 1]]
+    return "\n".join(found.lines[k].text for k in kept if not chrome[k])
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -309,6 +309,12 @@ WORDS = ("word text here " * 12).strip()
         (f"{P}<p>last <b", f"{WORDS}\nlast"),
         ("<nav>only</nav>", ""),
         ("plain words", "plain words"),
+        (f"<div>Home</div><div>About</div><div>Jobs</div><div>Contact</div>{P}{P}<p>The end.</p>", f"{WORDS}\n{WORDS}\nThe end."),
+        (f"{P}{P}<div>Copyright 2024 Example Inc. All rights reserved.</div>", f"{WORDS}\n{WORDS}"),
+        (f"{P}{P}<div>Contact us at the office</div>", f"{WORDS}\n{WORDS}"),
+        (f"<div>Home</div><div><h1>A title</h1></div><article>{P}<p>x</p></article><div>Our other pages</div><p>We use cookies.</p>", f"A title\n{WORDS}\nx"),
+        (f"<main><p>Teaser.</p></main>{P}{P}{P}", f"Teaser.\n{WORDS}\n{WORDS}\n{WORDS}"),
+        (f'<article><h1>T</h1><p>u</p></article><div class="ad">{P}</div>', "T\nu"),
         ("", ""),
     ],
 )
@@ -316,6 +322,44 @@ def test_main_text_of_pages(page, text):
     assert html_text.extract(page) == text
 
 
+def plain_stretches(weights, window=3, surge=80, dive=20, line=10):
+    """Text by the sums, worked out for each line on its own."""
+    sums = [sum(weights[k : k + window]) for k in range(len(weights))]
+    least = min(surge, max(sums, default=0) / 4)
+    kept, k = [], 0
+    while k < len(sums):
+        if not sums[k] or sums[k] < least:
+            k += 1
+            continue
+        first = min((j for j in range(k, min(k + window, len(weights))) if weights[j] >= line), default=None)
+        if first is None:
+            k += 1
+            continue
+        end = k
+        while end < len(sums) - 1 and sums[end] >= min(dive, least):
+            end += 1
+        last = [j for j in range(first, min(end + window - 1, len(weights))) if weights[j] >= line]
+        kept.append((first, max(last, default=first)))
+        k = end + 1
+    return kept
+
+
+def test_windows_match_a_plain_version():
+    r = random.Random(12)
+    for _ in range(3000):
+        weights = [r.choice([0, 0, 3, 9, 10, 15, 40, 80, 300]) for _ in range(r.randrange(0, 25))]
+        assert html_text.stretches(weights) == plain_stretches(weights), weights
+
+
+def test_the_windows_decide(monkeypatch):
+    """With windows of one line, text around a title and short lines between long ones are lost, on marked and unmarked pages."""
+    pages = (f"<div><h1>A title</h1></div><article>{P}</article>", f"{P}<div>1</div><div>2</div>{P}")
+    with_windows = [html_text.extract(p) for p in pages]
+    assert with_windows == [f"A title\n{WORDS}", f"{WORDS}\n1\n2\n{WORDS}"]
+    monkeypatch.setattr(html_text, "WINDOW", 1)
+    assert all(html_text.extract(p) != t for p, t in zip(pages, with_windows, strict=True))
+
+
 def test_broken_markup_takes_linear_time():
     for piece in ("<a ", '<a "', "<svg>", "<!--", "<![CDATA[", "<script>", "<noscript>", "</", "<", "<a x='\"<b ", "<p>", "<div class=ad>"):
         t = time.time()
