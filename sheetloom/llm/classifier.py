@@ -168,7 +168,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     document labelled more than once counts with its highest label; null labels and labels
     without a document are ignored. Null and empty texts are scored like others, with all counts
     0, and very long ones are read whole; repeated rows get one result each; a null id is never
-    held out. An empty table gives no rows.
+    held out. Other columns are ignored; an empty table gives no rows.
     """
     found = settle(features(docs))
     known = labels.select(

@@ -4,7 +4,8 @@ Every document is searched for the word n-grams of the test items. A first pass
 documents that hold each n-gram; the rare ones are seeds, and one that survives the editing of a
 copy is enough to find it. An n-gram isn't rare if it is in more than RARE_SHARE of all documents
 (and in more than RARE); an item that would be left with seeds for less than half of its
-n-grams, as one that leaked everywhere, keeps all of them. A second pass joins seeds: items that
+n-grams, as one that leaked everywhere, keeps all of them. So a copy is lost only if all n-grams
+it keeps are common ones; with `rare=None` all n-grams are seeds and none is. A second pass joins seeds: items that
 have too few words in common with the document to reach the limit are passed over; around the
 seeds of the others, Smith-Waterman alignment of words scores the passage against the item.
 """
@@ -25,8 +26,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LIMIT = 0.5
 #: An n-gram in so many documents is rare in any case, and so is one in this share of them.
 RARE, RARE_SHARE = 1000, 0.001
-#: Items whose n-grams are sent to all tasks at once; more are done in further rounds of so many.
-ITEM_BLOCK = 20_000
+#: Words of items that are sent to all tasks at once, about; more are done in further rounds of so many.
+ITEM_WORDS = 1 << 20
 
 
 def items_table(benchmark: DataFrame) -> DataFrame:
@@ -157,24 +158,26 @@ def passages(text: np.ndarray, hits: np.ndarray, at: np.ndarray, index: Index, l
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, limit: float = LIMIT, rare: int | None = RARE, item_words: int = ITEM_WORDS) -> DataFrame:
     """doc_id, item_id, score, begin, end: each document and item it holds a copy of.
 
     score is the alignment's share of a perfect copy's score, at least `limit`; begin and end
     are words of the document. Words compare with A-Z lower-cased. Rows of null doc_id or
     item_id are left out, null and empty texts hold nothing; items of fewer than three words use
     their whole sequence as a seed. A copy that keeps no three words in a row has no seed and is
-    not found. A row that is repeated gives its pairs once. Either table
+    not found, nor one that keeps only n-grams that aren't seeds by `rare` (None: all are). A row that is
+    repeated gives its pairs once. Very long texts are read whole. Other columns are ignored; either table
     empty: no rows.
     """
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = settle(items_table(benchmark))
-    blocks = -(-items.count() // ITEM_BLOCK)
+    blocks = -(-items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] // item_words)
+    most = None if rare is None else max(rare, RARE_SHARE * plain.count()) if blocks else 0
     out = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "words").collect()  # bounded by the block
         if part:
-            part = _block(plain, part, limit)
+            part = _block(plain, part, limit, most)
             out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, begin int, end int")
@@ -195,14 +198,15 @@ def gram_counts(plain: DataFrame, table) -> DataFrame:
     return found.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _block(plain: DataFrame, rows: list, limit: float) -> DataFrame:
-    """The copies of the items in `rows`, at most about ITEM_BLOCK."""
+def _block(plain: DataFrame, rows: list, limit: float, most: float | None) -> DataFrame:
+    """The copies of the items in `rows`; n-grams in more than `most` documents aren't seeds, if it is given."""
     sc = plain.sparkSession.sparkContext
     index = Index([r["item_id"] for r in rows], [r["words"] for r in rows], [r["grams"] for r in rows])
-    counts = gram_counts(plain, sc.broadcast(index)).toPandas()  # at most the n-grams of the block
-    documents = np.zeros(len(index.grams), np.int64)
-    documents[counts["gram"]] = counts["n"]
-    index.seeded(documents, max(RARE, RARE_SHARE * plain.count()))
+    if most is not None:
+        counts = gram_counts(plain, sc.broadcast(index)).toPandas()  # at most the n-grams of the block
+        documents = np.zeros(len(index.grams), np.int64)
+        documents[counts["gram"]] = counts["n"]
+        index.seeded(documents, most)
     table = sc.broadcast(index)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())])
 

@@ -139,7 +139,8 @@ def mix(docs: DataFrame) -> DataFrame:
     Sources weigh 5, 2, 1 in turn by code point, null last, and share 150 % of all words; a
     source gets at most twice its words. taken counts repeats. One row for each input row;
     repeated rows are mixed one by one. Documents without words take nothing, a source without
-    words has target 0, an empty table gives no rows. Reruns agree.
+    words has target 0, an empty table gives no rows. A very long text is spread over the blocks
+    that it covers. Other columns are ignored. Reruns agree.
     """
     found = settle(sized(docs))
     sources = settle(plan(found.groupBy("source").agg(F.sum("size").alias("source_size"))))

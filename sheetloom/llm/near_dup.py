@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingles (A-Z lower-cased; fewer words: the whole sequence as one). Null and empty texts have
     empty sets and no links. One result for each input row; rows that share a doc_id are one
     node, with the links of each of them, and rows without doc_id link with nothing. A very long
-    text has a sketch like any other and is read whole. An empty table gives no rows.
+    text has a sketch like any other and is read whole. Other columns are ignored; an empty table
+    gives no rows.
     """
     found = settle(sketches(docs).withColumn("node", F.xxhash64("doc_id", "fp")))
     known = found.where("fp is not null and doc_id is not null")
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = settle(lists.join(hubs, "value"))
     ids = settle(lists.select("doc_id").distinct())
     sets = settle(
-        full_sets(docs.join(ids.select(F.col("doc_id").alias("listed")), docs["doc_id"].cast("long") == F.col("listed"), "left_semi")).distinct(),
+        full_sets(_plain(docs).join(ids, "doc_id", "left_semi")).distinct(),
     )
     stars = lists.where(
         (F.col("doc_id") != F.col("hub.doc_id")) & fit(F.col("n"), F.col("hub.n")),

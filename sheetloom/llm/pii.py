@@ -120,7 +120,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Personal data of every text: doc_id, counts by kind, digest of the base spans, all spans.
 
     One row for each input row, repeated rows included. A null or empty text has no spans, and
-    base_sha256 is then that of the empty string. Other columns are ignored.
+    base_sha256 is then that of the empty string. Very long texts are read whole. Other columns are
+    ignored; an empty table gives no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(

@@ -144,7 +144,7 @@ def cutoffs(good: DataFrame, alpha: float, delta: float) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """A verdict for every document: the metrics, base_failed, kept.
+    """A verdict for every document: the metrics, base_failed, kept. Columns but doc_id, text and lang are ignored.
 
     With probability 1 - delta, no stratum loses more than `alpha` of its good documents that
     pass the base rules to all other rules taken together. A stratum with too few labels gets no cutoff and only

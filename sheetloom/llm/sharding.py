@@ -102,7 +102,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     is larger. Equal texts share a shard; only a group that is larger than a shard spreads over
     several. Null texts count as empty, null ids come first; repeated rows are placed one by one
     (equal rows may swap slots between themselves). A very long text is a large group of its own.
-    An empty table gives no rows. grown_shard is null: the law isn't `key`.
+    Other columns are ignored; an empty table gives no rows. grown_shard is null: the law isn't `key`.
     """
     keyed = settle(_keyed(docs))
     sums = keyed.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()

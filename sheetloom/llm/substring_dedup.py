@@ -37,8 +37,8 @@ SEED = WINDOW - PERIOD + 1
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
 #: Hashes that a task gathers before it sends them.
 RUN = 1 << 19
-#: Bits of a text's reference. Two texts that share one get each other's hashes, which match neither.
-REF_BITS = 48
+#: Bits of a text's reference. Of two texts that share one, a window that both hold counts as one text's: so all 64 are used.
+REF_BITS = 64
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     same = F.xxhash64("text")
     return plain.select(
-        same.bitwiseAND(F.lit((1 << REF_BITS) - 1)).alias("ref"),
+        F.shiftrightunsigned(same, 64 - REF_BITS).alias("ref"),
         same.alias("same"),
         F.xxhash64(F.lit("again"), "text").alias("same2"),
         "doc_id",
@@ -112,21 +112,22 @@ def hash_rows(texts: DataFrame, make: Callable[[Words, pa.RecordBatch], tuple[np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, done = 0, np.zeros(0, np.int64)
+        size, done = 0, np.zeros(0, np.uint64)
         for batch in batches:
-            refs = batch.column(batch.schema.get_field_index("ref")).to_numpy()
+            refs, same, same2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("ref", "same", "same2"))
+            texts_of = mix(same.view(np.uint64)) ^ same2.view(np.uint64)  # texts are told by two hashes, not by references
             for at, end, data, offsets in chunks(batch.column(batch.schema.get_field_index("text"))):
-                own = refs[at:end]
+                own, whole = refs[at:end], texts_of[at:end]
                 of, h = make(Words(data, offsets), batch.slice(at, end - at))
                 fresh = np.zeros(len(own), bool)
-                fresh[np.unique(own, return_index=True)[1]] = True
-                use = (fresh & ~np.isin(own, done))[of]
+                fresh[np.unique(whole, return_index=True)[1]] = True
+                use = (fresh & ~np.isin(whole, done))[of]
                 held.append((own[of[use]], h[use]))
-                done = np.concatenate([done, own[fresh]])
+                done = np.concatenate([done, whole[fresh]])
                 size += int(use.sum())
                 if size >= RUN or len(done) >= RUN:
                     yield pa.RecordBatch.from_arrays(_combined(*(np.concatenate(x) for x in zip(*held, strict=True))), schema=schema)
-                    held, size, done = [], 0, np.zeros(0, np.int64)
+                    held, size, done = [], 0, np.zeros(0, np.uint64)
         if size:
             yield pa.RecordBatch.from_arrays(_combined(*(np.concatenate(x) for x in zip(*held, strict=True))), schema=schema)
 
@@ -183,7 +184,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """
     plain = _texts(docs)
     last = "kept_text" if texts else "kept_sha256"
-    hot = repeated(hash_rows(plain.select("ref", "text"), lambda words, _: seeds(words)[::2]))
+    hot = repeated(hash_rows(plain.select("ref", "same", "same2", "text"), lambda words, _: seeds(words)[::2]))
     near = plain.join(hot.groupBy("ref").agg(F.collect_list("h").alias("hot")), "ref").select("ref", "same", "same2", "doc_id", "text", "hot")
     spots = repeated(hash_rows(near, lambda words, batch: near_windows(words, batch.column(5))))
     copies = plain.groupBy("ref", "same", "same2").agg(F.count("*").alias("n")).where("n > 1")

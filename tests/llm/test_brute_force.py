@@ -435,6 +435,35 @@ def test_decontamination_matches_full_alignment(spark):
     assert not got
 
 
+def test_seeds_that_are_rare_find_edited_copies(spark):
+    """Items half of whose n-grams stand in every document: rare seeds find nearly all edited copies, all seeds find all of them."""
+    r = random.Random(21)
+    word = lambda: f"u{r.randrange(10**6)}"
+    common = [word() for _ in range(15)]
+    items = [common + [word() for _ in range(25)] for _ in range(30)]
+    docs, copies = [], {}
+    for k in range(300):
+        t = [word() for _ in range(40)] + common + [word() for _ in range(40)]
+        if k % 3 == 0:
+            j = r.randrange(len(items))
+            part = items[j][:]
+            for i in r.sample(range(len(part)), 6):
+                part[i] = word()
+            copies[k, j] = best_alignment(items[j], t[:20] + part + t[20:]) / (2 * len(items[j]))
+            t[20:20] = part
+        docs.append(t)
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    wanted = {p for p, score in copies.items() if score >= 0.5}
+    found = {rare: {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(d, b, rare=rare, item_words=400).collect()} for rare in (60, None)}
+    assert len(wanted) > 60 and wanted <= found[None]
+    assert len(wanted & found[60]) >= 0.9 * len(wanted)
+    assert found[60] <= found[None]
+    index = decontaminate.Index([1, 2], [np.arange(8), np.arange(8) + 4], [np.arange(6), np.arange(6) + 4])
+    index.seeded(np.array([9, 1, 1, 1, 9, 9, 1, 1, 1, 1]), 5)
+    assert [int(g) for g in range(10) if index.at[g] < index.at[g + 1]] == [1, 2, 3, 6, 7, 8, 9]
+
+
 # --- sharding ---------------------------------------------------------------------------------------------------------
 
 

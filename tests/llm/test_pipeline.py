@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheetloom.llm import quality_rules
+from sheetloom.llm import block_max, classifier, decontaminate, mixing, near_dup, periodic_runs, pii, quality_rules, secrets, sharding, simhash, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -144,3 +145,41 @@ def test_stages_on_empty_tables(spark, tmp_path):
     some = spark.createDataFrame([(1, text(1), "en", "a", 5), (None, text(2), None, None, None)], DOCS + ", n_chars long")
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, some, str(tmp_path)).count() == 2
+
+
+#: Names that stages and operators use for columns of their own.
+OWN = ["row", "doc", "row_of_stage", "gone", "good", "row_taken", "n_taken", "copy_taken", "id", "n", "listed", "node", "fp", "component", "stratum", "step", "block", "size", "taken", "target", "h", "score", "begin", "col"]
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    docs = spark.createDataFrame([(k, text(k), "en", "a", *[f"{n}{k}" for n in OWN]) for k in range(12)], DOCS + "".join(f", {n} string" for n in OWN))
+    for name, make in corpus_pipeline.STAGES[:-1]:
+        got = make(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in OWN), name
+    assert corpus_pipeline.shards(spark, docs, folder).count() == 12
+
+
+def test_operators_ignore_columns_of_any_name(spark, folder):
+    plain = spark.createDataFrame([(k, text(k // 2), "en", "a") for k in range(12)], DOCS)
+    more = plain.select("*", *[F.lit(1).alias(n) for n in OWN])
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    for f in (
+        pii.find_pii,
+        lambda d: quality_rules.judge(d, labels),
+        mixing.mix,
+        near_dup.near_duplicates,
+        secrets.find_secrets,
+        substring_dedup.remove_repeats,
+        lambda d: classifier.classify(d, labels),
+        lambda d: decontaminate.contaminated(d, bench),
+        sharding.shard,
+        simhash.simhash_duplicates,
+        lambda d: periodic_runs.periodic_runs(periodic_runs.with_periods(d)),
+        lambda d: block_max.rank_documents(d, bench),
+    ):
+        a, b = f(plain), f(more)
+        assert a.columns == b.columns
+        assert sorted(map(str, a.drop("slot", "text_crc32").collect())) == sorted(map(str, b.drop("slot", "text_crc32").collect()))
