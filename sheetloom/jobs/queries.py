@@ -357,8 +357,8 @@ FROM (SELECT workbook_id, sheet_idx, CAST(MIN(rn) + 4 AS INT) AS row_num, MIN(CA
 def grouped_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 on the grouped layout, with K10: details below an item become its fields."""
     cells = settle(_grouped_cells(spark, sf_dir))
-    none = fixtures.schedule_merges(spark, sf_dir).where("1 = 0")
-    return parse_products(cells, none).select(*grid.SHEET, "row_num", "product_name", "brand", "finish", "product_details", "qty", "seq")
+    beside = fixtures.schedule_merges(spark, sf_dir).withColumns({"min_col": F.lit(41), "max_col": F.lit(47)})  # merged ranges that no rule reads
+    return parse_products(cells, beside).select(*grid.SHEET, "row_num", "product_name", "brand", "finish", "product_details", "qty", "seq")
 
 
 @query(f"""
@@ -471,18 +471,20 @@ c AS (SELECT DISTINCT workbook_id, pk FROM lines WHERE rf <> 'N')
 SELECT workbook_id, CAST(COUNT(*) AS BIGINT) AS truth_codes, CAST(COUNT(CASE WHEN pk % 3 <> 0 THEN 1 END) AS BIGINT) AS found, COUNT(CASE WHEN pk % 3 <> 0 THEN 1 END) / COUNT(*) AS overlap, COUNT(CASE WHEN pk % 3 <> 0 THEN 1 END) / COUNT(*) >= 0.7 AS passes FROM c GROUP BY 1
 """)
 def code_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q2."""
+    """Q2: a third of the codes are read wrongly."""
     p = _products(spark, sf_dir)
-    return quality.code_overlap(p, p.where("pk % 3 <> 0"))
+    wrong = F.when(F.col("pk") % 3 == 0, F.concat(F.lit("misread "), F.col("doc_code"))).otherwise(F.col("doc_code"))
+    return quality.code_overlap(p, p.withColumn("doc_code", wrong))
 
 
 @query("""
-SELECT workbook_id, CAST(COUNT(*) AS BIGINT) AS expected, CAST(COUNT(CASE WHEN pk % 5 <> 0 THEN 1 END) AS BIGINT) AS parsed, COUNT(CASE WHEN pk % 5 <> 0 THEN 1 END) BETWEEN floor(COUNT(*) * 0.8::DOUBLE) AND ceil(COUNT(*) * 1.2::DOUBLE) AS in_band FROM lines GROUP BY 1
+SELECT workbook_id, CAST(COUNT(*) AS BIGINT) AS expected, CAST(COUNT(*) + COUNT(CASE WHEN pk % 5 = 0 THEN 1 END) AS BIGINT) AS parsed, COUNT(*) + COUNT(CASE WHEN pk % 5 = 0 THEN 1 END) BETWEEN floor(COUNT(*) * 0.8::DOUBLE) AND ceil(COUNT(*) * 1.2::DOUBLE) AS in_band FROM lines GROUP BY 1
 """)
 def count_in_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3."""
+    """Q3: a fifth of the products are read twice."""
     p = _products(spark, sf_dir)
-    return quality.count_in_band(p, p.where("pk % 5 <> 0"))
+    twice = p.withColumn("time", F.explode(F.when(F.col("pk") % 5 == 0, F.lit([1, 2])).otherwise(F.lit([1])))).drop("time")
+    return quality.count_in_band(p, twice)
 
 
 @query("""
