@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime
 import io
+import itertools
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.products import FIELDS
+from .store import settle
 
 CELLS = "workbook_id string, sheet_idx int, row int, col int, value_str string, value_num double, value_kind string"
 LEAST_BYTES = 100
@@ -53,12 +57,16 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _place(ref: str) -> tuple[int, int]:
-    letters, row = re.fullmatch(r"\$?([A-Z]+)\$?([0-9]+)", ref).groups()
+def _column(letters: str) -> int:
     col = 0
     for ch in letters:
         col = col * 26 + ord(ch) - 64
-    return int(row), col
+    return col
+
+
+def _place(ref: str) -> tuple[int, int]:
+    letters, row = re.fullmatch(r"\$?([A-Z]+)\$?([0-9]+)", ref).groups()
+    return int(row), _column(letters)
 
 
 #: Numbers of the built-in formats that show dates or times.
@@ -85,12 +93,63 @@ def _moment(days: float, since_1904: bool) -> str:
     return str(first + datetime.timedelta(milliseconds=round(days * 86_400_000)))
 
 
-def _cell_value(c: ElementTree.Element, shared: list[str], dates: frozenset[int] = frozenset(), since_1904: bool = False) -> tuple | None:
-    kind, v, f = c.get("t", "n"), c.find(f"{_MAIN}v"), c.find(f"{_MAIN}f")
-    if f is not None and f.text:
-        return f"={f.text}", None, "str"
+#: What a formula holds that doesn't move: texts, quoted names, brackets; then a cell, whole columns, whole rows.
+_IN_FORMULA = re.compile(
+    r"""("(?:[^"]|"")*"|'(?:[^']|'')*'|\[[^\]]*\])"""
+    r"""|(?<![\w.$])(?:(\$?[A-Za-z]{1,3})(\$?[0-9]+)|(\$?[A-Za-z]{1,3}):(\$?[A-Za-z]{1,3})|(\$?[0-9]+):(\$?[0-9]+))(?![\w.(!])""",
+)
+
+
+def moved_formula(formula: str, down: int, right: int) -> str:
+    """`formula` as it reads so many rows below and columns beside its own cell; what leaves the sheet is `#REF!`."""
+
+    def col(said: str) -> str | None:
+        if said.startswith("$"):
+            return said
+        n, letters = _column(said.upper()) + right, ""
+        if n < 1:
+            return None
+        while n:
+            n, k = divmod(n - 1, 26)
+            letters = chr(65 + k) + letters
+        return letters
+
+    def row(said: str) -> str | None:
+        if said.startswith("$"):
+            return said
+        return str(n) if (n := int(said) + down) > 0 else None
+
+    def one(m: re.Match) -> str:
+        if m[1]:
+            return m[1]
+        parts, between = ((col(m[2]), row(m[3])), "") if m[2] else ((col(m[4]), col(m[5])), ":") if m[4] else ((row(m[6]), row(m[7])), ":")
+        return "#REF!" if None in parts else between.join(parts)
+
+    return _IN_FORMULA.sub(one, formula)
+
+
+def _text(el: ElementTree.Element | None) -> str:
+    """The text of a string and of its runs; how it is pronounced (phonetic runs) isn't part of it."""
+    runs = [] if el is None else [t for x in el for t in ([x] if x.tag == f"{_MAIN}t" else x.findall(f"{_MAIN}t") if x.tag == f"{_MAIN}r" else [])]
+    return "".join(t.text or "" for t in runs)
+
+
+def _formula(f: ElementTree.Element, row: int, col: int, masters: dict[str, tuple]) -> str | None:
+    """A formula; a cell that shares one gets its first cell's, moved. None if there is none to show."""
+    if f.get("t") == "shared":
+        if at := masters.get(f.get("si")):
+            return moved_formula(at[0], row - at[1], col - at[2])
+        if f.text:
+            masters[f.get("si")] = (f"={f.text}", row, col)
+    return f"={f.text}" if f.text else None
+
+
+def _cell_value(c: ElementTree.Element, shared: list[str], dates: frozenset[int], since_1904: bool, formula: str | None) -> tuple | None:
+    kind, v = c.get("t", "n"), c.find(f"{_MAIN}v")
+    if formula:
+        return formula, None, "str"
     if kind == "inlineStr":
-        return "".join(t.text or "" for t in c.iter(f"{_MAIN}t")), None, "str"
+        return _text(c.find(f"{_MAIN}is")), None, "str"
     if v is None or v.text is None:
         return None
     if kind == "s":
@@ -105,62 +164,146 @@ def _cell_value(c: ElementTree.Element, shared: list[str], dates: frozenset[int]
     return (str(int(n)), n, "int") if re.fullmatch(r"-?[0-9]+", v.text) else (str(n), n, "float")
 
 
-def decode_xlsx(workbook_id: str, filename: str, content: bytes) -> Iterator[dict]:
-    """Records of one workbook: sheets, merges, cells."""
-    base = {"workbook_id": workbook_id, "filename": filename}
+#: One sheet of a workbook with what it takes to read it: its part and the texts' part, as packed in the file.
+_PARTS = "workbook_id string, filename string, sheet_idx int, sheet_name string, is_active boolean, since_1904 boolean, dates array<int>, sheet binary, sheet_packed boolean, sheet_crc long, texts binary, texts_packed boolean, texts_crc long, error string, detail string"
+_TYPES |= {"binary": pa.binary(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+_PARTS_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in _PARTS.split(", "))])
+#: Bytes unpacked at once.
+UNPACKED_AT_ONCE = 1 << 20
+
+
+def _packed(z: zipfile.ZipFile, content: bytes, name: str) -> tuple[bytes, bool, int]:
+    """A part as it lies in the file, if it is packed, and its checksum."""
+    about = z.getinfo(name)
+    if about.flag_bits & 1 or about.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"{name} is encrypted or packed in an unknown way")
+    at = about.header_offset
+    start = at + 30 + sum(struct.unpack("<HH", content[at + 26 : at + 30]))
+    return content[start : start + about.compress_size], about.compress_type == zipfile.ZIP_DEFLATED, about.CRC
+
+
+def _unpacked(data: bytes, packed: bool, crc: int) -> Iterator[bytes]:
+    engine, found = zlib.decompressobj(-15) if packed else None, 0
+    for at in range(0, len(data), UNPACKED_AT_ONCE):
+        rest = data[at : at + UNPACKED_AT_ONCE]
+        while rest:
+            chunk, rest = (engine.decompress(rest, UNPACKED_AT_ONCE), engine.unconsumed_tail) if engine else (rest, b"")
+            found = zlib.crc32(chunk, found)
+            if chunk:
+                yield chunk
+    if engine and (chunk := engine.flush()):
+        found = zlib.crc32(chunk, found)
+        yield chunk
+    if found != crc:
+        raise zipfile.BadZipFile("a part's checksum is wrong")
+
+
+def _elements(chunks: Iterator[bytes], *tags: str) -> Iterator[ElementTree.Element]:
+    """The elements of these tags as they end; each is forgotten before the next."""
+    parser, around = ElementTree.XMLPullParser(("start", "end")), []
+    for chunk in itertools.chain(chunks, (None,)):
+        parser.close() if chunk is None else parser.feed(chunk)
+        for event, el in parser.read_events():
+            if event == "start":
+                around.append(el)
+                continue
+            around.pop()
+            if el.tag in tags:
+                yield el
+                around[-1].clear()
+
+
+def sheet_parts(workbook_id: str, filename: str, content: bytes) -> list[dict]:
+    """A row for each sheet of one workbook, with its part still packed."""
     z = zipfile.ZipFile(io.BytesIO(content))
     book = ElementTree.fromstring(z.read("xl/workbook.xml"))
     links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    shared = [
-        "".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
-    ] if "xl/sharedStrings.xml" in z.namelist() else []
-    dates, about = _date_styles(z), book.find(f"{_MAIN}workbookPr")
-    since_1904 = about is not None and about.get("date1904") in ("1", "true")
+    texts = _packed(z, content, "xl/sharedStrings.xml") if "xl/sharedStrings.xml" in z.namelist() else (None, False, 0)
+    dates, about = sorted(_date_styles(z)), book.find(f"{_MAIN}workbookPr")
     view = book.find(f"{_MAIN}bookViews/{_MAIN}workbookView")
     active = int(view.get("activeTab", 0)) if view is not None else 0
+    base = {"workbook_id": workbook_id, "filename": filename, "dates": dates, "since_1904": about is not None and about.get("date1904") in ("1", "true")}
+    base |= dict(zip(("texts", "texts_packed", "texts_crc"), texts, strict=True))
+    made = []
     for k, s in enumerate(book.iter(f"{_MAIN}sheet")):
-        yield base | {"record_type": "sheet", "sheet_idx": k, "sheet_name": s.get("name"), "is_active": k == active}
         target = links[s.get(_LINK)].lstrip("/")
-        root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-        for m in root.iter(f"{_MAIN}mergeCell"):
-            (r0, c0), *end = map(_place, m.get("ref").split(":"))
+        part = _packed(z, content, target if target.startswith("xl/") else f"xl/{target}")
+        made.append(base | {"sheet_idx": k, "sheet_name": s.get("name"), "is_active": k == active} | dict(zip(("sheet", "sheet_packed", "sheet_crc"), part, strict=True)))
+    return made
+
+
+def sheet_records(part: dict) -> Iterator[dict]:
+    """Records of one row of `sheet_parts`: the sheet, its cells, its merges. A cell or row that names no place follows the one before."""
+    base = {k: part[k] for k in ("workbook_id", "filename", "sheet_idx")}
+    yield base | {"record_type": "sheet", "sheet_name": part["sheet_name"], "is_active": part["is_active"]}
+    texts = _unpacked(part["texts"], part["texts_packed"], part["texts_crc"]) if part["texts"] is not None else None
+    shared = [_text(si) for si in _elements(texts, f"{_MAIN}si")] if texts else []
+    dates, masters, row = frozenset(part["dates"]), {}, 0
+    for el in _elements(_unpacked(part["sheet"], part["sheet_packed"], part["sheet_crc"]), f"{_MAIN}row", f"{_MAIN}mergeCell"):
+        if el.tag == f"{_MAIN}mergeCell":
+            (r0, c0), *end = map(_place, el.get("ref").split(":"))
             r1, c1 = end[0] if end else (r0, c0)
-            yield base | {"record_type": "merge", "sheet_idx": k, "row": r0, "col": c0, "max_row": r1, "max_col": c1}
-        for c in root.iter(f"{_MAIN}c"):
-            if value := _cell_value(c, shared, dates, since_1904):
-                row, col = _place(c.get("r"))
-                yield base | {"record_type": "cell", "sheet_idx": k, "row": row, "col": col} | dict(
-                    zip(("value_str", "value_num", "value_kind"), value, strict=True),
-                )
+            yield base | {"record_type": "merge", "row": r0, "col": c0, "max_row": r1, "max_col": c1}
+            continue
+        row, col = int(el.get("r", row + 1)), 0
+        for c in el.iterfind(f"{_MAIN}c"):
+            row, col = _place(c.get("r")) if c.get("r") else (row, col + 1)
+            f = c.find(f"{_MAIN}f")
+            formula = None if f is None else _formula(f, row, col, masters)
+            if value := _cell_value(c, shared, dates, part["since_1904"], formula):
+                yield base | {"record_type": "cell", "row": row, "col": col} | dict(zip(("value_str", "value_num", "value_kind"), value, strict=True))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def _failed(row: dict, e: Exception) -> dict:
+    return {"error": "Failed to read workbook", "detail": f"{type(e).__name__}: {e}"[:500]} | {k: row.get(k) for k in ("workbook_id", "filename", "sheet_idx")}
 
 
 def read_workbooks(files: DataFrame) -> DataFrame:
     """Tagged records of `files` (workbook_id, filename, content); a file that fails gives an error record.
 
-    A workbook is one compressed file, so one task decodes it; its records are held until the
-    last of them is read, as a file that breaks off gives its error alone.
+    Each file is opened once and dealt as its sheets, still packed; a task reads a sheet as a
+    stream and holds a row, a batch of records and the workbook's shared texts. The records are
+    written as they are read. A file of which any sheet breaks off gives one error (its first
+    sheet's) and nothing else: a second pass over the written records leaves its others out.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                wid, name = row["workbook_id"], row["filename"]
+    def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            try:
+                made = sheet_parts(row["workbook_id"], row["filename"], row["content"])
+            except Exception as e:  # noqa: BLE001  any broken file is a row of errors, not a lost job
+                made = [_failed(row, e)]
+            for one in made:
+                yield pa.RecordBatch.from_pylist([one], schema=_PARTS_ARROW)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _rows(batches):
+            records, held = iter(()) if part["error"] else sheet_records(part), []
+            failed = {k: part[k] for k in ("workbook_id", "filename", "error", "detail")} if part["error"] else None
+            while failed is None:
                 try:
-                    records = list(decode_xlsx(wid, name, row["content"]))
-                except Exception as e:  # noqa: BLE001  any broken file is a row of errors, not a lost job
-                    records = [
-                        {
-                            "record_type": "error",
-                            "workbook_id": wid,
-                            "filename": name,
-                            "error": "Failed to read workbook",
-                            "detail": f"{type(e).__name__}: {e}"[:500],
-                        },
-                    ]
-                for at in range(0, len(records), RECORDS_AT_ONCE):
-                    yield pa.RecordBatch.from_pylist(records[at : at + RECORDS_AT_ONCE], schema=_ARROW)
-
-    return files.select("workbook_id", "filename", "content").mapInArrow(run, _RECORDS)
+                    held = list(itertools.islice(records, RECORDS_AT_ONCE))
+                except Exception as e:  # noqa: BLE001
+                    failed = _failed(part, e)
+                    break
+                if not held:
+                    break
+                yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+            if failed:
+                yield pa.RecordBatch.from_pylist([failed | {"record_type": "error"}], schema=_ARROW)
+
+    parts = files.select("workbook_id", "filename", "content").mapInArrow(sheets, _PARTS)
+    found = settle(parts.repartition("workbook_id", "sheet_idx").mapInArrow(read, _RECORDS))
+    wrong = found.where("record_type = 'error'")
+    first = settle(wrong.groupBy("workbook_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "workbook_id"]), F.coalesce("sheet_idx", F.lit(-1))).alias("e")))
+    errors = first.select("workbook_id", "e.*").withColumn("sheet_idx", F.lit(None).cast("int"))
+    return found.where("record_type <> 'error'").join(first.select("workbook_id"), "workbook_id", "left_anti").unionByName(errors)
 
 
 def split_records(records: DataFrame) -> dict[str, DataFrame]:
