@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,23 +55,54 @@ def match_partial(words: DataFrame) -> DataFrame:
     return best
 
 
-def fuzzy_ratio(text: str, threshold: float = FUZZY_THRESHOLD) -> str | None:
-    """The canonical name of the most alike synonym, if alike enough; the first of equals."""
-    best, found = 0.0, None
-    for s, canonical in LOOKUP.items():
-        m = SequenceMatcher(None, text, s)
-        if m.real_quick_ratio() > best and m.quick_ratio() > best and (r := m.ratio()) > best:
-            best, found = r, canonical
-    return found if best >= threshold else None
+def _letters(word: str, places: dict[str, int]) -> np.ndarray:
+    """How often each known letter stands in `word`."""
+    found = np.zeros(len(places), dtype=np.int32)
+    for ch in word:
+        if (k := places.get(ch)) is not None:
+            found[k] += 1
+    return found
+
+
+#: Letters of the synonyms, and each synonym's counts of them and its length.
+_PLACES = {ch: k for k, ch in enumerate(sorted(set("".join(LOOKUP))))}
+_COUNTS = np.stack([_letters(s, _PLACES) for s in LOOKUP])
+_LENGTHS = np.array([len(s) for s in LOOKUP])
+
+
+def likeness_bounds(texts: list[str]) -> np.ndarray:
+    """No less than the likeness of each text (row) to each synonym (column): the letters they share, in any order."""
+    counts = np.stack([_letters(t, _PLACES) for t in texts])
+    shared = np.stack([np.minimum(counts, s).sum(axis=1) for s in _COUNTS], axis=1)
+    return 2.0 * shared / (np.array([len(t) for t in texts])[:, None] + _LENGTHS)
+
+
+def fuzzy_ratios(texts: list[str], threshold: float = FUZZY_THRESHOLD) -> list[str | None]:
+    """The canonical name of each text's most alike synonym, if alike enough; the first of equals.
+
+    Only synonyms whose bound reaches the threshold are compared, those of highest bound first,
+    until no bound reaches the best likeness found.
+    """
+    names, made = list(LOOKUP.items()), []
+    for text, bounds in zip(texts, likeness_bounds(texts) if texts else (), strict=True):
+        best, found = (0.0, 0), None
+        for k in sorted(np.flatnonzero((bounds >= threshold) & (bounds > 0)), key=lambda k: (-bounds[k], k)):
+            if bounds[k] < best[0]:
+                break
+            r = (SequenceMatcher(None, text, names[k][0]).ratio(), -int(k))
+            if r[0] > 0 and (found is None or r > best):
+                best, found = r, names[k][1]
+        made.append(found if best[0] >= threshold else None)
+    return made
 
 
 def match_fuzzy(words: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """Ratcliff-Obershelp likeness, over distinct headers only."""
+    """Ratcliff-Obershelp likeness, over distinct headers only; shared letters bound it for all synonyms at once."""
 
     @F.pandas_udf("string")
     def alike(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b.map(lambda t: fuzzy_ratio(t, threshold))
+            yield pd.Series(fuzzy_ratios(b.tolist(), threshold), dtype=object)
 
     return words.select("norm", alike("norm").alias("canonical")).where("canonical is not null")
 
