@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kv, text, units
+from ..sources import intake
 from ..sources.store import settle
 from ..operators import columns, grid, headers, naming, products, quality, rows
 from . import fixtures
@@ -687,6 +688,33 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+good AS (SELECT * FROM lines WHERE sup % 10 <> 0)
+SELECT workbook_id, 'cell' AS record_type, 'Line ' || CAST(sh AS VARCHAR) AS sheet_name, row_num AS row, 1 AS col, p_name AS value_str, CAST(NULL AS DOUBLE) AS value_num, 'str' AS value_kind FROM good
+UNION ALL SELECT workbook_id, 'cell', 'Line ' || CAST(sh AS VARCHAR), row_num, 2, CAST(q AS VARCHAR), CAST(q AS DOUBLE), 'int' FROM good
+UNION ALL SELECT workbook_id, 'cell', 'Line ' || CAST(sh AS VARCHAR), row_num, 3, '=B' || CAST(row_num AS VARCHAR) || '*2', NULL, 'str' FROM good
+UNION ALL SELECT DISTINCT workbook_id, 'merge', 'Line ' || CAST(sh AS VARCHAR), 1, 1, NULL, CAST(NULL AS DOUBLE), NULL FROM good
+UNION ALL SELECT DISTINCT workbook_id, 'error', NULL, NULL, NULL, NULL, CAST(NULL AS DOUBLE), NULL FROM lines WHERE sup % 10 = 0
+""")
+def workbook_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed workbooks of all lines, triaged and read by sheet; every tenth file is cut off."""
+    files = fixtures.workbook_files(spark, sf_dir)
+    files = files.withColumns({"path": F.concat(F.lit("/in/"), "filename"), "length": F.length("content")})
+    ok = intake.triage_files(files.drop("workbook_id", "filename")).where("status = 'ok'")
+    records = intake.read_workbooks(ok)
+    tabs = records.where("record_type = 'sheet'").select("workbook_id", "sheet_idx", F.col("sheet_name").alias("tab"))
+    return records.where("record_type <> 'sheet'").join(tabs, ["workbook_id", "sheet_idx"], "left").select(
+        F.regexp_extract("workbook_id", r"([0-9]+)\.xlsx$", 1).alias("workbook_id"),
+        "record_type",
+        F.col("tab").alias("sheet_name"),
+        "row",
+        "col",
+        "value_str",
+        "value_num",
+        "value_kind",
+    )
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
