@@ -9,6 +9,7 @@ from ..functions import kv, text, units
 from ..sources import intake
 from ..sources.store import settle
 from ..operators import columns, grid, headers, naming, products, quality, rows
+from ..operators.texts import by_text
 from . import fixtures
 from .fixtures import BASE_SQL
 from .schedules import parse_products
@@ -370,20 +371,26 @@ FROM lines
 """)
 def kv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1-K9: pairs of text blocks."""
-    t = grid.computed(
-        fixtures.texts(fixtures.lines(spark, sf_dir)),
-        {"kv": kv.parse_kv(F.col("specs")), "maker": kv.parse_kv(F.col("manufacturer")), "lines": kv.line_pairs(F.col("specs"))},
-    )
-    t = t.where(F.size("kv") > 0)
-    return t.select(
+    t = fixtures.texts(fixtures.lines(spark, sf_dir)).select(*grid.SHEET, "row_num", "specs", "manufacturer")
+
+    def specs(found: DataFrame) -> DataFrame:
+        of = grid.computed(found, {"kv": kv.parse_kv(F.col("text")), "lines": kv.line_pairs(F.col("text"))})
+        told = {"pairs": kv.format_kv(F.col("kv")), "plain": F.array_join(kv.plain_of(F.col("lines")), "/"), "n_multi": F.size(kv.multi_of(F.col("lines")))}
+        return of.withColumns(told).drop("lines")
+
+    def makers(found: DataFrame) -> DataFrame:
+        return grid.computed(found, {"kv": kv.parse_kv(F.col("text"))})
+
+    t = by_text(settle(t), {"s": ("specs", specs), "m": ("manufacturer", makers)}, [*grid.SHEET, "row_num"])
+    return t.where(F.size("s.kv") > 0).select(
         *grid.SHEET,
         "row_num",
-        kv.format_kv(F.col("kv")).alias("pairs"),
-        kv.kv_get(F.col("kv"), "SURFACE", "FINISH").alias("finish"),
-        F.size("kv").alias("n_pairs"),
-        F.array_join(kv.plain_of(F.col("lines")), "/").alias("plain"),
-        kv.kv_get(kv.merge_kv(F.col("kv"), F.col("maker")), "NAME").alias("merged_name"),
-        F.size(kv.multi_of(F.col("lines"))).alias("n_multi"),
+        "s.pairs",
+        kv.kv_get(F.col("s.kv"), "SURFACE", "FINISH").alias("finish"),
+        F.size("s.kv").alias("n_pairs"),
+        "s.plain",
+        kv.kv_get(kv.merge_kv(F.col("s.kv"), F.col("m.kv")), "NAME").alias("merged_name"),
+        "s.n_multi",
     )
 
 
