@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kv, text, units
 from ..sources import intake
-from ..sources.store import settle
+from ..sources.store import place, settle
 from ..operators import columns, grid, headers, naming, products, quality, rows
 from ..operators.texts import by_text
 from . import fixtures
@@ -722,6 +722,24 @@ def workbook_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+named AS (SELECT workbook_id, MAX(CASE WHEN sheet_idx = 1 THEN 'Supplier ' || workbook_id || ' Finish Schedule' ELSE 'supplier ' || workbook_id END) FILTER (WHERE sheet_idx = 1 OR first > 1) AS schedule_name
+          FROM (SELECT workbook_id, sheet_idx, MIN(sheet_idx) OVER (PARTITION BY workbook_id) AS first FROM lines) GROUP BY 1)
+SELECT workbook_id, schedule_name, CAST(row_number() OVER (PARTITION BY workbook_id ORDER BY sheet_idx, row_num) AS INT) AS seq,
+       CASE WHEN rf <> 'N' THEN 'P-' || CAST(pk AS VARCHAR) END AS doc_code, p_name AS product_name, CASE WHEN pk % 4 <> 0 THEN p_brand END AS brand, ' ' AS finish, q AS qty, p_size AS width, CAST(q AS DOUBLE) AS rrp
+FROM lines JOIN named USING (workbook_id)
+""")
+def product_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document for every 250 products of a workbook, written piece by piece and read back."""
+    made = products.ordered_products(settle(_products(spark, sf_dir)))
+    made = made.withColumns({f: F.lit(None).cast("string") for f in products.FIELDS if f not in made.columns})
+    names = naming.schedule_name(_cells(spark, sf_dir), fixtures.schedule_sheets(spark, sf_dir))
+    path = place(spark)
+    intake.write_products(made, path, names, split=250)
+    seq = (F.col("part") * 250 + F.col("seq")).alias("seq")
+    return intake.read_products(spark, path).select("workbook_id", "schedule_name", seq, "doc_code", "product_name", "brand", "finish", "qty", "width", "rrp")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators.products import FIELDS
 from .store import settle
@@ -327,12 +328,44 @@ def nested_products(products: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def write_products(products: DataFrame, path: str, names: DataFrame | None = None) -> None:
-    """The flat table as Parquet; with `names`, one JSON document for each workbook."""
+def document_lines(products: DataFrame, names: DataFrame, split: int | None = None) -> DataFrame:
+    """text: the pieces of one JSON document for each workbook, in order within partitions: a head, each product, an end.
+
+    No product list is ever held: pieces are shuffled and sorted by workbook and seq, and a task
+    passes them on one by one. A workbook of the one table that the other lacks has a document too, without products or without
+    a name; of several names the greatest counts, a null seq goes first and repeated ones stay. With `split`, a document
+    has the products of that many seqs and tells its part (from 0) and how many there are, so that a workbook of any size spreads over tasks.
+    """
+    part = F.expr(f"(greatest(seq, 1) - 1) div {split}").cast("int") if split else F.lit(0)
+    made = products.select("workbook_id", part.alias("part"), F.lit(1).alias("kind"), "seq", F.to_json(F.struct(*FIELDS)).alias("text"))
+    none = F.lit(None)
+    known = names.select("workbook_id", F.col("schedule_name").cast("string").alias("name"), F.lit(0).alias("part"))
+    known = known.unionByName(made.select("workbook_id", none.cast("string").alias("name"), "part"))
+    known = known.groupBy("workbook_id").agg(F.max("name").alias("schedule_name"), (F.max("part") + 1).alias("parts"))
+    known = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    head = F.to_json(F.struct("workbook_id", "schedule_name", *(["part", "parts"] if split else [])))
+    opened = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.when(head == "{}", "").otherwise(","), F.lit('"products":['))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("kind"), opened.alias("text")), F.struct(F.lit(2).alias("kind"), F.lit("]}\n").alias("text"))))
+    around = known.select("workbook_id", "part", ends.alias("end"), none.cast("int").alias("seq")).select("workbook_id", "part", "end.kind", "seq", "end.text")
+    order = ["workbook_id", "part", "kind", "seq"]
+    follows = F.lag("kind").over(W.partitionBy("workbook_id", "part").orderBy("kind", "seq")) == 1
+    pieces = made.unionByName(around).withColumn("text", F.when(follows & (F.col("kind") == 1), F.concat(F.lit(","), "text")).otherwise(F.col("text")))
+    return pieces.sortWithinPartitions(*order).select("text")
+
+
+def write_products(products: DataFrame, path: str, names: DataFrame | None = None, split: int | None = None) -> None:
+    """The flat table as Parquet; with `names`, one JSON document a line for each workbook (or part of one), as in `document_lines`."""
     if names is None:
         products.write.mode("overwrite").parquet(path)
-    else:
-        nested_products(products, names).write.mode("overwrite").json(path)
+    else:  # pieces are parted by a blank, as JSON allows; a document is never cut between files
+        document_lines(products, names, split).write.mode("overwrite").option("lineSep", " ").option("maxRecordsPerFile", 0).text(path)
+
+
+def read_products(spark: SparkSession, path: str) -> DataFrame:
+    """workbook_id, schedule_name, seq (from 1, in each document) and the fields of written documents; a workbook without products has one row of nulls."""
+    t = spark.read.schema(f"workbook_id string, schedule_name string, part int, parts int, products array<struct<{_PRODUCT}>>").json(path)
+    t = t.select("workbook_id", "schedule_name", "part", F.posexplode_outer("products").alias("at", "p"))
+    return t.select("workbook_id", "schedule_name", "part", (F.col("at") + 1).alias("seq"), *[f"p.{f}" for f in FIELDS])
 
 
 def error_rows(triaged: DataFrame) -> DataFrame:

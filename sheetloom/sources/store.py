@@ -30,6 +30,13 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="sheetloom-")
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there stays until `release` or the end of the driver."""
+    path = f"{folder(spark)}/settled-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back.
 
@@ -37,8 +44,7 @@ def settle(df: DataFrame) -> DataFrame:
     files stay until `release` or the end of the driver.
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/settled-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = place(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,3 +1,6 @@
+import json
+import random
+
 from books import xlsx
 
 from sheetloom.operators import grid
@@ -125,3 +128,49 @@ def test_dates_and_one_cell_merges(spark):
         5: ("61", "int"),
     }
     assert sorted((r["min_col"], r["max_col"]) for r in parts["merges"].collect()) == [(1, 1), (2, 3)]
+
+
+def _made(spark, rows):
+    kinds = {f: "int" if f in ("width", "length", "height", "qty") else "double" if f == "rrp" else "string" for f in intake.FIELDS}
+    full = [{"workbook_id": w, "seq": n, **dict.fromkeys(intake.FIELDS), "doc_code": c} for w, n, c in rows]
+    return spark.createDataFrame(full, "workbook_id string, seq int, " + ", ".join(f"{f} {k}" for f, k in kinds.items()))
+
+
+def _documents(folder):
+    """What the files hold, each line parsed by itself."""
+    lines = [x for f in sorted(folder.glob("part-*")) for x in f.read_text().split("\n") if x.strip()]
+    return [json.loads(x) for x in lines]
+
+
+def test_documents_are_written_piece_by_piece(spark, tmp_path):
+    odd = 'a "quoted"} ]\n, text\u2028 of \U0001f600'
+    rows = [("w", n, f"c{n}") for n in range(1, 501)] + [("odd", 1, odd), ("no name", 1, "x"), (None, 1, "null"), ("twice", 1, "b"), ("twice", 1, "b"), ("gap", 7, "g")]
+    random.Random(1).shuffle(rows)
+    names = spark.createDataFrame([("w", "Name}"), ("odd", odd), ("empty", "None"), (None, None), ("twice", "A"), ("twice", "B"), ("gap", None)], "workbook_id string, schedule_name string")
+    made = _made(spark, rows)
+    intake.write_products(made, f"{tmp_path}/one", names)
+    got = _documents(tmp_path / "one")
+    assert len(got) == 7 == len({d.get("workbook_id") for d in got})
+    by = {d.get("workbook_id"): (d.get("schedule_name"), [p["doc_code"] for p in d["products"]]) for d in got}
+    assert by.pop("w") == ("Name}", [f"c{n}" for n in range(1, 501)])
+    assert by == {"odd": (odd, [odd]), "no name": (None, ["x"]), "empty": ("None", []), None: (None, ["null"]), "twice": ("B", ["b", "b"]), "gap": (None, ["g"])}
+    back = intake.read_products(spark, f"{tmp_path}/one")
+    assert back.count() == 507 and back.where("workbook_id = 'empty'").first()["doc_code"] is None
+    assert [r["seq"] for r in back.where("workbook_id = 'w'").orderBy("seq").collect()] == list(range(1, 501))
+
+
+def test_documents_in_parts(spark, tmp_path):
+    made = _made(spark, [("w", n, f"c{n}") for n in range(1, 251)] + [("v", 1, "x")])
+    names = spark.createDataFrame([("w", "N"), ("none", "M")], "workbook_id string, schedule_name string")
+    intake.write_products(made, f"{tmp_path}/parts", names, split=100)
+    got = {(d["workbook_id"], d["part"]): (d["parts"], [p["doc_code"] for p in d["products"]]) for d in _documents(tmp_path / "parts")}
+    want = {("w", k): (3, [f"c{n}" for n in range(100 * k + 1, min(250, 100 * k + 100) + 1)]) for k in range(3)}
+    assert got == want | {("v", 0): (1, ["x"]), ("none", 0): (1, [])}
+
+
+def test_no_product_list_in_the_plan_of_documents(spark):
+    names = spark.createDataFrame([("w", "N")], "workbook_id string, schedule_name string")
+    lines = intake.document_lines(_made(spark, [("w", 1, "a")]), names)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+    assert intake.document_lines(_made(spark, []).limit(0), names.limit(0)).count() == 0
