@@ -722,6 +722,37 @@ def workbook_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _messy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with headers in row 4, 9 or 10; in each section the third row repeats the headers, the seventh is a total and the eleventh blank."""
+    cells = fixtures.schedule_cells(spark, sf_dir)
+    place = F.when(F.col("row") > fixtures.HEADER_ROW, F.pmod(F.col("row") - fixtures.HEADER_ROW - 1, F.lit(fixtures.PER_SECTION + 1))).otherwise(0)
+    cells = settle(cells.withColumn("place", place))
+    spots = cells.where("place in (3, 7)").select(*grid.SHEET, "row", "place").distinct()
+    words = F.element_at(F.lit(fixtures.HEADERS), (F.pmod("sheet_idx", F.lit(3)) + 1).cast("int"))
+    words = F.when(F.col("place") == 3, words).otherwise(F.array(F.lit("Sub Total")))
+    told = spots.select(*grid.SHEET, "row", F.posexplode(words).alias("k", "value_str"))
+    told = told.select(*grid.SHEET, "row", (F.col("k") + 1).alias("col"), "value_str", F.lit(None).cast("double").alias("value_num"), F.lit("str").alias("value_kind"))
+    blank = F.col("place") == 11
+    own = cells.where("place <> 3 and not (place = 7 and col = 1)").withColumns(
+        {"value_str": F.when(blank, F.lit("  ")).otherwise(F.col("value_str")), "value_num": F.when(~blank, F.col("value_num")), "value_kind": F.when(blank, F.lit("str")).otherwise(F.col("value_kind"))}
+    ).drop("place")
+    moved = F.element_at(F.array(F.lit(0), F.lit(5), F.lit(6)), (F.pmod("sheet_idx", F.lit(3)) + 1).cast("int"))
+    return own.unionByName(told).withColumn("row", F.when(F.col("row") >= fixtures.HEADER_ROW, F.col("row") + moved).otherwise(F.col("row")))
+
+
+@query(f"""
+spots AS (SELECT *, (rn - 1) % 19 + 1 AS place, CASE sh % 3 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 6 END AS moved FROM lines)
+SELECT workbook_id, sheet_idx, CAST(4 + moved AS INT) AS header_row, CAST(row_num + moved AS INT) AS row_num, {_SECTION} AS section, CASE WHEN place = 3 THEN 'Code:' ELSE {_CODE} END AS doc_code
+FROM spots WHERE place NOT IN (7, 11) AND (place <> 3 OR sh % 3 = 1)
+""")
+def messy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers in other rows, again below, totals and blank rows; `Code:` with its colon repeats no header."""
+    cells = settle(_messy_cells(spark, sf_dir))
+    h = settle(headers.find_header_row(cells))
+    r = rows.drop_repeated_headers(rows.product_rows(cells, h, columns.map_columns(cells, h)))
+    return r.join(h.select(*grid.SHEET, "header_row"), grid.SHEET).select(*grid.SHEET, "header_row", "row_num", "section", F.col("doc_code.value_str").alias("doc_code"))
+
+
 @query("""
 named AS (SELECT workbook_id, MAX(CASE WHEN sheet_idx = 1 THEN 'Supplier ' || workbook_id || ' Finish Schedule' ELSE 'supplier ' || workbook_id END) FILTER (WHERE sheet_idx = 1 OR first > 1) AS schedule_name
           FROM (SELECT workbook_id, sheet_idx, MIN(sheet_idx) OVER (PARTITION BY workbook_id) AS first FROM lines) GROUP BY 1)
