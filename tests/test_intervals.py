@@ -168,3 +168,16 @@ def test_prices_names_images_and_references(spark):
     refs = {"=Items!A6": ("Items", "A", "6"), "= '[1]Cover Sheet'!$AB$12": ("Cover Sheet", "AB", "12"), "=[2]Items!b3": ("Items", "b", "3"), "=A1": None, "=Items!A1+1": None, "=Items!A1:B2": None, "=x!y!A1": None, "='it''s'!A1": None, "Items!A6": None}
     got = spark.createDataFrame([(v,) for v in refs], "x string").select("x", naming.reference_parts(F.col("x")).alias("r")).collect()
     assert {x.x: tuple(x.r) if x.r else None for x in got} == refs
+
+
+def test_packed_grids_stay_off_the_driver(spark, tmp_path):
+    """A grid that is small on disk has many rows in memory: joins with it, and with as many ranges, shuffle it."""
+    spark.range(200_000).selectExpr("'b' workbook_id", "0 sheet_idx", "cast(id + 1 as int) row", "1 col", "'x' value_str", "cast(null as double) value_num", "'str' value_kind").write.parquet(f"{tmp_path}/c")
+    c = spark.read.parquet(f"{tmp_path}/c")
+    spark.range(200_000).selectExpr("'b' workbook_id", "0 sheet_idx", "cast(id + 1 as int) min_row", "cast(id + 1 as int) max_row", "1 min_col", "3 max_col").write.parquet(f"{tmp_path}/m")
+    m = spark.read.parquet(f"{tmp_path}/m")
+    points = c.select(*grid.SHEET, "row", F.lit(2).alias("col"))
+    for made, n in ((grid.merged_value(points, c, m), 200_000), (grid.is_merged(points, m), 200_000), (grid.is_merged_topleft(points, m), 0), (grid.range_rows(c, m), 200_000)):
+        assert made.count() == n
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "row" in line], plan
