@@ -1,0 +1,25 @@
+"""Headers told from matches that fill merged ranges, against headers of filled grids."""
+
+from pyspark.sql import functions as F
+
+from sheetloom.operators import columns, grid, headers
+
+CELL = "workbook_id string, sheet_idx int, row int, col int, value_str string, value_num double, value_kind string"
+AREA = "workbook_id string, sheet_idx int, min_row int, max_row int, min_col int, max_col int"
+
+
+def test_matches_fill_ranges(spark):
+    """Ranges that spread, hide or repeat header words give the headers and columns of the filled grid, open-ended ones too."""
+    texts = {
+        0: {(2, 1): "Spec  Code", (2, 2): "Qty", (2, 3): "Room", (4, 1): "code", (4, 2): "plain"},
+        1: {(3, 1): "Kode ref", (3, 2): "hidden price", (5, 1): "SKU", (5, 4): "Unit Cost\nper m", (6, 2): "qty"},
+        2: {(1, 1): "Item\t Name", (1, 2): "Location", (7, 3): "Supplier:.-", (7, 1): "Specs", (9, 1): "x"},
+    }
+    c = spark.createDataFrame([("b", s, r, k, v, None, "str") for s, of in texts.items() for (r, k), v in of.items()], CELL)
+    m = spark.createDataFrame([("b", 0, 2, 4, 3, 4), ("b", 1, 3, 3, 1, 2), ("b", 1, 5, 8, 4, 5), ("b", 2, 1, 1_048_576, 2, 2), ("b", 2, 7, 7, 3, 16_384)], AREA)
+    filled = grid.fill_merged(c, m, headers.SCAN_ROWS)
+    want = {tuple(r) for r in headers.find_header_row(filled).select(*grid.SHEET, "header_row", F.concat_ws(",", "canonicals")).collect()}
+    h = headers.find_header_row(c, merges=m)
+    assert {tuple(r) for r in h.select(*grid.SHEET, "header_row", F.concat_ws(",", "canonicals")).collect()} == want and want
+    cols = lambda df: {tuple(r) for r in df.select(*grid.SHEET, "canonical", "col").collect()}
+    assert cols(columns.map_columns(c, h, merges=m)) == cols(columns.map_columns(filled, h))
