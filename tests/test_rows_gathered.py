@@ -20,10 +20,15 @@ def _read(spark, body):
     return c, h, settle(columns.map_columns(c, h))
 
 
+def _shuffles(df):
+    return re.findall(r"hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
 def test_rows_are_shuffled_by_runs_alone(spark):
-    filled = rows.fill_section(rows.classified(rows.wide_rows(*_read(spark, [(5, 1, "KITCHEN"), (6, 1, "P-1")]))))
-    shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", filled._jdf.queryExecution().executedPlan().toString())
+    wide = rows.wide_rows(*_read(spark, [(5, 1, "KITCHEN"), (6, 1, "P-1")]))
+    shuffles = _shuffles(wide)
     assert shuffles and not [s for s in shuffles if re.search(r"\brow(_num)?#", s)]
+    assert len(_shuffles(rows._in_runs(rows.classified(wide), rows._section()))) == len(shuffles)
 
 
 def test_labels_with_blanks_and_items_beside_details(spark):
