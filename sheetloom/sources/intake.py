@@ -24,6 +24,8 @@ CELLS = "workbook_id string, sheet_idx int, row int, col int, value_str string,
 LEAST_BYTES = 100
 #: Records in one Arrow batch.
 RECORDS_AT_ONCE = 65_536
+#: Bytes of records and number of sheets that are put together in one batch; a larger one is a batch of its own.
+RECORD_BYTES, PARTS_AT_ONCE = 16 << 20, 1_000
 
 
 def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -101,32 +103,56 @@ _IN_FORMULA = re.compile(
 )
 
 
-def moved_formula(formula: str, down: int, right: int) -> str:
-    """`formula` as it reads so many rows below and columns beside its own cell; what leaves the sheet is `#REF!`."""
+def _letters(n: int) -> str:
+    made = ""
+    while n:
+        n, k = divmod(n - 1, 26)
+        made = chr(65 + k) + made
+    return made
+
+
+#: One end of a reference: the text to show, or the number that moves and whether it is a column's.
+_End = tuple[str | None, int, bool]
+
+
+def _end(said: str, is_col: bool) -> _End:
+    return (said, 0, is_col) if said.startswith("$") else (None, _column(said.upper()) if is_col else int(said), is_col)
 
-    def col(said: str) -> str | None:
-        if said.startswith("$"):
-            return said
-        n, letters = _column(said.upper()) + right, ""
-        if n < 1:
-            return None
-        while n:
-            n, k = divmod(n - 1, 26)
-            letters = chr(65 + k) + letters
-        return letters
-
-    def row(said: str) -> str | None:
-        if said.startswith("$"):
-            return said
-        return str(n) if (n := int(said) + down) > 0 else None
-
-    def one(m: re.Match) -> str:
+
+def formula_parts(formula: str) -> list[str | tuple[str, _End, _End]]:
+    """A formula as texts that stay and references (what stands between their ends, both ends)."""
+    parts, at = [], 0
+    for m in _IN_FORMULA.finditer(formula):
         if m[1]:
-            return m[1]
-        parts, between = ((col(m[2]), row(m[3])), "") if m[2] else ((col(m[4]), col(m[5])), ":") if m[4] else ((row(m[6]), row(m[7])), ":")
-        return "#REF!" if None in parts else between.join(parts)
+            continue
+        parts.append(formula[at : m.start()])
+        ends = ("", _end(m[2], True), _end(m[3], False)) if m[2] else (":", _end(m[4], True), _end(m[5], True)) if m[4] else (":", _end(m[6], False), _end(m[7], False))
+        parts.append(ends)
+        at = m.end()
+    return [*parts, formula[at:]]
+
 
-    return _IN_FORMULA.sub(one, formula)
+def moved_parts(parts: list[str | tuple[str, _End, _End]], down: int, right: int) -> str:
+    """The formula of `formula_parts` as it reads so many rows below and columns beside its own cell; what leaves the sheet is `#REF!`."""
+    made = []
+    for part in parts:
+        if isinstance(part, str):
+            made.append(part)
+            continue
+        between, *ends = part
+        shown = []
+        for said, n, is_col in ends:
+            if said is None:
+                n += right if is_col else down
+                said = None if n < 1 else _letters(n) if is_col else str(n)
+            shown.append(said)
+        made.append("#REF!" if None in shown else between.join(shown))
+    return "".join(made)
+
+
+def moved_formula(formula: str, down: int, right: int) -> str:
+    """`formula` as it reads so many rows below and columns beside its own cell; what leaves the sheet is `#REF!`."""
+    return moved_parts(formula_parts(formula), down, right)
 
 
 def _text(el: ElementTree.Element | None) -> str:
@@ -139,18 +165,22 @@ def _formula(f: ElementTree.Element, row: int, col: int, masters: dict[str, tupl
     """A formula; a cell that shares one gets its first cell's, moved. None if there is none to show."""
     if f.get("t") == "shared":
         if at := masters.get(f.get("si")):
-            return moved_formula(at[0], row - at[1], col - at[2])
+            return moved_parts(at[0], row - at[1], col - at[2])
         if f.text:
-            masters[f.get("si")] = (f"={f.text}", row, col)
+            masters[f.get("si")] = (formula_parts(f"={f.text}"), row, col)
     return f"={f.text}" if f.text else None
 
 
-def _cell_value(c: ElementTree.Element, shared: list[str], dates: frozenset[int], since_1904: bool, formula: str | None) -> tuple | None:
-    kind, v = c.get("t", "n"), c.find(f"{_MAIN}v")
+_V, _F, _IS, _ROW, _CELL, _MERGE = (f"{_MAIN}{tag}" for tag in ("v", "f", "is", "row", "c", "mergeCell"))
+_WHOLE = re.compile(r"-?[0-9]+").fullmatch
+
+
+def _cell_value(c: ElementTree.Element, v: ElementTree.Element | None, inline: ElementTree.Element | None, shared: list[str], dates: frozenset[int], since_1904: bool, formula: str | None) -> tuple | None:
     if formula:
         return formula, None, "str"
+    kind = c.get("t", "n")
     if kind == "inlineStr":
-        return _text(c.find(f"{_MAIN}is")), None, "str"
+        return _text(inline), None, "str"
     if v is None or v.text is None:
         return None
     if kind == "s":
@@ -160,9 +190,9 @@ def _cell_value(c: ElementTree.Element, shared: list[str], dates: frozenset[int]
     if kind == "b":
         return str(v.text == "1"), None, "bool"
     n = float(v.text)
-    if int(c.get("s", 0)) in dates:
+    if dates and int(c.get("s", 0)) in dates:
         return _moment(n, since_1904), None, "other"
-    return (str(int(n)), n, "int") if re.fullmatch(r"-?[0-9]+", v.text) else (str(n), n, "float")
+    return (str(int(n)), n, "int") if _WHOLE(v.text) else (str(n), n, "float")
 
 
 #: One sheet of a workbook with what it takes to read it: its part and the texts' part, as packed in the file.
@@ -202,13 +232,14 @@ def _unpacked(data: bytes, packed: bool, crc: int) -> Iterator[bytes]:
 def _elements(chunks: Iterator[bytes], *tags: str) -> Iterator[ElementTree.Element]:
     """The elements of these tags as they end; each is forgotten before the next."""
     parser, around = ElementTree.XMLPullParser(("start", "end")), []
+    entered, left = around.append, around.pop
     for chunk in itertools.chain(chunks, (None,)):
         parser.close() if chunk is None else parser.feed(chunk)
         for event, el in parser.read_events():
             if event == "start":
-                around.append(el)
+                entered(el)
                 continue
-            around.pop()
+            left()
             if el.tag in tags:
                 yield el
                 around[-1].clear()
@@ -233,26 +264,53 @@ def sheet_parts(workbook_id: str, filename: str, content: bytes) -> list[dict]:
     return made
 
 
-def sheet_records(part: dict) -> Iterator[dict]:
-    """Records of one row of `sheet_parts`: the sheet, its cells, its merges. A cell or row that names no place follows the one before."""
-    base = {k: part[k] for k in ("workbook_id", "filename", "sheet_idx")}
-    yield base | {"record_type": "sheet", "sheet_name": part["sheet_name"], "is_active": part["is_active"]}
+#: What the records of one sheet differ in.
+_OF_RECORD = ("record_type", "row", "col", "max_row", "max_col", "value_str", "value_num", "value_kind", "sheet_name", "is_active")
+
+
+def sheet_records(part: dict) -> Iterator[tuple]:
+    """Records of one row of `sheet_parts`, as `_OF_RECORD` says: the sheet, its cells, its merges. A cell or row that names no place follows the one before."""
+    yield "sheet", None, None, None, None, None, None, None, part["sheet_name"], part["is_active"]
     texts = _unpacked(part["texts"], part["texts_packed"], part["texts_crc"]) if part["texts"] is not None else None
     shared = [_text(si) for si in _elements(texts, f"{_MAIN}si")] if texts else []
-    dates, masters, row = frozenset(part["dates"]), {}, 0
-    for el in _elements(_unpacked(part["sheet"], part["sheet_packed"], part["sheet_crc"]), f"{_MAIN}row", f"{_MAIN}mergeCell"):
-        if el.tag == f"{_MAIN}mergeCell":
+    dates, since_1904, masters, row = frozenset(part["dates"]), part["since_1904"], {}, 0
+    for el in _elements(_unpacked(part["sheet"], part["sheet_packed"], part["sheet_crc"]), _ROW, _MERGE):
+        if el.tag == _MERGE:
             (r0, c0), *end = map(_place, el.get("ref").split(":"))
             r1, c1 = end[0] if end else (r0, c0)
-            yield base | {"record_type": "merge", "row": r0, "col": c0, "max_row": r1, "max_col": c1}
+            yield "merge", r0, c0, r1, c1, None, None, None, None, None
             continue
         row, col = int(el.get("r", row + 1)), 0
-        for c in el.iterfind(f"{_MAIN}c"):
-            row, col = _place(c.get("r")) if c.get("r") else (row, col + 1)
-            f = c.find(f"{_MAIN}f")
+        for c in el:
+            if c.tag != _CELL:
+                continue
+            row, col = _place(place) if (place := c.get("r")) else (row, col + 1)
+            first = {}
+            for child in c:
+                first.setdefault(child.tag, child)
+            f = first.get(_F)
             formula = None if f is None else _formula(f, row, col, masters)
-            if value := _cell_value(c, shared, dates, part["since_1904"], formula):
-                yield base | {"record_type": "cell", "row": row, "col": col} | dict(zip(("value_str", "value_num", "value_kind"), value, strict=True))
+            if value := _cell_value(c, first.get(_V), first.get(_IS), shared, dates, since_1904, formula):
+                yield "cell", row, col, None, None, *value, None, None
+
+
+def _record_batch(part: dict, held: list[tuple]) -> pa.RecordBatch:
+    """Records of one sheet as a batch: its names are repeated."""
+    own = dict(zip(_OF_RECORD, zip(*held, strict=True), strict=True))
+    of_sheet = lambda f: pa.repeat(pa.scalar(part[f.name] if f.name in ("workbook_id", "filename", "sheet_idx") else None, f.type), len(held))
+    return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else of_sheet(f) for f in _ARROW], schema=_ARROW)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they have so many rows or bytes."""
+    held, n_rows, n_bytes = [], 0, 0
+    for b in itertools.chain(batches, (None,)):
+        if b is not None:
+            held.append(b)
+            n_rows, n_bytes = n_rows + b.num_rows, n_bytes + b.nbytes
+        if held and (b is None or n_rows >= rows or n_bytes >= size):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n_rows, n_bytes = [], 0, 0
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -295,12 +353,12 @@ def read_workbooks(files: DataFrame) -> DataFrame:
                     break
                 if not held:
                     break
-                yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+                yield _record_batch(part, held)
             if failed:
                 yield pa.RecordBatch.from_pylist([failed | {"record_type": "error"}], schema=_ARROW)
 
-    parts = files.select("workbook_id", "filename", "content").mapInArrow(sheets, _PARTS)
-    found = settle(parts.repartition("workbook_id", "sheet_idx").mapInArrow(read, _RECORDS))
+    parts = files.select("workbook_id", "filename", "content").mapInArrow(lambda batches: _gathered(sheets(batches), PARTS_AT_ONCE, UNPACKED_AT_ONCE), _PARTS)
+    found = settle(parts.repartition("workbook_id", "sheet_idx").mapInArrow(lambda batches: _gathered(read(batches), RECORDS_AT_ONCE, RECORD_BYTES), _RECORDS))
     wrong = found.where("record_type = 'error'")
     first = settle(wrong.groupBy("workbook_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "workbook_id"]), F.coalesce("sheet_idx", F.lit(-1))).alias("e")))
     errors = first.select("workbook_id", "e.*").withColumn("sheet_idx", F.lit(None).cast("int"))
