@@ -37,3 +37,10 @@ def test_texts_are_cut_as_before(spark):
     assert at == {"Lamp for Room 1": ("Lamp", "Room 1"), "a for  b for c": ("a", "b for c"), "Lamp FOR\tHall for Room": ("Lamp", "Hall for Room")}
     assert {r.x: tuple(r["name"]) for r in t.collect() if r["name"]} == {"P1 – x: y": ("P1", "x: y"), "a: b": ("a", "b")}
     assert {r.x: r["image"] for r in t.collect() if r["image"]} == {"a/b/img.PNG": "img", "h//one.jpg/two.png": "one"}
+
+
+def test_text_rules_are_one_projection(spark):
+    from sheetloom.jobs import queries
+
+    plan = queries.text_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
