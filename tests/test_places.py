@@ -34,3 +34,10 @@ def test_references_of_some_cells_find_titles_anywhere(spark):
     assert [tuple(r) for r in naming.schedule_name(cells, sheets).collect()] == [("b", title)]
     no_refs = cells.where("not startswith(value_str, '=')")
     assert [tuple(r) for r in naming.schedule_name(no_refs, sheets).collect()] == [("b", "b")]
+
+
+def test_section_points_write_no_grid(spark, monkeypatch):
+    from sheetloom.jobs import queries
+
+    monkeypatch.setattr(queries, "_cells", lambda *_: 1 / 0)
+    assert queries.merged_points(spark, "/root/testdata/sf0.001").count() > 0
