@@ -47,7 +47,7 @@ def test_lying_cells_are_not_shuffled_again(spark):
     assert re.search(r"row#\d+ <= 24", plan)  # the rows beyond are not gathered
 
 
-@pytest.mark.parametrize("name", ["merged_fill", "row_kinds", "product_counts_limited"])
+@pytest.mark.parametrize("name", ["merged_fill", "messy_rows", "row_kinds", "product_counts_limited"])
 def test_the_grid_is_not_written(spark, monkeypatch, name):
     written = []
     monkeypatch.setattr(queries, "settle", lambda df: written.append(df.columns) or settle(df))
